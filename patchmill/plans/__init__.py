@@ -1,3 +1,3 @@
 """Queries: operators bound to the tables of a folder, with the SQL that must give the same rows."""
 
-MODULES = ("files", "manifest", "metrics", "structure", "streams")
+MODULES = ("files", "manifest", "metrics", "structure", "pixels", "streams")
