@@ -11,16 +11,20 @@ from patchmill.storage import Workspace, bytes_of
 BROADCAST_BYTES = 32 << 20
 
 
-def statements(docs: DataFrame) -> DataFrame:
+def statements(docs: DataFrame, longest: int = 24, run: int = 8) -> DataFrame:
     """(doc_id, sno, terms): the statements of each text and their distinct terms, words of three letters or more without a last s.
 
-    Markup ends a statement, so do line ends and sentence marks before a blank, a letter or the end. Statements without a term are
-    left out; NULL and empty texts have none. Whole texts are read.
+    Markup ends a statement, so do line ends and sentence marks before a blank, a letter or the end. Where marks were lost, a statement of
+    more than ``longest`` words is taken as statements of ``run`` words each. Letters inside codes and numbers are no words. Statements
+    without a term are left out; NULL and empty texts have none. Whole texts are read.
     """
     text = F.regexp_replace(F.regexp_replace("text", ZERO_WIDTH, ""), r"<[^<>]{0,200}>", "\n")
-    s = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(text, r"[.!?]+(?=\s|\p{L}|$)|\n+")).alias("sno", "s"))
-    words = F.regexp_extract_all(F.lower("s"), F.lit(r"\p{L}{3,}"), F.lit(0))
-    return s.select("doc_id", "sno", F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, "(?<=..)s$", ""))).alias("terms")).where(F.size("terms") > 0)
+    word = F.lit(r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])")
+    parts = F.transform(F.split(F.lower(text), r"[.!?]+(?=\s|\p{L}|$)|\n+"), lambda s: F.transform(F.regexp_extract_all(s, word, F.lit(0)), lambda w: F.regexp_replace(w, "(?<=..)s$", "")))
+    cut = lambda w: F.when(F.size(w) <= longest, F.array(w)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / run).cast("int")), lambda i: F.slice(w, i * run + 1, F.lit(run))))
+    s = docs.where("doc_id is not null and text is not null").select("doc_id", parts.alias("parts"))
+    s = s.select("doc_id", F.posexplode(F.flatten(F.transform("parts", cut))).alias("sno", "w"))
+    return s.select("doc_id", "sno", F.array_distinct("w").alias("terms")).where(F.size("terms") > 0)
 
 
 def _small(df: DataFrame) -> DataFrame:
