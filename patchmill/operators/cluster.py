@@ -174,7 +174,7 @@ def null_silhouettes(p: DataFrame, lab: str, shuffles: int = 32, seed: int = 0)
 
 def gate_sweep(values: DataFrame, value: str, single: str, grid: list[float]) -> DataFrame:
     """(tau, bal_acc): the first threshold of greatest balanced accuracy, where images below it count as single."""
-    g = values.crossJoin(F.broadcast(values.sparkSession.createDataFrame([(float(t),) for t in grid], "tau double")))
+    g = values.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
     low = F.col(value) < F.col("tau")
     r = g.groupBy("tau").agg(F.coalesce(F.avg(F.when(F.col(single), low.cast("double"))), F.lit(0.0)).alias("s"), F.coalesce(F.avg(F.when(~F.col(single), (~low).cast("double"))), F.lit(0.0)).alias("m"))
     r = r.withColumn("bal_acc", F.round((F.col("s") + F.col("m")) / 2, 9))

@@ -44,14 +44,15 @@ def compaction_plan(files: DataFrame, directories: DataFrame, target: int = MB12
     """(file, length, output, seq, offset): the output file and place in it of each file of a directory with too many.
 
     Files of a directory that fills an output go together; smaller directories are put together by their first ``small_dirs_by``
-    components. Each such group is cut by a hash into lots of at least 16 outputs' bytes, so that no task ever holds a hot
-    directory; within a lot, files are laid end to end in the order of their names and cut where the target is reached. A file larger than
+    components. Each such group is cut by a hash into lots of some 16 outputs' bytes, of 200,000 files at most, so that no task
+    ever holds a hot directory; within a lot, files are laid end to end in the order of their names and cut where the target is reached. A file larger than
     the target is an output of its own. Every file of the directories taken is in exactly one output.
     """
     d = directories.where("too_many")
     head = F.array_join(F.slice(F.split("dir", "/"), 1, small_dirs_by + 1), "/")
     d = d.withColumn("grp", F.when(F.col("bytes") >= target, F.col("dir")).otherwise(F.concat(head, F.lit("/*"))))
-    g = d.groupBy("grp").agg(F.greatest(F.floor(F.sum("bytes") / (16 * target)), F.lit(1)).alias("lots"))
+    by_files = F.least(F.ceil(F.sum("n_files") / 200_000), F.greatest(F.floor(F.sum("bytes") / target), F.lit(1)))
+    g = d.groupBy("grp").agg(F.greatest(F.floor(F.sum("bytes") / (16 * target)), by_files, F.lit(1)).alias("lots"))
     x = files.join(d.select("dir", "grp").join(g, "grp"), "dir").withColumn("lot", F.pmod(F.xxhash64("file"), F.col("lots")))
     w = Window.partitionBy("grp", "lot")
     run = w.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)
@@ -73,7 +74,7 @@ def manifest_plan(items: DataFrame, listing: DataFrame, target: int = MB128) ->
     own = own.where("file is not null and file <> ''").groupBy("file").agg(F.min("role").alias("role"))
     files = ws.cut(data_files(listing))
     wanted = files.join(own, "file", "left_semi")
-    dirs = wanted.groupBy("dir").agg(F.sum("length").alias("bytes")).withColumn("too_many", F.lit(True))
+    dirs = wanted.groupBy("dir").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes")).withColumn("too_many", F.lit(True))
     return own.join(compaction_plan(wanted, dirs, target), "file", "left")
 
 

@@ -124,11 +124,10 @@ def mask_family(kind: Column) -> Column:
 
 
 def model_filter(df: DataFrame, col: str, want: str) -> DataFrame:
-    """Rows whose model, letters only and in lower case, has want in it; all rows where none has. The fallback is a one-row aggregate."""
+    """Rows whose model, letters only and in lower case, has want in it; all rows where none has."""
     w = "".join(c for c in want.lower() if c.isalpha())
     hit = F.coalesce(F.regexp_replace(F.lower(col), r"[^\p{L}]", "").contains(w), F.lit(False))
-    any_ = df.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("_any"))
-    return df.crossJoin(F.broadcast(any_)).where(hit | ~F.col("_any")).drop("_any")
+    return df if df.where(hit).isEmpty() else df.where(hit)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchmill.functions.tiers import TIERS
+from patchmill.storage import running_sums
 
 INF = float("inf")
 
@@ -18,8 +19,7 @@ def score_counts(df: DataFrame, *keys: str, score: str = "logit", label: str = "
 def auroc(df: DataFrame, *keys: str, score: str = "logit", label: str = "label", ties: str = "strict") -> DataFrame:
     """(keys, auc): share of positive-negative pairs in the right order; tied pairs count 0 (strict) or a half; NaN where a class is absent."""
     c = score_counts(df, *keys, score=score, label=label)
-    w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    c = running_sums(c, list(keys), F.col("score").asc(), {"upto": "n"}).withColumn("below", F.col("upto") - F.col("n"))
     won = F.col("p") * (F.col("below") + (F.col("n") * 0.5 if ties == "half" else F.lit(0.0)))
     a = c.groupBy(*keys).agg(F.sum(won).alias("w"), F.sum("p").alias("P"), F.sum("n").alias("N"))
     return a.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0), F.try_divide("w", F.col("P").cast("double") * F.col("N"))).otherwise(F.lit(float("nan"))).alias("auc"))
@@ -28,9 +28,8 @@ def auroc(df: DataFrame, *keys: str, score: str = "logit", label: str = "label",
 def operating_points(df: DataFrame, *keys: str, score: str = "logit", label: str = "label") -> DataFrame:
     """(keys, score, tp, fp, P, N): counts at or above each distinct score."""
     c = score_counts(df, *keys, score=score, label=label)
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*keys)
-    return c.select(*keys, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(all_).alias("P"), F.sum("n").over(all_).alias("N"))
+    c = running_sums(c, list(keys), F.col("score").desc(), {"tp": "p", "fp": "n"}, {"pos": "p", "neg": "n"})
+    return c.select(*keys, "score", "tp", "fp", F.col("pos").alias("P"), F.col("neg").alias("N"))
 
 
 def best_threshold(df: DataFrame, *keys: str, score: str = "logit", label: str = "label") -> DataFrame:
@@ -73,7 +72,7 @@ def _logit(p: float) -> float:
 
 def tier_rates(df: DataFrame, thresholds: DataFrame, tier: Column, *keys: str) -> DataFrame:
     """(keys, tier, n, tpr): positives by tier at each key's threshold; tiers without positives are there with n 0 and rate 0."""
-    dim = thresholds.select(*keys, "threshold").crossJoin(F.broadcast(df.sparkSession.createDataFrame([(t,) for t in TIERS], "tier string")))
+    dim = thresholds.select(*keys, "threshold", F.explode(F.array(*[F.lit(t) for t in TIERS])).alias("tier"))
     hit = df.where("label = 1").withColumn("tier", tier).join(thresholds.select(*keys, "threshold"), list(keys))
     g = hit.groupBy(*keys, "tier").agg(F.count("*").alias("n"), F.avg((F.col("logit") >= F.col("threshold")).cast("double")).alias("tpr"))
     return dim.join(g, [*keys, "tier"], "left").select(*keys, "tier", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("tpr", F.lit(0.0)).alias("tpr"))
@@ -134,7 +133,8 @@ def top2(df: DataFrame, *keys: str, value: str) -> DataFrame:
     return x.groupBy(*keys).agg(F.max(value).alias("max_logit"), F.avg(F.when(F.col("_r") <= 2, F.col(value))).alias("top2_logit"), F.avg(value).alias("mean_logit"), F.count("*").alias("n_windows"))
 
 
-def robustness_table(metrics: DataFrame, key: str, baseline: str, value: str = "auc") -> DataFrame:
-    """metrics with the difference of value to the baseline row."""
-    b = metrics.where(F.col(key) == baseline).select(F.col(value).alias("_b"))
-    return metrics.crossJoin(F.broadcast(b)).withColumn(f"d_{value}", F.col(value) - F.col("_b")).drop("_b")
+def robustness_table(metrics: DataFrame, key: str, baseline: str | None = None, value: str = "auc") -> DataFrame:
+    """metrics, one row for each condition, with the difference of value to the baseline condition, the first by name where none is given."""
+    w = Window.partitionBy(F.lit(0))
+    base = F.min_by(value, key).over(w) if baseline is None else F.max(F.when(F.col(key) == baseline, F.col(value))).over(w)
+    return metrics.withColumn(f"d_{value}", F.col(value) - base)

@@ -128,7 +128,11 @@ def stratified_cap(df: DataFrame, cap: int, groups: tuple[str, str] = ("source",
     if c["n"].sum() <= cap or cap <= 0:
         return df
     table = df.sparkSession.createDataFrame(c[names].assign(quota=q), ", ".join(f"{n} string" for n in names) + ", quota long")
-    ranked = x.join(table, names).withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_k", *[c for c in df.columns if c == "item_id"]))).where("_r <= quota")
+    # first within salted parts of each group, so that no task ever sorts a hot one
+    order = ["_k", *[c for c in df.columns if c == "item_id"]]
+    ranked = x.join(table, names).withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(64)))
+    for by in ([*names, "_s"], names):
+        ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r <= quota")
     return ranked.orderBy("_k").limit(cap).select(*df.columns)
 
 
@@ -146,15 +150,16 @@ def first_per_source(df: DataFrame, singles: int, splices: int, sources: tuple[s
     side = F.when(F.col("kind").isin("imdreal", "indoorreal"), "single").when(F.col("kind") == "imdsplice", "splice")
     x = df.where(F.col("source").isin(*sources)).withColumn("_s", side).where("_s is not null").withColumn("_k", stable_key())
     r = F.row_number().over(Window.partitionBy("source", "_s").orderBy("_k", "item_id"))
-    return x.withColumn("_r", r).where(F.col("_r") <= F.when(F.col("_s") == "single", max(singles, 0)).otherwise(max(splices, 0))).drop("_s", "_k", "_r")
+    return x.withColumn("_r", r).where(F.col("_r") <= max(singles, splices, 0)).where(F.col("_r") <= F.when(F.col("_s") == "single", max(singles, 0)).otherwise(max(splices, 0))).drop("_s", "_k", "_r")
 
 
 def class_weights(df: DataFrame, target: float = 0.5) -> DataFrame:
     """df with weight: each class's mass over its size; 1 for all where a class is absent. Class counts are a one-row aggregate, not a window over all rows."""
     t = min(1.0, max(0.0, target))
-    n = df.agg(F.count_if(is_splice()).alias("_ns"), F.count_if(~is_splice()).alias("_nr"))
-    w = F.when((F.col("_ns") == 0) | (F.col("_nr") == 0), 1.0).when(is_splice(), F.lit(t) / F.col("_ns")).otherwise(F.lit(1 - t) / F.col("_nr"))
-    return df.crossJoin(F.broadcast(n)).withColumn("weight", w).drop("_ns", "_nr")
+    n = df.agg(F.count_if(is_splice()).alias("ns"), F.count_if(~is_splice()).alias("nr")).first()
+    if not n["ns"] or not n["nr"]:
+        return df.withColumn("weight", F.lit(1.0))
+    return df.withColumn("weight", F.when(is_splice(), F.lit(t / n["ns"])).otherwise(F.lit((1 - t) / n["nr"])))
 
 
 def source_class_weights(df: DataFrame, fracs: dict[str, float], target: float = 0.5) -> DataFrame:
@@ -169,8 +174,9 @@ def source_class_weights(df: DataFrame, fracs: dict[str, float], target: float =
     n = x.groupBy("_sp", F.when(F.col("_sp"), F.col("_src")).alias("_cell")).agg(F.count("*").alias("_n"))
     x = x.withColumn("_cell", F.when(F.col("_sp"), F.col("_src"))).alias("x").join(n.alias("n"), (F.col("x._sp") == F.col("n._sp")) & F.col("x._cell").eqNullSafe(F.col("n._cell"))).select("x.*", "_n")
     x = x.withColumn("weight", F.when(F.col("_sp"), F.lit(t) * share / F.col("_n")).otherwise(F.lit(1 - t) / F.col("_n")))
-    live = x.agg((F.max("weight") > 0).alias("_live"))
-    return x.crossJoin(F.broadcast(live)).withColumn("weight", F.when(F.col("_live"), F.col("weight")).otherwise(1.0)).select(*df.columns, "weight")
+    if not (x.agg(F.max("weight")).first()[0] or 0) > 0:
+        x = x.withColumn("weight", F.lit(1.0))
+    return x.select(*df.columns, "weight")
 
 
 def weighted_draws(df: DataFrame, id_col: str, weight: str, n: int, *, seed: int, epoch: int = 0, parts: int = 64) -> DataFrame:

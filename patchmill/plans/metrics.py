@@ -143,11 +143,7 @@ def agg_sliding_window_report(spark, d):
 @query(_CURVE + """, b AS (SELECT auc AS b FROM au WHERE tag = (SELECT min(tag) FROM sc)) SELECT tag, round(auc, 6) AS auc, round(auc - b, 6) AS d_auc FROM au CROSS JOIN b""")
 def agg_robustness(spark, d):
     """AUC of each condition against a baseline condition, the first tag by name."""
-    s = scores(spark, d)
-    a = A.auroc(s, "tag")
-    base = s.agg(F.min("tag").alias("b"))
-    b = a.join(F.broadcast(base), a["tag"] == base["b"]).select(F.col("auc").alias("_b"))
-    return rounded(a.crossJoin(F.broadcast(b)).select("tag", "auc", (F.col("auc") - F.col("_b")).alias("d_auc")))
+    return rounded(A.robustness_table(A.auroc(scores(spark, d), "tag"), "tag"))
 
 
 _MM = f"""WITH {MASKS}, s AS (SELECT image_id, count(*) FILTER (pred AND gt) AS tp, count(*) FILTER (pred) AS np, count(*) FILTER (gt) AS ng, count(*) AS n, avg(CAST(pred = gt AS INT)) AS acc FROM ma GROUP BY 1)"""
@@ -203,8 +199,7 @@ def agg_summarize_localization(spark, d):
     """Medians by tag and bucket; buckets without samples are there with n 0."""
     x = loc(spark, d)
     clean = {c: F.when(~F.isnan(c), F.col(c)) for c in ("f1_full", "iou_full", "f1_full_px", "iou_full_px")}
-    b = spark.createDataFrame([(s,) for s in ("small", "medium", "large")], "bucket string")
-    dim = x.select("tag").distinct().crossJoin(F.broadcast(b))
+    dim = x.select("tag").distinct().withColumn("bucket", F.explode(F.array(*[F.lit(s) for s in ("small", "medium", "large")])))
     g = x.withColumns(clean).groupBy("tag", "bucket").agg(F.count("*").alias("n"), F.median("f1_full").alias("f1_med"), F.median("iou_full").alias("iou_med"), F.median("f1_full_px").alias("f1_px_med"), F.median("iou_full_px").alias("iou_px_med"))
     y = dim.alias("a").join(g.alias("g"), F.col("a.tag").eqNullSafe(F.col("g.tag")) & (F.col("a.bucket") == F.col("g.bucket")), "left")
     return rounded(y.select("a.tag", "a.bucket", F.coalesce("n", F.lit(0)).alias("n"), "f1_med", "iou_med", "f1_px_med", "iou_px_med"))
@@ -255,10 +250,10 @@ def agg_loc_by_confidence(spark, d):
 def agg_zoom_quartiles(spark, d):
     """Gain of the second look by quartile of the first."""
     x = loc(spark, d).where("iou_full is not null and not isnan(iou_full) and iou_swin is not null and not isnan(iou_swin)")
-    q = x.agg(*[F.percentile("iou_full", F.lit(p)).alias(n) for n, p in (("a", 0.25), ("b", 0.5), ("c", 0.75))])
-    band = F.when(F.col("iou_full") <= F.col("a"), "q1").when(F.col("iou_full") <= F.col("b"), "q2").when(F.col("iou_full") <= F.col("c"), "q3").otherwise("q4")
+    q1, q2, q3 = x.agg(F.percentile("iou_full", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or (0.0, 0.0, 0.0)
+    band = F.when(F.col("iou_full") <= q1, "q1").when(F.col("iou_full") <= q2, "q2").when(F.col("iou_full") <= q3, "q3").otherwise("q4")
     dlt = F.col("iou_swin") - F.col("iou_full")
-    return rounded(x.crossJoin(F.broadcast(q)).groupBy(band.alias("quartile")).agg(F.count("*").alias("n"), F.median(dlt).alias("d_med"), F.avg(dlt).alias("d_mean")))
+    return rounded(x.groupBy(band.alias("quartile")).agg(F.count("*").alias("n"), F.median(dlt).alias("d_med"), F.avg(dlt).alias("d_mean")))
 
 
 @query(f"""WITH {LOC} SELECT coalesce(bucket, 'ALL') AS bucket, count(*) AS n, round(median(f1_swin - f1_full), 6) AS d_f1, round(avg(CAST(coalesce(swin_n_pass, 0) > 0 AS INT)), 6) AS fired

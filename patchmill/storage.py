@@ -11,7 +11,8 @@ import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_roots: set[str] = set()
+WINDOW_BYTES = 256 << 20
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this process has written; call it when results are written or no longer needed."""
+    for root in [*_roots]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _roots.discard(root)
+
+
 class Workspace:
     """Intermediate tables of one operator run."""
 
@@ -30,6 +43,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _roots.add(self.root)
 
     def cut(self, df: DataFrame, *partition_by: str) -> DataFrame:
         """Write df and read it back: later steps start from the files."""
@@ -56,3 +70,25 @@ class Workspace:
 def bytes_of(df: DataFrame) -> int:
     """Size that the optimizer knows for df (exact for tables read from files)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: Column, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """df with running sums of columns within keys along order (new name -> column), the row itself included, and totals of keys.
+
+    Small tables take one window. Larger ones are partitioned by ranges of (keys, order), summed up by partition, and each row adds what
+    lies before its partition: a key with a third of all rows is spread over many tasks, and only one row a key and partition meets
+    in the window over partitions. order must tell the rows of a key apart.
+    """
+    run = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals or {}
+    if bytes_of(df) < WINDOW_BYTES:
+        return df.withColumns({n: F.sum(c).over(run(*keys)) for n, c in sums.items()} | {n: F.sum(c).over(Window.partitionBy(*keys)) for n, c in totals.items()})
+    ws = Workspace(df.sparkSession, "running")
+    x = ws.cut(df.repartitionByRange(*keys, order).withColumn("_p", F.spark_partition_id()))
+    need = sorted({*sums.values(), *totals.values()})
+    part = x.groupBy(*keys, "_p").agg(*[F.sum(c).alias(f"_s_{c}") for c in need])
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumns({f"_b_{c}": F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)) for c in need} | {f"_t_{c}": F.sum(f"_s_{c}").over(Window.partitionBy(*keys)) for c in need})
+    y = x.join(part.drop(*[f"_s_{c}" for c in need]), [*keys, "_p"])
+    y = y.withColumns({n: F.sum(c).over(run(*keys, "_p")) + F.col(f"_b_{c}") for n, c in sums.items()} | {n: F.col(f"_t_{c}") for n, c in totals.items()})
+    return y.drop("_p", *[f"_{k}_{c}" for k in "bt" for c in need])
