@@ -24,10 +24,10 @@ class SourceMix:
         self.seed, self.per_part = seed, per_part
         self.docs = self.ws.cut(docs.where("doc_id is not null").select("doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
         self.sums = self.ws.cut(self.docs.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("n_docs")))
-        total = self.sums.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
+        self.total = self.sums.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0]
         self.targets = targets
         t = targets.groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("size_frac").alias("size_frac"))
-        self.solved = t.join(self.sums, "source", "left").crossJoin(F.broadcast(total)).na.fill(0, ["available", "n_docs"])
+        self.solved = t.join(self.sums, "source", "left").na.fill(0, ["available", "n_docs"]).withColumn("total", F.lit(self.total))
 
     def rates(self):
         """Rate (copies a document) of each source of each mix; one row for each row of targets comes to the driver, not more."""
@@ -56,8 +56,13 @@ class SourceMix:
         return x.withColumn("copies", (whole + F.when(extra, 1).otherwise(0)).cast("int")).where("copies > 0").select("mix_id", "doc_id", "source", "tokens", "copies")
 
     def report(self, copies: DataFrame | None = None) -> DataFrame:
-        """Each row of targets with available and due tokens, short where max_repeats times the former is less, and, given copies, the share really reached."""
-        t = self.targets.join(self.solved.select("mix_id", "source", "available", "total").distinct(), ["mix_id", "source"], "left")
+        """Each row of targets with available and due tokens, the balanced rate and, given copies, the share really reached.
+
+        short: max_repeats times the available tokens are less than due, so the rate ends at max_repeats.
+        """
+        r = self.rates()
+        solved = self.docs.sparkSession.createDataFrame(r[["mix_id", "source", "available", "total", "rate"]], "mix_id long, source string, available long, total long, rate double")
+        t = self.targets.join(solved, ["mix_id", "source"], "left")
         t = t.withColumn("due", F.col("target_share") * F.col("size_frac") * F.col("total")).withColumn("short", F.col("max_repeats") * F.col("available") < F.col("due"))
         if copies is None:
             return t

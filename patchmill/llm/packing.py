@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchmill.errors import ConfigError
 from patchmill.storage import Workspace
 
+MOST_LIMITS = 1000
+
 
 def fullest(lengths: list[int], counts: list[int], room: int) -> dict[int, int]:
     """The multiset of at most counts[i] of lengths[i] whose sum comes closest to room from below, as length -> count.
@@ -78,8 +81,8 @@ def _runs(sorted_desc: np.ndarray):
 def pack(items: DataFrame, limits: DataFrame, *, seed: int = 0, window: int = 20_000) -> DataFrame:
     """(limit_name, doc_id, piece, pieces, start, tokens, container): each item in a container of each limit.
 
-    items: doc_id (unique), tokens; limits: limit_name, capacity_tokens (a small table; rows without a name or a positive capacity are
-    left out). An item is whole unless it alone exceeds the capacity; then it is cut into full containers and one rest, which
+    items: doc_id (unique), tokens; limits: limit_name, capacity_tokens (at most a thousand; rows without a name or a positive
+    capacity are left out). An item is whole unless it alone exceeds the capacity; then it is cut into full containers and one rest, which
     is packed like any other. Items without tokens (or NULL) get piece 1 with container NULL: they take no room. NULL ids are
     left out. Items are spread over windows of about ``window`` by a hash of their id, one task each; every window leaves one
     container that isn't full at most, so larger windows waste less and smaller ones run wider. The longest tasks are bounded by it.
@@ -88,8 +91,11 @@ def pack(items: DataFrame, limits: DataFrame, *, seed: int = 0, window: int = 20
     rows = ws.cut(items.where("doc_id is not null").select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("size")).withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
     n = rows.count()
     k = max(1, -(-n // window))
-    lim = limits.where("limit_name is not null and capacity_tokens > 0").select("limit_name", F.col("capacity_tokens").cast("long").alias("cap")).distinct()
-    x = rows.crossJoin(F.broadcast(lim)).withColumn("pieces", F.greatest(F.ceil(F.col("size") / F.col("cap")), F.lit(1)).cast("long"))
+    lim = limits.where("limit_name is not null and capacity_tokens > 0").select("limit_name", F.col("capacity_tokens").cast("long").alias("cap")).distinct().limit(MOST_LIMITS + 1).collect()
+    if len(lim) > MOST_LIMITS:
+        raise ConfigError(f"more than {MOST_LIMITS} limits")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("limit_name"), F.lit(b).cast("long").alias("cap")) for a, b in lim or [("", 0)]])).alias("l")
+    x = rows.select("doc_id", "h", "size", each).select("l.*", "doc_id", "h", "size").where("cap > 0").withColumn("pieces", F.greatest(F.ceil(F.col("size") / F.col("cap")), F.lit(1)).cast("long"))
     x = x.select("limit_name", "cap", "doc_id", "h", "size", "pieces", F.explode(F.sequence(F.lit(1).cast("long"), "pieces")).alias("piece"))
     x = x.withColumn("start", (F.col("piece") - 1) * F.col("cap")).withColumn("tokens", F.least("cap", F.col("size") - F.col("start"))).drop("size")
     full = (F.col("tokens") == F.col("cap")) | (F.col("tokens") <= 0)

@@ -79,13 +79,19 @@ class ProportionSample:
         self.counts = self.ws.cut(self.rows.groupBy(*category).agg(F.count("*").alias("available")))
         self.targets = targets
         t = targets.groupBy("request_id", *category).agg(F.sum("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"), F.max("sample_frac").alias("sample_frac"))
-        total = self.counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
-        self.solved = t.join(self.counts, category, "left").crossJoin(F.broadcast(total)).withColumn("available", F.coalesce("available", F.lit(0)))
+        self.total = self.counts.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0]
+        self.solved = t.join(self.counts, category, "left").withColumns({"available": F.coalesce("available", F.lit(0)), "total": F.lit(self.total)})
 
     def report(self) -> DataFrame:
-        """Each row of targets with available, wanted (its share of the sample, unrounded), needed (at least min_rows) and short."""
+        """Each row of targets with available, wanted (its share of the sample, unrounded), needed (at least min_rows), the calibrated rate and what it reaches.
+
+        short: the category has fewer records than needed, so its rate ends at 1.
+        """
         cat = self.category
-        t = self.targets.join(self.solved.select("request_id", *cat, "available", "total").distinct(), ["request_id", *cat], "left")
+        r = self.rates().assign(reached=lambda x: x["rate"] * x["available"])
+        fields = ", ".join(f"{c} string" for c in cat)
+        solved = self.rows.sparkSession.createDataFrame(r[["request_id", *cat, "available", "total", "rate", "reached"]], f"request_id long, {fields}, available long, total long, rate double, reached double")
+        t = self.targets.join(solved, ["request_id", *cat], "left")
         t = t.withColumn("wanted", F.col("target_share") * F.col("sample_frac") * F.col("total"))
         return t.withColumn("needed", F.greatest(F.col("min_rows").cast("double"), F.col("wanted"))).withColumn("short", F.col("available") < F.col("needed"))
 

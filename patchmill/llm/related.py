@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchmill.errors import ConfigError
 from patchmill.storage import Workspace
 
+MOST_STRATA = 2000
+
 
 def related_components(df: DataFrame, id_col: str, entities: Column) -> DataFrame:
     """(id, component): the connected component of each record in the graph of records and entities.
@@ -61,7 +64,7 @@ def split_groups(df: DataFrame, components: DataFrame, id_col: str, stratum: Col
 
     shares are normalised. Groups larger than a thousandth of all records (at most a thousand of them) are placed first, in one
     task; the others are spread over tasks by a hash, each placing its groups greatest first against its part of what is then
-    still due. A NULL stratum is a stratum ``unknown``. The result depends on ids and seed, not on the order of rows.
+    still due. A NULL stratum is a stratum ``unknown``; there may be 2,000 strata. The result depends on ids and seed, not on the order of rows.
     """
     ws = Workspace(df.sparkSession, "splits")
     names = list(shares)
@@ -71,7 +74,9 @@ def split_groups(df: DataFrame, components: DataFrame, id_col: str, stratum: Col
     p = p / p.sum()
     rows = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).select(F.col(id_col).alias("id"), F.coalesce(stratum.cast("string"), F.lit("unknown")).alias("stratum")).join(components.select(F.col(id_col).alias("id"), "component"), "id")
     cells = ws.cut(rows.groupBy("component", "stratum").agg(F.count("*").alias("n")))
-    totals = {r["stratum"]: r["n"] for r in cells.groupBy("stratum").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["stratum"]: r["n"] for r in cells.groupBy("stratum").agg(F.sum("n").alias("n")).limit(MOST_STRATA + 1).collect()}
+    if len(totals) > MOST_STRATA:
+        raise ConfigError(f"more than {MOST_STRATA} strata; choose a coarser stratum")
     strata = sorted(totals)
     total = sum(totals.values())
     if not total:
