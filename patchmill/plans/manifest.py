@@ -245,7 +245,15 @@ def smp_first_per_source(spark, d):
     return S.first_per_source(items(spark, d), 30, 20).select("item_id")
 
 
-@query()
+@query(f"""WITH {ITEMS}, x AS (SELECT item_id, source, kind, coalesce(source, 'unknown') AS s, coalesce(kind, 'unknown') AS k, {_KEY} AS key FROM it),
+  g AS (SELECT s, k, count(*) AS n, 300.0e0 * count(*) / sum(count(*)) OVER () AS exact, row_number() OVER (ORDER BY s, k) AS idx FROM x GROUP BY s, k),
+  a AS (SELECT *, least(n, greatest(1, floor(exact))) AS q, exact - floor(exact) AS rem FROM g),
+  b AS (SELECT *, sum(q) OVER () - 300 AS over_, row_number() OVER (PARTITION BY q > 1 ORDER BY rem, idx) AS place FROM a),
+  c AS (SELECT *, q - CASE WHEN q > 1 AND place <= over_ THEN 1 ELSE 0 END AS q1 FROM b),
+  e AS (SELECT *, 300 - sum(q1) OVER () AS short_, coalesce(sum(n - q1) OVER (ORDER BY rem DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM c),
+  f AS (SELECT s, k, q1 + greatest(0, least(n - q1, short_ - taken)) AS quota FROM e),
+  r AS (SELECT x.*, quota, row_number() OVER (PARTITION BY x.s, x.k ORDER BY key, item_id) AS rk FROM x JOIN f ON f.s = x.s AND f.k = x.k)
+  SELECT item_id, source, kind FROM r WHERE rk <= quota ORDER BY key LIMIT 300""")
 def smp_stratified_cap(spark, d):
     return S.stratified_cap(items(spark, d), 300).select("item_id", "source", "kind")
 

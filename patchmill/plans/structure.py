@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patchmill.functions.presets import between, preset_table
 from patchmill.operators import cluster as K
 from patchmill.operators import geometry as G
 from patchmill.operators import losses as L
@@ -128,6 +129,20 @@ def geo_footprints(spark, d):
     return G.projected_cells(w, 28, 448).groupBy("image_id", "ti", "tj").agg(F.count("*").alias("windows"))
 
 
+@query(f"""WITH {SIZES}, {_grid_sql("0.5e0", "1.0e0")}, u AS (SELECT * FROM wg WHERE image_id % 25 = 0 AND (image_id + top + "left") % 3 <> 0),
+  t AS (SELECT u.*, CAST(ti AS INT) AS ti, CAST(tj AS INT) AS tj FROM u CROSS JOIN (SELECT unnest(range(0, 28)) AS ti) CROSS JOIN (SELECT unnest(range(0, 28)) AS tj)
+    WHERE ti >= greatest(0, floor(top * 448 / CAST(h AS DOUBLE) / 16)) AND ti < least(28, ceil((top + side) * 448 / CAST(h AS DOUBLE) / 16)) AND tj >= greatest(0, floor("left" * 448 / CAST(w AS DOUBLE) / 16)) AND tj < least(28, ceil(("left" + side) * 448 / CAST(w AS DOUBLE) / 16))),
+  v AS (SELECT *, CAST(trunc(((ti + 0.5e0) * 16 * h / 448 - top) / (side / 28.0e0)) AS INT) AS wi, CAST(trunc(((tj + 0.5e0) * 16 * w / 448 - "left") / (side / 28.0e0)) AS INT) AS wj FROM t)
+  SELECT DISTINCT image_id, ti, tj FROM v WHERE wi BETWEEN 0 AND 27 AND wj BETWEEN 0 AND 27 AND (wi * 7 + wj * 3 + top) % 5 = 0""")
+def geo_tile_masks(spark, d):
+    """Masks of the windows that pass a gate, projected on the image's patches and joined by OR."""
+    w = G.window_grid(sizes(spark, d).where("image_id % 25 = 0"), 0.5, 1.0, 28).where("(image_id + top + left) % 3 <> 0")
+    w = w.withColumn("win", F.concat_ws(":", "image_id", "top", "left"))
+    grid = F.sequence(F.lit(0), F.lit(27))
+    cells = w.select("win", "top", F.explode(grid).alias("wi")).select("win", "top", "wi", F.explode(grid).alias("wj")).where("(wi * 7 + wj * 3 + top) % 5 = 0").select("win", "wi", "wj")
+    return G.project_masks(w, cells, "image_id", "win", 28, 448)
+
+
 @query(f"""WITH {MASKS} SELECT image_id, r // 4 AS pr, c // 4 AS pc, round(avg(CAST(gt AS INT)), 6) AS density, avg(CAST(gt AS INT)) > 0.15 AS hard, CAST(CASE WHEN avg(CAST(gt AS INT)) >= 0.45 THEN 1 ELSE 0 END AS INT) AS label,
   round(CASE WHEN avg(CAST(gt AS INT)) = 0 THEN 1 WHEN avg(CAST(gt AS INT)) >= 0.8 THEN 1 WHEN avg(CAST(gt AS INT)) >= 0.45 THEN (avg(CAST(gt AS INT)) - 0.45e0) / (0.8e0 - 0.45e0) ELSE 0 END, 6) AS weight FROM ma GROUP BY 1, 2, 3""")
 def geo_patch_labels(spark, d):
@@ -177,7 +192,11 @@ def clu_component_stats(spark, d):
     return rounded(K.component_stats(p, K.components(p, K.mutual_edges(p, 10, 0.2))), 5)
 
 
-@query()
+@query(_PAIRS + """, s AS (SELECT image_id, root, count(*) AS size FROM cp GROUP BY 1, 2), bg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY size DESC, root) AS rk FROM s) WHERE rk = 1),
+  m AS (SELECT a.image_id, a.root, avg(sim) FILTER (b.root = a.root) AS within, avg(sim) FILTER (b.root = bg.root AND a.root <> bg.root) AS crossing FROM pr JOIN cp a ON a.image_id = pr.image_id AND a.idx = pr.i JOIN cp b ON b.image_id = pr.image_id AND b.idx = pr.j
+    JOIN bg ON bg.image_id = pr.image_id GROUP BY 1, 2), big AS (SELECT image_id FROM pa GROUP BY 1 HAVING count(*) >= 16)
+  SELECT cp.image_id, cp.idx, cp.root, s.size, s.root <> bg.root AND s.size >= 4 AND coalesce(within, 1) >= 0.05 AND coalesce(crossing, 1) <= 0.1 AS accepted, s.root = bg.root AS background
+  FROM cp SEMI JOIN big ON big.image_id = cp.image_id JOIN s ON s.image_id = cp.image_id AND s.root = cp.root JOIN bg ON bg.image_id = cp.image_id JOIN m ON m.image_id = cp.image_id AND m.root = cp.root""")
 def clu_graph_decode(spark, d):
     return K.graph_decode(patches(spark, d), s_edge=0.2, theta_w=0.05, theta_x=0.1)
 
@@ -201,6 +220,30 @@ def clu_minority(spark, d):
     return K.minority(patches(spark, d), "lab")
 
 
+@query()
+def clu_decode_sweep(spark, d):
+    """Decoded masks against labels for each value of a knob: medians, means, images without a region, wins over k-means."""
+    p = patches(spark, d)
+    gt = p.select("image_id", "idx", (F.col("lab") == 1).alias("gt"))
+    km = K.kmeans_labels(p).withColumn("lab2", F.col("cluster"))
+    base = km.join(K.minority(km, "lab2"), "image_id").select("image_id", "idx", (F.col("cluster") == F.col("positive")).alias("pred"))
+    base = mask_metrics(base.join(gt, ["image_id", "idx"]), "image_id", empty=1.0).select("image_id", F.col("iou").alias("base"))
+    out = None
+    for s in (0.15, 0.20, 0.25):
+        x = K.graph_decode(p, s_edge=s, theta_w=0.05, theta_x=0.1).select("image_id", "idx", F.col("accepted").alias("pred"))
+        m = mask_metrics(x.join(gt, ["image_id", "idx"]), "image_id", empty=1.0).join(base, "image_id").withColumn("s_edge", F.lit(s))
+        out = m if out is None else out.unionByName(m)
+    g = out.groupBy("s_edge").agg(F.count("*").alias("n"), F.median("iou").alias("iou_med"), F.avg("iou").alias("iou_mean"), F.count_if(F.col("pred_frac") == 0).alias("abstained"), F.count_if(F.col("iou") > F.col("base")).alias("wins"), F.count_if(F.col("iou") == F.col("base")).alias("draws"))
+    return rounded(g)
+
+
+@query()
+def cal_null_gate(spark, d):
+    """The gate on z-scores against each image's own null."""
+    s = K.null_silhouettes(patches(spark, d), "lab").withColumn("single", F.col("image_id") % 2 == 0)
+    return rounded(K.gate_sweep(s, "z", "single", [i / 20 for i in range(81)]))
+
+
 @query()
 def clu_kmeans(spark, d):
     return rounded(K.kmeans_labels(patches(spark, d)))
@@ -292,6 +335,18 @@ def pix_severity(spark, d):
     return rounded(loc(spark, d).select("sample_id", unit((100 - (35 + i % 70).cast("double")) / 65).alias("sev_jpeg"), unit(i % 40 / 100 / 0.3).alias("sev_noise"), F.rint(35 + 65 * s).cast("int").alias("quality"), (0.002 + 0.013 * s).alias("std")))
 
 
+@query("SELECT * FROM (VALUES ('jpeg', 0.4e0, 64.0e0, 96.0e0), ('gaussian', 0.3e0, 0.0035e0, 0.045e0), ('resize', 0.3e0, 0.625e0, 0.965e0), ('blur', 0.15e0, 0.1e0, 1.75e0)) t(family, probability, least, greatest)")
+def pix_presets_between(spark, d):
+    return rounded(between("light", "heavy", 0.5, preset_table(spark)))
+
+
+@query(f"""WITH {LOC} SELECT sample_id, CASE WHEN f1_full IS NULL THEN '' WHEN isnan(f1_full) THEN 'nan' ELSE printf('%.4f', f1_full) END AS f1, CASE WHEN iou_full IS NULL THEN '' WHEN isnan(iou_full) THEN 'nan' ELSE printf('%.3f', iou_full) END AS iou_rate FROM lo""")
+def udf_metric_text(spark, d):
+    """Metrics as text: three decimals for rates, four for others."""
+    text = lambda c, k: F.when(F.col(c).isNull(), "").when(F.isnan(c), "nan").otherwise(F.format_string(f"%.{k}f", c))
+    return loc(spark, d).select("sample_id", text("f1_full", 4).alias("f1"), text("iou_full", 3).alias("iou_rate"))
+
+
 @query(f"""WITH {SCORES}, v AS (SELECT image_id, least(greatest(area, 0), 1) AS v FROM sc) SELECT image_id, round(least(greatest(1.5e0 - abs(4 * v - 3), 0), 1), 6) AS r, round(least(greatest(1.5e0 - abs(4 * v - 2), 0), 1), 6) AS g, round(least(greatest(1.5e0 - abs(4 * v - 1), 0), 1), 6) AS b FROM v""")
 def udf_jet_colours(spark, d):
     """A piecewise linear colour map of [0, 1]."""

@@ -66,6 +66,20 @@ def test_degradation_facts():
     assert seen == set(P.VARIANTS)
 
 
+def test_presets_and_modes():
+    from patchmill.functions.presets import PRESETS, chain, evaluation_mode
+
+    out, ops = P.light_chain(np.full((24, 24, 3), 120, np.uint8), rng(1), chain("noise_aggressive", without=("jpeg",)))
+    assert out.shape == (24, 24, 3) and all(0 <= o["severity"] <= 1 for o in ops) and len(PRESETS) == 5
+    assert evaluation_mode(None) == ("global", None) and evaluation_mode("mask_aggressive_mix")[0] == "mask"
+    assert evaluation_mode("mask_double_jpeg")[1].params == {"q1": 82, "q2": 45} and evaluation_mode("resize")[0] == "global"
+    for bad in ("fog", "mask_fog"):
+        with pytest.raises(ConfigError):
+            evaluation_mode(bad)
+    with pytest.raises(ConfigError):
+        chain("none")
+
+
 def test_hot_regions():
     att = np.zeros((16, 16))
     att[2:4, 2:4], att[10:12, 10:12] = 1.0, 2.0
