@@ -165,11 +165,36 @@ def _scene(c: str) -> str:
     return f"CASE WHEN regexp_matches({first}, '^[0-9]+$') THEN coalesce(nullif(ltrim({first}, '0'), ''), '0') ELSE {first} END"
 
 
+_WORDS = """regexp_replace(regexp_replace({c}, '(%20|[\\s\\-_.])+', '_', 'g'), '^_+|_+$', '', 'g')"""
+# scene and role of every item that has a split, step by step
+_PICTURES = rf"""
+  p0 AS (SELECT item_id, split, any_value(source) AS source, any_value(case_id) AS case_id, any_value(img) AS img FROM items WHERE split IS NOT NULL GROUP BY item_id, split),
+  p1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(lower(trim(translate(regexp_replace(img, '[\x{{AD}}\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '０１２３４５６７８９', '0123456789'))), '^\s+|\s+$', '', 'g'), '\', '/'), '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', '', 'g') AS path FROM p0),
+  p2 AS (SELECT *, {_WORDS.format(c="regexp_extract(path, '[^/]*$')")} AS stem, {_WORDS.format(c="regexp_extract(path, '(?:^|/)(?:imd2020|tgif2/[a-z0-9_]+)/([^/]+)/[^/]+$', 1)")} AS folder,
+    nullif(regexp_extract(path, '/(h[0-9]+)/[^/]*$', 1), '') AS house FROM p1),
+  p3 AS (SELECT *, nullif(regexp_extract(stem, '^(img_[0-9]+)', 1), '') AS pic FROM p2),
+  p4 AS (SELECT *, coalesce(house || '_' || pic, nullif(regexp_extract(stem, '(?:^|_)([a-z]{{3}}[0-9]{{6,}}_[a-z]{{3}}[0-9]{{3,}})_', 1), ''), nullif(folder, ''), nullif(regexp_extract(stem, '^[^_]+'), '')) AS told,
+    coalesce(pic, nullif(regexp_extract(stem, '_([a-z0-9]+_(?:fr|sp)_[a-z0-9]+_v[0-9]+|original_512|original|modified|anchor|diffcat[0-9]+|samecat[0-9]+|real|fake|orig|v[0-9]+)(?:[_@(]|$)', 1), ''), 'img:' || img) AS role FROM p3),
+  pic AS (SELECT item_id, split, source, role, coalesce({_scene("case_id")}, CASE WHEN regexp_matches(told, '^[0-9]+$') THEN coalesce(nullif(ltrim(told, '0'), ''), '0') ELSE told END) AS scene FROM p4),
+  pairs AS (SELECT e.item_id AS id_e, t.item_id AS id_t, e.split, e.source FROM pic e JOIN pic t ON e.scene = t.scene AND e.role = t.role AND t.split = 'train' AND e.split IN ('val', 'test'))"""
 _LABEL = "regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
 _UNKNOWN = "coalesce(" + _LABEL + ", 'unknown')"
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]+'))"
 
 SQL = {
+    "p1_found": f"WITH {_PICTURES} SELECT DISTINCT least(id_e, id_t) AS item_id_a, greatest(id_e, id_t) AS item_id_b FROM pairs",
+    "p1_report": f"""WITH {_PICTURES} SELECT split, coalesce({_LABEL.format(c="source")}, 'unknown') AS source, count(DISTINCT id_e) AS n_eval_records, count(DISTINCT id_t) AS n_train_records, count(*) AS n_pairs FROM pairs GROUP BY 1, 2""",
+    "p4_cutoffs": f"""
+        WITH r AS (SELECT sample_id, any_value(tag) AS tag, any_value({_UNKNOWN.format(c="kind")}) AS kind, any_value(CASE WHEN isnan(bce_logit) THEN NULL ELSE bce_logit END) AS s
+          FROM loc_samples WHERE sample_id IS NOT NULL GROUP BY sample_id),
+        f AS (SELECT {_UNKNOWN.format(c="kind")} AS kind, max(keep_frac) AS keep_frac FROM keep_targets GROUP BY 1),
+        g AS (SELECT tag, kind, count(*) AS size, count(s) AS n_scored FROM r GROUP BY tag, kind),
+        v AS (SELECT tag, kind, s, CAST(sum(count(*)) OVER (PARTITION BY tag, kind ORDER BY s DESC) AS BIGINT) AS kept FROM r WHERE s IS NOT NULL GROUP BY tag, kind, s),
+        c AS (SELECT v.tag, v.kind, s, kept, row_number() OVER (PARTITION BY v.tag, v.kind ORDER BY abs(kept / size - keep_frac), s) AS rk
+          FROM v JOIN g ON v.tag IS NOT DISTINCT FROM g.tag AND v.kind = g.kind JOIN f ON f.kind = v.kind),
+        m AS (SELECT tag, max(struct_pack(logged_at := logged_at, opt_threshold := opt_threshold)).opt_threshold AS opt_threshold FROM image_bce_metrics GROUP BY tag)
+        SELECT g.tag, g.kind, g.size, g.n_scored, f.keep_frac, c.s AS cutoff, coalesce(c.kept, 0) AS kept, coalesce(c.kept, 0) / g.size AS kept_frac, m.opt_threshold
+        FROM g LEFT JOIN f ON f.kind = g.kind LEFT JOIN c ON c.rk = 1 AND c.tag IS NOT DISTINCT FROM g.tag AND c.kind = g.kind LEFT JOIN m ON m.tag = g.tag""",
     "p2_found": f"""
         WITH i AS (SELECT DISTINCT item_id, {_UNKNOWN.format(c="source")} AS s, {_UNKNOWN.format(c="kind")} AS k FROM items WHERE item_id IS NOT NULL),
         n AS (SELECT s, k, count(*) AS n FROM i GROUP BY s, k), t AS (SELECT count(*) AS total FROM i)
