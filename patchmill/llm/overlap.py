@@ -25,22 +25,21 @@ def word_shingles(c: Column, n: int = 5) -> Column:
     return F.when(F.coalesce(F.size(w), F.lit(0)) > 0, out).otherwise(F.array().cast("array<string>"))
 
 
-def prefix_filter_pairs(ws: Workspace, sets: DataFrame, threshold: float) -> DataFrame:
+def prefix_filter_pairs(ws: Workspace, sets: DataFrame, threshold: float, buckets: int = 1 << 18) -> DataFrame:
     """Pairs of classes of equal sets, one with a record of the evaluation side and one of the training side, of Jaccard similarity >= threshold.
 
-    sets: (key, in_eval, in_train, shingles array<string> distinct), one row for each distinct set. Shingles are
-    ordered from rare to frequent over the whole corpus; a set's prefix holds n - ceil(t n) + 1 of them, and two sets of
-    enough similarity share one there. Prefixes of evaluation sets are the index, those of training sets probe it;
-    lengths and positions bound the overlap before the sets themselves are compared. Nothing is capped, and the
-    frequency table is joined, never sent anywhere.
+    sets: (key, in_eval, in_train, h array<long> of distinct hashed shingles), one row for each distinct set. Shingles are ordered
+    from rare to frequent over the whole corpus, by the counts of ``buckets`` hash buckets and then by themselves: one order for all
+    sets, in a table whose size is fixed, so it may be broadcast. A set's prefix holds n - ceil(t n) + 1 shingles, and two
+    sets of enough similarity share one there. Prefixes of evaluation sets are the index, those of training sets probe it; lengths and
+    positions bound the overlap before the sets themselves are compared. Nothing is capped.
     """
     t = threshold
-    h = sets.select("key", "in_eval", "in_train", F.size("shingles").alias("n"), F.transform("shingles", lambda s: F.xxhash64(s)).alias("h")).where("n > 0")
-    each = h.select("key", F.explode("h").alias("g"))
-    df = each.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = each.join(df, "g").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-    full = ws.cut(h.drop("h").join(ordered, "key"))
-    prefix = full.select("key", "in_eval", "in_train", "n", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1).cast("int"))).alias("pos", "e")).select("key", "in_eval", "in_train", "n", "pos", "e.g")
+    each = sets.select("key", "in_eval", "in_train", F.explode("h").alias("g")).withColumn("b", F.pmod("g", F.lit(buckets)).cast("int"))
+    df = each.groupBy("b").agg(F.count("*").alias("df"))
+    ordered = each.join(F.broadcast(df), "b").groupBy("key", "in_eval", "in_train").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    full = ws.cut(ordered.select("key", "in_eval", "in_train", F.transform("o", lambda x: x["g"]).alias("o"), F.size("o").alias("n")))
+    prefix = full.select("key", "in_eval", "in_train", "n", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1).cast("int"))).alias("pos", "g"))
     e = prefix.where("in_eval").select(F.col("key").alias("key_e"), F.col("n").alias("n_e"), F.col("pos").alias("pos_e"), "g")
     r = prefix.where("in_train").select(F.col("key").alias("key_t"), F.col("n").alias("n_t"), F.col("pos").alias("pos_t"), "g")
     need = F.ceil((F.col("n_e") + F.col("n_t")) * F.lit(t / (1 + t)) - 1e-9)
@@ -51,7 +50,7 @@ def prefix_filter_pairs(ws: Workspace, sets: DataFrame, threshold: float) -> Dat
         .select("key_e", "key_t")
         .distinct()
     )
-    sets_of = full.select("key", F.transform("o", lambda x: x["g"]).alias("s"))
+    sets_of = full.select("key", F.col("o").alias("s"))
     both = cand.join(sets_of.select(F.col("key").alias("key_e"), F.col("s").alias("s_e")), "key_e").join(sets_of.select(F.col("key").alias("key_t"), F.col("s").alias("s_t")), "key_t")
     shared = F.size(F.array_intersect("s_e", "s_t"))
     return both.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("s_e") + F.size("s_t") - F.col("shared"))).where(F.col("similarity") >= t - 1e-9).select("key_e", "key_t", "shared", "similarity")
@@ -67,11 +66,11 @@ def cross_split_overlap(df: DataFrame, id_col: str, split_col: str, shingles: Co
     """
     ws = Workspace(df.sparkSession, "overlap")
     sides = F.col(id_col).isNotNull() & F.col(split_col).isin(*train, *evaluation)
-    rows = df.where(sides).dropDuplicates([id_col, split_col]).select(F.col(id_col).alias("id"), F.col(split_col).alias("split"), F.array_sort(shingles).alias("shingles"), *[F.col(c).alias(f"c_{c}") for c in carry])
-    rows = ws.cut(rows).where(F.size("shingles") > 0).withColumn("key", F.md5(F.array_join("shingles", "\u0001")))
-    sets = rows.groupBy("key").agg(F.max(F.col("split").isin(*evaluation)).alias("in_eval"), F.max(F.col("split").isin(*train)).alias("in_train"), F.first("shingles").alias("shingles"))
+    rows = df.where(sides).dropDuplicates([id_col, split_col]).select(F.col(id_col).alias("id"), F.col(split_col).alias("split"), F.array_sort(F.transform(shingles, lambda x: F.xxhash64(x))).alias("h"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    rows = ws.cut(rows).where(F.size("h") > 0).withColumn("key", F.unhex(F.md5(F.array_join(F.transform("h", lambda x: x.cast("string")), ","))))
+    sets = rows.groupBy("key").agg(F.max(F.col("split").isin(*evaluation)).alias("in_eval"), F.max(F.col("split").isin(*train)).alias("in_train"), F.first("h").alias("h"))
     links = prefix_filter_pairs(ws, sets, threshold)
-    return ws.cut(links), rows.drop("shingles")
+    return ws.cut(links), rows.drop("h")
 
 
 def overlap_pairs(links: DataFrame, members: DataFrame, *, train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
