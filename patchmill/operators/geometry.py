@@ -145,10 +145,26 @@ def projected_cells(windows: DataFrame, n: int, target: int) -> DataFrame:
     return x.where(F.col("wi").between(0, n - 1) & F.col("wj").between(0, n - 1)).drop("_t0", "_t1", "_l0", "_l1")
 
 
-def project_masks(windows: DataFrame, cells: DataFrame, key: str, window: str, n: int, target: int) -> DataFrame:
-    """(key, ti, tj): target patches hit by a true cell (window, wi, wj) of any window; the OR of all windows of an image."""
-    p = projected_cells(windows, n, target)
-    return p.join(cells, [window, "wi", "wj"], "left_semi").select(key, "ti", "tj").distinct()
+def project_masks(windows: DataFrame, cells: DataFrame, keys: list[str], window: str, n: int, target: int) -> DataFrame:
+    """(keys, ti, tj): target patches hit by a true cell (window, wi, wj) of any window; the OR of all windows of an image."""
+    p = projected_cells(windows, n, target).select(*keys, window, "wi", "wj", "ti", "tj")
+    return p.join(cells, [window, "wi", "wj"], "left_semi").select(*keys, "ti", "tj").distinct()
+
+
+def axis_cover(df: DataFrame, length: str, scale: float, stride_frac: float, n: int, target: int, prefix: str) -> DataFrame:
+    """(w, h, {prefix}hit, {prefix}most, {prefix}sum): along one axis, patches of the target grid that windows cover, and how often.
+
+    A grid of windows is the product of its rows and columns, so its footprint is the product of both covers and no cell is built.
+    """
+    short = F.least("w", "h")
+    x = df.select("w", "h").distinct().withColumn("side", F.least(F.greatest(F.lit(n), rint(short * scale)), short))
+    x = x.withColumn("at", F.explode(axis_starts(F.col(length), F.col("side"), rint(F.col("side") * stride_frac))))
+    size, full = target // n, F.col(length)
+    lo, hi = F.greatest(F.lit(0), _i(F.floor(F.col("at") * target / full / size))), F.least(F.lit(n), _i(F.ceil((F.col("at") + F.col("side")) * target / full / size)))
+    x = x.withColumns({"lo": lo, "hi": hi}).where("hi > lo").withColumn("t", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    own = _i(((F.col("t") + 0.5) * size * full / target - F.col("at")) / (F.col("side") / n))
+    c = x.where(own.between(0, n - 1)).groupBy("w", "h", "t").agg(F.count("*").alias("k"))
+    return c.groupBy("w", "h").agg(F.count("*").alias(prefix + "hit"), F.max("k").alias(prefix + "most"), F.sum("k").alias(prefix + "sum"))
 
 
 def patch_density(pixels: DataFrame, key: str, size: int, value: str) -> DataFrame:

@@ -91,7 +91,7 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 MASKS = """ma AS (SELECT l_orderkey % 200 AS image_id, CAST(l_partkey % 28 AS INT) AS r, CAST(l_suppkey % 28 AS INT) AS c, bool_or(l_quantity > 25) AS pred,
-  bool_or(l_discount >= 0.05) AS gt FROM lineitem GROUP BY 1, 2, 3)"""
+  bool_or(l_discount >= 0.05) AS gt, sum(l_extendedprice) AS weight FROM lineitem GROUP BY 1, 2, 3)"""
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -87,13 +87,12 @@ def geo_centered_square(spark, d):
     return sizes(spark, d).select("image_id", *G.centered_square(F.col("h") * (i % 11 / 10), F.col("w") * (i % 7 / 6), i % 13 / 20, F.col("h"), F.col("w")))
 
 
-_BOX = f"""WITH {MASKS}, bx AS (SELECT image_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, avg(r) AS cy, avg(c) AS cx, count(*) AS n FROM ma WHERE pred AND (r + c) % 9 = image_id % 9 AND r BETWEEN image_id % 14 AND 12 + image_id % 14 GROUP BY 1)"""
+_BOX = f"""WITH {MASKS}, bx AS (SELECT image_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, avg(r) AS cy, avg(c) AS cx, count(*) AS n FROM ma WHERE pred AND gt AND weight > 95000 GROUP BY 1)"""
 
 
 def _boxes(spark, d):
-    i = F.col("image_id")
-    m = masks(spark, d).withColumn("m", F.col("pred") & ((F.col("r") + F.col("c")) % 9 == i % 9) & F.col("r").between(i % 14, 12 + i % 14))
-    return G.mask_boxes(m, "image_id", "m", 28)
+    """Boxes of the patches that are predicted, true and heavy."""
+    return G.mask_boxes(masks(spark, d).withColumn("m", F.col("pred") & F.col("gt") & (F.col("weight") > 95000)), "image_id", "m", 28)
 
 
 @query(_BOX + " SELECT image_id, r0, r1, c0, c1, round(cy, 6) AS cy, round(cx, 6) AS cx, n FROM bx")
@@ -118,29 +117,44 @@ def geo_padded_box(spark, d):
     return G.padded_box(b, 28, "hh", "ww").select("image_id", "x0", "y0", "x1", "y1")
 
 
-@query(f"""WITH {SIZES}, {_grid_sql("0.5e0", "1.0e0")}, u AS (SELECT * FROM wg WHERE image_id % 25 = 0),
-  t AS (SELECT u.*, CAST(ti AS INT) AS ti, CAST(tj AS INT) AS tj FROM u CROSS JOIN (SELECT unnest(range(0, 28)) AS ti) CROSS JOIN (SELECT unnest(range(0, 28)) AS tj)
-    WHERE ti >= greatest(0, floor(top * 448 / CAST(h AS DOUBLE) / 16)) AND ti < least(28, ceil((top + side) * 448 / CAST(h AS DOUBLE) / 16)) AND tj >= greatest(0, floor("left" * 448 / CAST(w AS DOUBLE) / 16)) AND tj < least(28, ceil(("left" + side) * 448 / CAST(w AS DOUBLE) / 16))),
-  v AS (SELECT *, trunc(((ti + 0.5e0) * 16 * h / 448 - top) / (side / 28.0e0)) AS wi, trunc(((tj + 0.5e0) * 16 * w / 448 - "left") / (side / 28.0e0)) AS wj FROM t)
-  SELECT image_id, ti, tj, count(*) AS windows FROM v WHERE wi BETWEEN 0 AND 27 AND wj BETWEEN 0 AND 27 GROUP BY 1, 2, 3""")
+# windows of each distinct image size, and the target patches whose centre lies in them
+_CELLS = f"""WITH {SIZES.replace("o_orderkey AS image_id", "any_value(o_orderkey) AS image_id").replace("FROM orders)", "FROM orders GROUP BY w, h)")}, {_grid_sql("0.5e0", "1.0e0")},
+  t AS (SELECT wg.*, CAST(ti AS INT) AS ti, CAST(unnest(range(CAST(greatest(0, floor("left" * 448 / CAST(w AS DOUBLE) / 16)) AS INT), CAST(least(28, ceil(("left" + side) * 448 / CAST(w AS DOUBLE) / 16)) AS INT))) AS INT) AS tj
+    FROM (SELECT wg.*, unnest(range(CAST(greatest(0, floor(top * 448 / CAST(h AS DOUBLE) / 16)) AS INT), CAST(least(28, ceil((top + side) * 448 / CAST(h AS DOUBLE) / 16)) AS INT))) AS ti FROM wg) wg),
+  v AS (SELECT *, CAST(trunc(((ti + 0.5e0) * 16 * h / 448 - top) / (side / 28.0e0)) AS INT) AS wi, CAST(trunc(((tj + 0.5e0) * 16 * w / 448 - "left") / (side / 28.0e0)) AS INT) AS wj FROM t),
+  im AS (SELECT o_orderkey AS image_id, CAST(200 + o_custkey % 300 AS INT) AS w, CAST(200 + o_orderkey % 300 AS INT) AS h FROM orders)"""
+
+
+def _by_size(spark, d, how):
+    """how(windows of the distinct sizes) gives rows by (w, h); images take those of their size, so that geometry is worked out once for each size."""
+    im = sizes(spark, d)
+    w = G.window_grid(im.select("w", "h").distinct(), 0.5, 1.0, 28)
+    return im.join(how(w), ["w", "h"], "left").drop("w", "h")
+
+
+@query(_CELLS + """, c AS (SELECT w, h, ti, tj, count(*) AS n FROM v WHERE wi BETWEEN 0 AND 27 AND wj BETWEEN 0 AND 27 GROUP BY 1, 2, 3, 4), s AS (SELECT w, h, count(*) AS patches, max(n) AS most, sum(n) AS cells FROM c GROUP BY 1, 2)
+  SELECT image_id, patches, most, cells FROM im LEFT JOIN s USING (w, h)""")
 def geo_footprints(spark, d):
-    """Windows over each target patch, for the images whose id is a multiple of 25: a feature's fixed set, as panels take it."""
-    w = G.window_grid(sizes(spark, d).where("image_id % 25 = 0"), 0.5, 1.0, 28)
-    return G.projected_cells(w, 28, 448).groupBy("image_id", "ti", "tj").agg(F.count("*").alias("windows"))
+    """How windows cover the patches of each image."""
+    im = sizes(spark, d)
+    r, c = (G.axis_cover(im, x, 0.5, 1.0, 28, 448, x + "_") for x in ("h", "w"))
+    both = lambda k: (F.col(f"h_{k}") * F.col(f"w_{k}"))
+    x = im.join(r.join(c, ["w", "h"]), ["w", "h"], "left")
+    return x.select("image_id", both("hit").alias("patches"), both("most").alias("most"), both("sum").alias("cells"))
 
 
-@query(f"""WITH {SIZES}, {_grid_sql("0.5e0", "1.0e0")}, u AS (SELECT * FROM wg WHERE image_id % 25 = 0 AND (image_id + top + "left") % 3 <> 0),
-  t AS (SELECT u.*, CAST(ti AS INT) AS ti, CAST(tj AS INT) AS tj FROM u CROSS JOIN (SELECT unnest(range(0, 28)) AS ti) CROSS JOIN (SELECT unnest(range(0, 28)) AS tj)
-    WHERE ti >= greatest(0, floor(top * 448 / CAST(h AS DOUBLE) / 16)) AND ti < least(28, ceil((top + side) * 448 / CAST(h AS DOUBLE) / 16)) AND tj >= greatest(0, floor("left" * 448 / CAST(w AS DOUBLE) / 16)) AND tj < least(28, ceil(("left" + side) * 448 / CAST(w AS DOUBLE) / 16))),
-  v AS (SELECT *, CAST(trunc(((ti + 0.5e0) * 16 * h / 448 - top) / (side / 28.0e0)) AS INT) AS wi, CAST(trunc(((tj + 0.5e0) * 16 * w / 448 - "left") / (side / 28.0e0)) AS INT) AS wj FROM t)
-  SELECT DISTINCT image_id, ti, tj FROM v WHERE wi BETWEEN 0 AND 27 AND wj BETWEEN 0 AND 27 AND (wi * 7 + wj * 3 + top) % 5 = 0""")
+@query(_CELLS + """, c AS (SELECT DISTINCT w, h, ti, tj FROM v WHERE (w + top + "left") % 3 <> 0 AND wi BETWEEN 0 AND 27 AND wj BETWEEN 0 AND 27 AND (wi * 7 + wj * 3 + top) % 5 = 0),
+  s AS (SELECT w, h, count(*) AS patches, CAST(sum(ti * 28 + tj) AS BIGINT) AS places FROM c GROUP BY 1, 2) SELECT image_id, patches, places FROM im LEFT JOIN s USING (w, h)""")
 def geo_tile_masks(spark, d):
     """Masks of the windows that pass a gate, projected on the image's patches and joined by OR."""
-    w = G.window_grid(sizes(spark, d).where("image_id % 25 = 0"), 0.5, 1.0, 28).where("(image_id + top + left) % 3 <> 0")
-    w = w.withColumn("win", F.concat_ws(":", "image_id", "top", "left"))
-    grid = F.sequence(F.lit(0), F.lit(27))
-    cells = w.select("win", "top", F.explode(grid).alias("wi")).select("win", "top", "wi", F.explode(grid).alias("wj")).where("(wi * 7 + wj * 3 + top) % 5 = 0").select("win", "wi", "wj")
-    return G.project_masks(w, cells, "image_id", "win", 28, 448)
+
+    def how(w):
+        w = w.where("(w + top + left) % 3 <> 0").withColumn("win", F.xxhash64("w", "h", "top", "left"))
+        grid = F.sequence(F.lit(0), F.lit(27))
+        cells = w.select("win", "top", F.explode(grid).alias("wi")).select("win", "top", "wi", F.explode(grid).alias("wj")).where("(wi * 7 + wj * 3 + top) % 5 = 0").drop("top")
+        return G.project_masks(w, cells, ["w", "h"], "win", 28, 448).groupBy("w", "h").agg(F.count("*").alias("patches"), F.sum(F.col("ti") * 28 + F.col("tj")).cast("long").alias("places"))
+
+    return _by_size(spark, d, how)
 
 
 @query(f"""WITH {MASKS} SELECT image_id, r // 4 AS pr, c // 4 AS pc, round(avg(CAST(gt AS INT)), 6) AS density, avg(CAST(gt AS INT)) > 0.15 AS hard, CAST(CASE WHEN avg(CAST(gt AS INT)) >= 0.45 THEN 1 ELSE 0 END AS INT) AS label,
