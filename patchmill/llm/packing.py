@@ -104,7 +104,7 @@ def pack(items: DataFrame, limits: DataFrame, *, seed: int = 0, window: int = 20
     ready = x.where(full).select(*columns, alone.alias("container"))
     id_type = items.schema["doc_id"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id"], ignore_index=True)
         box = fill(pdf["tokens"].to_numpy(), int(pdf["cap"].iloc[0]))
         return pdf[columns].assign(container=[f"w{key[1]}-{b}" for b in box])

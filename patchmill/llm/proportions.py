@@ -114,7 +114,7 @@ class ProportionSample:
         units = self.rows.join(rates, cat).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts"))).drop("parts")
         schema = f"request_id long, id {self.rows.schema['id'].dataType.simpleString()}, {fields}, taken boolean, rate double"
 
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             import hashlib
 
             pdf = pdf.sort_values("id", ignore_index=True)
