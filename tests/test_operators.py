@@ -147,6 +147,39 @@ def test_boxes(spark):
     assert (r["y1"] - r["y0"]) // 16 == 8 and r["x0"] >= 0
 
 
+def test_covers_and_projection_equal_cells(spark):
+    df = spark.createDataFrame([(1, 230, 470), (2, 448, 448), (3, 30, 28)], "image_id int, w int, h int")
+    c = G.projected_cells(G.window_grid(df, 0.5, 0.5, 28), 28, 448).groupBy("w", "h", "ti", "tj").agg(F.count("*").alias("n"))
+    want = {(r["w"], r["h"]): (r["p"], r["m"], r["s"]) for r in c.groupBy("w", "h").agg(F.count("*").alias("p"), F.max("n").alias("m"), F.sum("n").alias("s")).collect()}
+    x = G.axis_cover(df, "h", 0.5, 0.5, 28, 448, "a").join(G.axis_cover(df, "w", 0.5, 0.5, 28, 448, "b"), ["w", "h"])
+    assert want == {(r["w"], r["h"]): (r["ahit"] * r["bhit"], r["amost"] * r["bmost"], r["asum"] * r["bsum"]) for r in x.collect()}
+    win = spark.createDataFrame([(1, 0, 0, 448, 448, 448)], "win int, top int, left int, side int, w int, h int")
+    cells = spark.createDataFrame([(1, 3, 5), (1, 0, 27), (2, 1, 1)], "win int, wi int, wj int")
+    assert {(r["ti"], r["tj"]) for r in G.project_masks(win, cells, ["win"], "win", 28, 448).collect()} == {(3, 5), (0, 27)}
+
+
+def test_running_sums_in_two_levels(spark, monkeypatch):
+    from patchmill import storage
+
+    df = spark.createDataFrame([("a", float(i % 97), i % 5) for i in range(97)] + [("b", 1.0, 2)], "k string, s double, v int")
+    run = lambda: sorted(map(tuple, storage.running_sums(df, ["k"], F.col("s").desc(), {"r": "v"}, {"t": "v"}).select("k", "s", "v", "r", "t").collect()))
+    one = run()
+    monkeypatch.setattr(storage, "WINDOW_BYTES", 0)
+    assert run() == one and one[-1] == ("b", 1.0, 2, 2, 2)
+
+
+def test_intermediate_tables_can_be_cleaned(spark):
+    import os
+
+    from patchmill import storage
+
+    ws = storage.Workspace(spark, "t")
+    x = ws.cut(spark.range(3))
+    assert x.count() == 3 and os.path.isdir(ws.root)
+    storage.clean(spark)
+    assert not os.path.isdir(ws.root)
+
+
 def test_soft_labels(spark):
     x = spark.createDataFrame([(v,) for v in (0.0, 0.01, 0.04, 0.06)], "d double").select(*G.soft_labels(F.col("d"))).collect()
     assert [(r["label"], round(r["weight"], 6)) for r in x] == [(0, 1.0), (0, 0.0), (1, 0.5), (1, 1.0)]
