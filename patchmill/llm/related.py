@@ -14,7 +14,7 @@ MOST_STRATA = 2000
 
 
 def related_components(df: DataFrame, id_col: str, entities: Column) -> DataFrame:
-    """(id, component): the connected component of each record in the graph of records and entities.
+    """(id, component): the connected component of each record in the graph of records and entities, named by its least entity's MD5.
 
     entities is an array expression; NULL elements are ignored, and a record without entities is a component of its own, named by its
     id. Rows of one id count once; a NULL id is dropped. Only distinct entity sets of two or more join anything, so records are
@@ -24,9 +24,10 @@ def related_components(df: DataFrame, id_col: str, entities: Column) -> DataFram
     """
     ws = Workspace(df.sparkSession, "related")
     rows = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).select(F.col(id_col).alias("id"), entities.alias("e"))
-    rows = ws.cut(rows.select("id", F.array_sort(F.array_distinct(F.filter("e", lambda x: x.isNotNull()))).alias("e")))
+    digests = F.transform(F.filter("e", lambda x: x.isNotNull()), lambda x: F.unhex(F.md5(x)))
+    rows = ws.cut(rows.select("id", F.array_sort(F.array_distinct(digests)).alias("e")))
     sets = rows.where(F.size("e") > 1).select("e").distinct()
-    links = ws.cut(sets.select(F.xxhash64("e").alias("set"), F.explode("e").alias("entity")).distinct())
+    links = ws.cut(sets.select(F.unhex(F.md5(F.array_join(F.transform("e", F.hex), ","))).alias("set"), F.explode("e").alias("entity")))
     labels = ws.cut(links.groupBy("entity").agg(F.min("entity").alias("label")))
     while True:
         of_set = links.join(labels, "entity").groupBy("set").agg(F.min("label").alias("label"))
@@ -41,7 +42,7 @@ def related_components(df: DataFrame, id_col: str, entities: Column) -> DataFram
             break
     first = rows.withColumn("entity", F.when(F.size("e") > 0, F.element_at("e", 1)))
     out = first.join(labels, "entity", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("label", "entity", F.concat(F.lit("id:"), F.col("id").cast("string"))).alias("component"))
+    return out.select(F.col("id").alias(id_col), F.coalesce(F.lower(F.hex(F.coalesce("label", "entity"))), F.concat(F.lit("id:"), F.col("id").cast("string"))).alias("component"))
 
 
 def _assign(sizes: np.ndarray, target: np.ndarray, start: np.ndarray) -> np.ndarray:
