@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchmill.functions.labels import path_plain
+
 VALID = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif")
 # Endings of file stems that name a picture's part.
 PARTS = "modified|original|orig|mask|fake|real|inpainted|gt"
@@ -142,11 +144,14 @@ def route_split(train_sources: list[str], val_sources: list[str]) -> Column:
 
 
 def quality_issues(items: DataFrame, li: DataFrame, min_bytes: int = 64) -> DataFrame:
-    """(item_id, source, code, detail): hard and soft faults of manifest rows against the files that are there."""
+    """(item_id, source, code, detail): hard and soft faults of manifest rows against the files that are there.
+
+    li: one row for each file, by normalised path. img, mask and real_path are normalised for the comparison; detail has them as they are.
+    """
     f = li.select("path", "length")
-    x = items.join(f.select(F.col("path").alias("img"), F.col("length").alias("n_img")), "img", "left")
-    x = x.join(f.select(F.col("path").alias("mask"), F.col("length").alias("n_mask")), "mask", "left")
-    x = x.join(f.select(F.col("path").alias("real_path"), F.col("length").alias("n_real")), "real_path", "left")
+    x = items.withColumns({f"f_{c}": path_plain(c) for c in ("img", "mask", "real_path")})
+    for c, n in (("img", "n_img"), ("mask", "n_mask"), ("real_path", "n_real")):
+        x = x.join(f.select(F.col("path").alias(f"f_{c}"), F.col("length").alias(n)), f"f_{c}", "left")
     splice = F.coalesce(F.col("kind").isin("imdsplice", "casiasplice"), F.lit(False))
     checks = [
         ("missing_img", F.col("n_img").isNull(), F.col("img")),

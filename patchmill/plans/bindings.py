@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchmill.functions.labels import label
+from patchmill.functions.labels import label, path_plain
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,8 +24,8 @@ ITEMS = """it AS (SELECT item_id, any_value(img) AS img, any_value(mask) AS mask
 
 
 def listing(spark: SparkSession, d: str) -> DataFrame:
-    """Files once each: (path, name, stem, ext, length) of the clean paths."""
-    x = table(spark, d, "listing").where(F.col("path").rlike(r"^/data/[^\\ ]+\.[A-Za-z]+$") & ~F.col("path").rlike(r"//|/\./"))
+    """Files once each: (path, name, stem, ext, length), by normalised path, with the greatest length listed for it; in any folder."""
+    x = table(spark, d, "listing").select(path_plain("path").alias("path"), "length").where("path <> ''")
     x = x.groupBy("path").agg(F.max("length").alias("length"))
     name = F.substring_index("path", "/", -1)
     return x.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("ext"), "length")
