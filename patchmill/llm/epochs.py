@@ -17,29 +17,36 @@ def record_key(exact: list[str], labels: list[Column]) -> Column:
     return F.md5(F.to_json(F.struct(*[F.col(c).alias(f"e{i}") for i, c in enumerate(exact)], *[x.alias(f"l{i}") for i, x in enumerate(labels)]), {"ignoreNullFields": "false"}))
 
 
-def epoch_ledger(df: DataFrame, key: Column, epoch: Column, rates: dict[int, float], default_rate: float) -> DataFrame:
-    """(key, epoch, rate): the first epoch in which each record was seen, with the rate of that epoch, to be kept for later runs.
+def epoch_ledger(df: DataFrame, key: Column, epoch: Column, rates: dict[int, float], default_rate: float, *, stored: DataFrame | None = None, null_epoch: int = 0) -> DataFrame:
+    """(key, epoch, rate, new): the first epoch in which each record was seen, with the rate of that epoch, to be kept for later runs.
 
-    A NULL epoch counts as the last one. Rates of epochs that are over must never change; a later run passes old and new ones.
+    stored: (key, epoch, rate) of earlier runs. Its keys keep their epoch and rate, whatever rows are at hand and whatever the rates
+    are now, and stay in the ledger; the rows with ``new`` are to be appended to it. A record with NULL epochs only counts as of
+    null_epoch, which does not move as epochs are added. Without stored, rates of epochs that are over must never change.
     """
-    last = max(rates, default=0)
-    first = df.select(key.alias("key"), F.coalesce(epoch.cast("int"), F.lit(last)).alias("epoch")).groupBy("key").agg(F.min("epoch").alias("epoch"))
+    first = df.select(key.alias("key"), epoch.cast("int").alias("epoch")).groupBy("key").agg(F.coalesce(F.min("epoch"), F.lit(null_epoch)).alias("epoch"))
     rate = F.lit(default_rate)
     for e, r in rates.items():
         rate = F.when(F.col("epoch") == e, F.lit(float(r))).otherwise(rate)
-    return first.withColumn("rate", rate)
+    first = first.withColumn("rate", rate)
+    if stored is None:
+        return first.withColumn("new", F.lit(True))
+    kept = stored.groupBy("key").agg(F.min(F.struct(F.col("epoch").cast("int").alias("epoch"), F.col("rate").cast("double").alias("rate"))).alias("s"))
+    s = F.col("s")
+    return first.join(kept, "key", "full").select("key", *[F.when(s.isNull(), F.col(c)).otherwise(s[c]).alias(c) for c in ("epoch", "rate")], s.isNull().alias("new"))
 
 
-def epoch_sample(df: DataFrame, id_col: str, key: Column, epoch: Column, rates: dict[int, float], *, prior_keys: DataFrame | None = None, default_rate: float = 0.0, seed: int = 0) -> DataFrame:
+def epoch_sample(df: DataFrame, id_col: str, key: Column, epoch: Column, rates: dict[int, float], *, prior_keys: DataFrame | None = None, stored: DataFrame | None = None, default_rate: float = 0.0, seed: int = 0) -> DataFrame:
     """(id, key, epoch, rate, u, by): the records of the sample, one row for each id.
 
     A record is in the sample where its random number, keyed by its identifying fields, is below the rate of the epoch in which it
     was first seen, or where an earlier run picked it (prior_keys has the column ``key``; keys without a record are ignored). So
-    new batches add records and take none away, and neither order nor repetition nor partitioning of rows matters. by is
+    new batches add records and take none away, provided that the early rows are still at hand or stored holds the ledger of earlier
+    runs (epoch_ledger over the same rows and with the same stored gives what to append to it); and neither order nor repetition nor partitioning of rows matters. by is
     ``prior`` for earlier picks, else ``rate``. Ids that are the same record are in or out together; a NULL id is dropped.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"), epoch.alias("epoch"))
-    ledger = epoch_ledger(rows, F.col("key"), F.col("epoch"), rates, default_rate)
+    ledger = epoch_ledger(rows, F.col("key"), F.col("epoch"), rates, default_rate, stored=stored)
     if prior_keys is not None:
         ledger = ledger.join(prior_keys.select("key", F.lit(True).alias("prior")).distinct(), "key", "left")
     else:
