@@ -140,7 +140,7 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
     names = [r["subject"] for r in _t(spark, d, "subjects").where("subject is not null").distinct().orderBy("subject").collect()]
     spelled = F.create_map(*[x for n in names for x in (label(F.lit(n)), F.lit(n))])
     seeds = _t(spark, d, "subject_labels").select("doc_id", F.try_element_at(spelled, label("subject")).alias("subject")).distinct()
-    return document_subjects(_t(spark, d, "documents").select("doc_id", "text"), seeds, names)
+    return document_subjects(_t(spark, d, "documents").select("doc_id", "text"), seeds, names, every=True)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

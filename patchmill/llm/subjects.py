@@ -116,11 +116,12 @@ def subject_shares(docs: DataFrame, seeds: DataFrame, subjects: list[str], *, ro
     return n.join(table.select("doc_id", F.col("c").alias("counts"), "soft"), "doc_id", "left").withColumns({"counts": F.coalesce("counts", zero), "soft": F.coalesce("soft", zero)})
 
 
-def document_subjects(docs: DataFrame, seeds: DataFrame, subjects: list[str], *, share: float = 0.2, most: int = 3, **how) -> DataFrame:
-    """(doc_id, subject, share): one to ``most`` subjects of each document that has any words.
+def document_subjects(docs: DataFrame, seeds: DataFrame, subjects: list[str], *, share: float = 0.2, most: int = 3, every: bool = False, **how) -> DataFrame:
+    """(doc_id, subject, share): one to ``most`` subjects of each document that has any words, with every also of those that have none.
 
     A subject is a document's where at least ``share`` of its statements are about it; where none reaches that, the one with the most
     statements or, failing these, the most support is. Documents without any support get the subject most common in the corpus.
+    Documents without words get their seed subjects, else the most common one, with share 0.
     """
     k = len(subjects)
     ws = Workspace(docs.sparkSession, "areas")
@@ -132,4 +133,9 @@ def document_subjects(docs: DataFrame, seeds: DataFrame, subjects: list[str], *,
     x = t.select("doc_id", ranked.alias("r"))
     enough = F.filter(F.slice("r", 1, most), lambda s: s["share"] >= share - 1e-9)
     x = x.select("doc_id", F.explode(F.when(F.size(enough) > 0, enough).otherwise(F.slice("r", 1, 1))).alias("s"))
-    return x.select("doc_id", "s.subject", "s.share")
+    x = x.select("doc_id", "s.subject", "s.share")
+    if not every:
+        return x
+    own = seeds.where(F.col("subject").isin(*subjects)).groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("subject")), 1, most).alias("own"))
+    bare = docs.where("doc_id is not null").select("doc_id").join(t.select("doc_id"), "doc_id", "left_anti").join(own, "doc_id", "left")
+    return x.unionByName(bare.select("doc_id", F.explode(F.coalesce("own", F.array(F.lit(subjects[usual])))).alias("subject"), F.lit(0.0).alias("share")))
