@@ -64,18 +64,22 @@ def compaction_plan(files: DataFrame, directories: DataFrame, target: int = MB12
 
 
 def manifest_plan(items: DataFrame, listing: DataFrame, target: int = MB128) -> DataFrame:
-    """(file, role, length, output, seq, offset): every img and mask of items exactly once, with its place in an output file.
+    """(file, role, length, output, seq, offset, status): every img and mask of items exactly once, with its place in an output file.
 
-    Files that the listing lacks have NULL places: they are reported, not dropped. A file that is img and mask of several items is
+    status: ``placed``; ``empty``, a listed file of length 0, whose place has length 0; ``unknown length``, a listed file without a
+    length; ``unlisted``. The last two have NULL places: they are reported, not dropped. A file counts by what items say it is, not by its name's ending. A file that is img and mask of several items is
     planned once, with the role ``img``.
     """
     ws = Workspace(items.sparkSession, "compaction")
     own = items.select(F.explode(F.array(F.struct(path_plain("img").alias("file"), F.lit("img").alias("role")), F.struct(path_plain("mask").alias("file"), F.lit("mask").alias("role")))).alias("f")).select("f.*")
     own = own.where("file is not null and file <> ''").groupBy("file").agg(F.min("role").alias("role"))
-    files = ws.cut(data_files(listing))
-    wanted = files.join(own, "file", "left_semi")
+    files = listing.select(path_plain("path").alias("file"), "length").groupBy("file").agg(F.max("length").alias("length"))
+    files = ws.cut(files.join(own, "file", "left_semi").withColumn("dir", F.regexp_replace("file", "/?[^/]*$", "")))
+    wanted = files.where("length >= 0")
     dirs = wanted.groupBy("dir").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes")).withColumn("too_many", F.lit(True))
-    return own.join(compaction_plan(wanted, dirs, target), "file", "left")
+    status = F.when(F.col("length") > 0, "placed").when(F.col("length") == 0, "empty").otherwise("unknown length").alias("status")
+    plan = own.join(compaction_plan(wanted, dirs, target), "file", "left").join(files.select("file", status), "file", "left")
+    return plan.na.fill("unlisted", ["status"])
 
 
 def concatenate(plan: DataFrame, out_dir: str, kind: str = "blob", *, header: bool = False, chunk: int = 1 << 20) -> DataFrame:
