@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchmill.functions.tiers import TIERS
-from patchmill.storage import running_sums
+from patchmill.storage import running_sums, same_keys
 
 INF = float("inf")
 
@@ -26,15 +26,24 @@ def auroc(df: DataFrame, *keys: str, score: str = "logit", label: str = "label",
 
 
 def operating_points(df: DataFrame, *keys: str, score: str = "logit", label: str = "label") -> DataFrame:
-    """(keys, score, tp, fp, P, N): counts at or above each distinct score."""
+    """(keys, score, at_pos, tp, fp, P, N): positives at each distinct score, counts at or above it, and totals."""
     c = score_counts(df, *keys, score=score, label=label)
     c = running_sums(c, list(keys), F.col("score").desc(), {"tp": "p", "fp": "n"}, {"pos": "p", "neg": "n"})
-    return c.select(*keys, "score", "tp", "fp", F.col("pos").alias("P"), F.col("neg").alias("N"))
+    return c.select(*keys, "score", F.col("p").alias("at_pos"), "tp", "fp", F.col("pos").alias("P"), F.col("neg").alias("N"))
+
+
+def _auc_of(o: DataFrame, *keys: str) -> DataFrame:
+    """(keys, auc) of operating points; tied pairs count 0."""
+    a = o.groupBy(*keys).agg(F.sum(F.col("at_pos") * (F.col("N") - F.col("fp"))).alias("w"), F.max("P").alias("P"), F.max("N").alias("N"))
+    return a.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0), F.try_divide("w", F.col("P").cast("double") * F.col("N"))).otherwise(F.lit(float("nan"))).alias("auc"))
 
 
 def best_threshold(df: DataFrame, *keys: str, score: str = "logit", label: str = "label") -> DataFrame:
     """(keys, opt_threshold, opt_bal_acc, opt_tpr, opt_tnr): the smallest score of greatest balanced accuracy above 0.5; else 0, 0.5, 0, 1."""
-    o = operating_points(df, *keys, score=score, label=label)
+    return _best_of(operating_points(df, *keys, score=score, label=label), *keys)
+
+
+def _best_of(o: DataFrame, *keys: str) -> DataFrame:
     tpr, tnr = F.coalesce(F.try_divide(F.col("tp").cast("double"), "P"), F.lit(0.0)), F.coalesce(1 - F.try_divide(F.col("fp").cast("double"), "N"), F.lit(0.0))
     o = o.withColumns({"tpr": tpr, "tnr": tnr}).withColumn("ba", (F.col("tpr") + F.col("tnr")) / 2)
     best = o.groupBy(*keys).agg(F.max_by(F.struct("score", "ba", "tpr", "tnr"), F.struct("ba", -F.col("score"))).alias("b"))
@@ -52,7 +61,7 @@ def threshold_at_tnr(df: DataFrame, tnr: float, *keys: str, score: str = "logit"
 
 
 def image_metrics(df: DataFrame, *keys: str, prob: float = 0.5) -> DataFrame:
-    """Counts, AUC, rates at a probability threshold and at the best logit threshold."""
+    """Counts, AUC, rates at a probability threshold and at the best logit threshold. Scores are counted and sorted once for both curves."""
     up = F.col("logit") >= F.lit(_logit(prob))
     r = df.groupBy(*keys).agg(
         F.count("*").alias("n_total"),
@@ -61,7 +70,8 @@ def image_metrics(df: DataFrame, *keys: str, prob: float = 0.5) -> DataFrame:
         F.coalesce(F.avg(F.when(F.col("label") == 1, up.cast("double"))), F.lit(0.0)).alias("tpr"),
         F.coalesce(F.avg(F.when(F.col("label") == 0, (~up).cast("double"))), F.lit(0.0)).alias("tnr"),
     ).withColumn("bal_acc", (F.col("tpr") + F.col("tnr")) / 2)
-    return r.join(auroc(df, *keys), list(keys)).join(best_threshold(df, *keys), list(keys))
+    o = operating_points(df, *keys)
+    return same_keys(keys, same_keys(keys, r, _auc_of(o, *keys)), _best_of(o, *keys))
 
 
 def _logit(p: float) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -53,15 +54,20 @@ def reals_at_rate(df: DataFrame, rate: float, seed: str) -> DataFrame:
     return bottom_by_hash(df, max(1, round(n * rate)) if n else 0, seed + "|reals")
 
 
-def rank_split(df: DataFrame, key: str, frac: float, seed: str) -> DataFrame:
-    """(key, side): the first round(n * frac) distinct keys by md5(seed|key) are ``train``, the others ``val``.
+def holdout(df: DataFrame, key: str, frac: float, seed: str) -> DataFrame:
+    """(key, side): the first floor(n * frac) distinct keys by md5(seed|key) are ``val``, the others ``train``."""
+    return rank_split(df, key, frac, seed, first="val", then="train", whole=int)
+
+
+def rank_split(df: DataFrame, key: str, frac: float, seed: str, *, first: str = "train", then: str = "val", whole: Callable[[float], int] = round) -> DataFrame:
+    """(key, side): the first round(n * frac) distinct keys by md5(seed|key) are ``train``, the others ``val``; NULL keys have no side.
 
     The cut is found from counts by hash prefix, so no task sorts all keys: only keys that share the prefix at the cut are ranked.
     """
     ws = Workspace(df.sparkSession, "rank-split")
     k = ws.cut(df.select(F.col(key).alias("key")).where("key is not null").distinct().withColumn("h", F.md5(F.concat(F.lit(seed + "|"), F.col("key")))))
     by = k.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # 4096 rows at most
-    want = round(sum(r["n"] for r in by) * frac)
+    want = whole(sum(r["n"] for r in by) * frac)
     done, cut = 0, None
     for r in by:
         if done + r["n"] > want:
@@ -69,11 +75,11 @@ def rank_split(df: DataFrame, key: str, frac: float, seed: str) -> DataFrame:
             break
         done += r["n"]
     if cut is None:
-        return k.select(F.col("key").alias(key), F.lit("train").alias("side"))
+        return k.select(F.col("key").alias(key), F.lit(first).alias("side"))
     p = F.substring("h", 1, 3)
     ranked = k.where(p == cut).withColumn("rk", F.row_number().over(Window.partitionBy(p).orderBy("h", "key")))
-    edge = ranked.select("key", F.when(F.col("rk") <= want - done, "train").otherwise("val").alias("side"))
-    rest = k.where(p != cut).select("key", F.when(p < cut, "train").otherwise("val").alias("side"))
+    edge = ranked.select("key", F.when(F.col("rk") <= want - done, first).otherwise(then).alias("side"))
+    rest = k.where(p != cut).select("key", F.when(p < cut, first).otherwise(then).alias("side"))
     return rest.unionByName(edge).withColumnRenamed("key", key)
 
 

@@ -31,9 +31,14 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
     return x.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("ext"), "length")
 
 
-LISTING = r"""li AS (SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') AS stem,
-  lower(regexp_extract(path, '\.[^./]+$')) AS ext, length FROM (SELECT path, max(length) AS length FROM listing
-  WHERE regexp_matches(path, '^/data/[^\\ ]+\.[A-Za-z]+$') AND NOT regexp_matches(path, '//|/\./') GROUP BY path))"""
+def path_sql(c: str) -> str:
+    """SQL of path_plain."""
+    return rf"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '\', '/'), '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', '')"
+
+
+LISTING = rf"""li AS (SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') AS stem,
+  lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\.[^.]+$')) AS ext, length
+  FROM (SELECT {path_sql("path")} AS path, max(length) AS length FROM listing GROUP BY 1) WHERE path <> '')"""
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchmill.operators import manifest as M
 from patchmill.operators import sampling as S
-from patchmill.plans.bindings import ITEMS, LISTING, LOC, items, listing, loc
+from patchmill.plans.bindings import ITEMS, LISTING, LOC, items, listing, loc, path_sql
 
 QUERIES = {}
 SQL = {}
@@ -94,110 +94,134 @@ def src_nested_index(spark, d):
     return x.select("scene", "category", "model", "type", "img", kind.alias("mask_type"), M.mask_family(kind).alias("family"), "variation_id", "mask")
 
 
-@query(rf"""WITH {LISTING} SELECT path AS img, CAST(NULL AS VARCHAR) AS mask, 'indoor_real' AS kind, stem AS case_id, 'indoor_real' AS source,
-  CASE WHEN contains(path, '/h000002/') THEN 'val' ELSE 'train' END AS split FROM li WHERE ext IN ('.jpg','.jpeg','.png','.bmp','.webp','.tif') AND contains(path, '/indoor/')""")
-def src_indoor(spark, d):
-    return M.indoor_items(listing(spark, d), "h000002")
+_OK = "ext IN ('.jpg','.jpeg','.png','.bmp','.webp','.tif')"
 
 
-@query(rf"""WITH {LISTING}, x AS (SELECT *, split_part(path, '/', -2) AS case_id FROM li WHERE ext IN ('.jpg','.jpeg','.png','.bmp','.webp','.tif') AND contains(path, '/imd2020/')),
-  o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY name) AS rk FROM x WHERE contains(stem, '_orig')),
-  m AS (SELECT case_id, regexp_replace(stem, '_mask$', '') AS stem, path AS mask FROM x WHERE ends_with(name, '_mask.png'))
-  SELECT path AS img, CAST(NULL AS VARCHAR) AS mask, 'imd_real' AS kind, case_id, 'imd2020' AS source FROM o WHERE rk = 1
-  UNION ALL SELECT x.path, m.mask, 'imd_splice', x.case_id, 'imd2020' FROM x JOIN m ON x.case_id = m.case_id AND x.stem = m.stem
-  WHERE NOT contains(x.stem, '_orig') AND NOT ends_with(x.stem, '_mask') AND x.case_id IN (SELECT case_id FROM o)""")
-def src_imd(spark, d):
-    return M.imd_items(listing(spark, d))
-
-
-_SIDE = "CASE WHEN substr(md5({c}), 1, 1) < '8' THEN 'train' ELSE 'val' END"
+def _held(keys: str, key: str, name: str, seed: str = "42") -> str:
+    """CTE name(key, split): the first tenth of the keys by hash is held out."""
+    return f"{name} AS (SELECT {key}, CASE WHEN row_number() OVER (ORDER BY md5('{seed}|' || {key}), {key}) <= floor(count(*) OVER () * 0.1e0) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT {key} FROM {keys} WHERE {key} IS NOT NULL))"
 
 
 def _part(where: str, as_: str, base: str) -> str:
-    return f"(SELECT {base} AS base, max_by(path, name) AS {as_} FROM li WHERE ext IN ('.jpg','.jpeg','.png','.bmp','.webp','.tif') AND {where} GROUP BY 1)"
+    return f"(SELECT {base} AS base, max(struct_pack(n := name, p := path)).p AS {as_} FROM li WHERE {_OK} AND {where} GROUP BY 1)"
 
 
 _BASE = "regexp_replace(stem, '_(modified|original|orig|mask|fake|real|inpainted|gt)$', '')"
-_LBASE = "regexp_replace(lower(stem), '_(modified|original|orig|mask|fake|real|inpainted|gt)$', '')"
-
-
-@query(f"""WITH {LISTING}, t AS (SELECT r.base, r.real, f.fake, m.mask, nullif(regexp_extract(r.base, '^casia_([^_]*)_(.*)$', 1), '') AS bg_id,
+_IMD = f"""im AS (SELECT *, split_part(path, '/', -2) AS case_id FROM li WHERE {_OK} AND contains(path, '/imd2020/')), {_held("im", "case_id", "im_s")},
+  im_o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY name, path) AS rk FROM im WHERE contains(stem, '_orig')),
+  im_m AS (SELECT case_id, regexp_replace(stem, '_mask$', '') AS stem, path AS mask FROM im WHERE ends_with(name, '_mask.png')),
+  im_r AS (SELECT r.*, im_s.split FROM (SELECT path AS img, CAST(NULL AS VARCHAR) AS mask, 'imd_real' AS kind, case_id, 'imd2020' AS source FROM im_o WHERE rk = 1
+    UNION ALL SELECT im.path, im_m.mask, 'imd_splice', im.case_id, 'imd2020' FROM im JOIN im_m ON im.case_id = im_m.case_id AND im.stem = im_m.stem
+    WHERE NOT contains(im.stem, '_orig') AND NOT ends_with(im.stem, '_mask') AND im.case_id IN (SELECT case_id FROM im_o)) r JOIN im_s ON im_s.case_id = r.case_id)"""
+_CASIA = f"""ca AS (SELECT r.base, r.real, f.fake, m.mask, nullif(regexp_extract(r.base, '^casia_([^_]*)_(.*)$', 1), '') AS bg_id,
     regexp_extract(nullif(regexp_extract(r.base, '^casia_([^_]*)_(.*)$', 2), ''), '^[^_]+') AS fg_id
   FROM {_part("contains(path, '/casia/images/') AND ends_with(stem, '_real')", "real", _BASE)} r JOIN {_part("contains(path, '/casia/images/') AND ends_with(stem, '_fake')", "fake", _BASE)} f USING (base)
-  JOIN {_part("contains(path, '/casia/masks/') AND ends_with(stem, '_mask')", "mask", _BASE)} m USING (base)),
-  s AS (SELECT *, {_SIDE.format(c="bg_id")} AS split FROM t WHERE {_SIDE.format(c="bg_id")} = {_SIDE.format(c="fg_id")})
-  SELECT real AS img, CAST(NULL AS VARCHAR) AS mask, 'imd_real' AS kind, base AS case_id, 'casia' AS source, bg_id, fg_id, split FROM s
-  UNION ALL SELECT fake, mask, 'imd_splice', base, 'casia', bg_id, fg_id, split FROM s""")
+  JOIN {_part("contains(path, '/casia/masks/') AND ends_with(stem, '_mask')", "mask", _BASE)} m USING (base)), ca_k AS (SELECT * FROM ca WHERE bg_id <> '' AND fg_id <> ''),
+  {_held("ca_k", "bg_id", "ca_b", "42|bg_id")}, {_held("ca_k", "fg_id", "ca_f", "42|fg_id")},
+  ca_t AS (SELECT ca.*, ca_b.split FROM ca JOIN ca_b USING (bg_id) JOIN ca_f USING (fg_id) WHERE ca_b.split = ca_f.split),
+  ca_r AS (SELECT real AS img, CAST(NULL AS VARCHAR) AS mask, 'imd_real' AS kind, base AS case_id, 'casia' AS source, bg_id, fg_id, split FROM ca_t
+    UNION ALL SELECT fake, mask, 'imd_splice', base, 'casia', bg_id, fg_id, split FROM ca_t)"""
+_GLIDE = f"""gl AS (SELECT m.base, m.m, o.o, k.k FROM {_part("contains(path, '/glidefill/modified/')", "m", _BASE)} m JOIN {_part("contains(path, '/glidefill/original/')", "o", _BASE)} o USING (base)
+  JOIN {_part("contains(path, '/glidefill/mask/')", "k", _BASE)} k USING (base)), {_held("gl", "base", "gl_s")},
+  gl_r AS (SELECT o AS img, CAST(NULL AS VARCHAR) AS mask, 'imd_real' AS kind, CAST(NULL AS VARCHAR) AS real_path, 'glidefill_' || base AS case_id, 'glidefill' AS source, split FROM gl JOIN gl_s USING (base)
+    UNION ALL SELECT m, k, 'casia_splice', o, 'glidefill_' || base, 'glidefill', split FROM gl JOIN gl_s USING (base))"""
+_ANY = f"""an AS (SELECT r.base, r.real, f.fake, m.mask FROM {_part("contains(path, '/anyedit/images/') AND regexp_matches(lower(stem), '_(real|original)$')", "real", _BASE)} r
+  JOIN {_part("contains(path, '/anyedit/images/') AND regexp_matches(lower(stem), '_(fake|modified)$')", "fake", _BASE)} f USING (base) LEFT JOIN {_part("contains(path, '/anyedit/masks/')", "mask", _BASE)} m USING (base)), {_held("an", "base", "an_s")},
+  an_r AS (SELECT real AS img, CAST(NULL AS VARCHAR) AS mask, 'imd_real' AS kind, CAST(NULL AS VARCHAR) AS real_path, 'anyedit_' || base AS case_id, 'anyedit' AS source, split FROM an JOIN an_s USING (base)
+    UNION ALL SELECT fake, mask, 'casia_splice', NULL, 'anyedit_' || base, 'anyedit', split FROM an JOIN an_s USING (base))"""
+_BFREE = rf"""bf_a AS {_part("contains(path, '/bfree/anchor/')", "anchor", "regexp_replace(lower(stem), '_anchor$', '')")},
+  bf_b AS {_part("contains(path, '/bfree/bbox/')", "box", "regexp_replace(lower(stem), '_mask$', '')")}, bf_x AS {_part("contains(path, '/bfree/exact/')", "exact", "regexp_replace(lower(stem), '_mask$', '')")},
+  bf_e AS (SELECT regexp_replace(lower(stem), '_(diffcat|samecat)\d+$', '') AS base, lower(stem) AS edit, regexp_extract(path, '/bfree/(diffcat|samecat)/', 1) AS variant, path AS fake
+    FROM li WHERE {_OK} AND regexp_matches(path, '/bfree/(diffcat|samecat)/')),
+  bf AS (SELECT bf_e.*, anchor, box, exact FROM bf_e JOIN bf_a ON bf_e.base = bf_a.base LEFT JOIN bf_b ON bf_b.base = bf_e.edit LEFT JOIN bf_x ON bf_x.base = bf_e.edit), {_held("bf", "base", "bf_s")},
+  bf_r AS (SELECT 'bfree_' || base || '_' || variant AS case_id, variant, fake AS img, coalesce(CASE WHEN variant = 'diffcat' THEN box END, exact) AS mask, 'casia_splice' AS kind, anchor AS real_path, split, 'bfree' AS source FROM bf JOIN bf_s USING (base)
+    UNION ALL SELECT DISTINCT 'bfree_' || base, CAST(NULL AS VARCHAR), anchor, CAST(NULL AS VARCHAR), 'imd_real', CAST(NULL AS VARCHAR), split, 'bfree' FROM bf JOIN bf_s USING (base))"""
+_INDOOR = f"""in_r AS (SELECT path AS img, CAST(NULL AS VARCHAR) AS mask, 'indoor_real' AS kind, stem AS case_id, 'indoor_real' AS source, CASE WHEN contains(path, '/h000002/') THEN 'val' ELSE 'train' END AS split FROM li WHERE {_OK} AND contains(path, '/indoor/'))"""
+
+
+@query(f"WITH {LISTING}, {_INDOOR} SELECT * FROM in_r")
+def src_indoor(spark, d):
+    return M.indoor_items(listing(spark, d), "h000002")
+
+
+@query(f"WITH {LISTING}, {_IMD} SELECT * FROM im_r")
+def src_imd(spark, d):
+    return M.imd_items(listing(spark, d))
+
+
+@query(f"WITH {LISTING}, {_CASIA} SELECT * FROM ca_r")
 def src_casia(spark, d):
-    li = listing(spark, d)
-    bg, fg = M.casia_ids(M.base_name(F.col("stem")))
-    ids = M.valid_images(li).where(F.col("path").contains("/casia/images/")).select(F.explode(F.array(bg, F.regexp_extract(fg, "^[^_]+", 0))).alias("key")).where("key <> ''").distinct()
-    side = ids.withColumn("side", F.when(F.substring(F.md5("key"), 1, 1) < "8", "train").otherwise("val"))
-    return M.casia_triplets(li, side)
+    return M.casia_triplets(listing(spark, d))
+
 
+_GLIDE_DIRS = ("glidefill", "/glidefill/modified/", "/glidefill/original/", "/glidefill/mask/")
 
-@query(f"""WITH {LISTING}, t AS (SELECT m.base, m.m, o.o, k.k FROM {_part("contains(path, '/glidefill/modified/')", "m", _BASE)} m JOIN {_part("contains(path, '/glidefill/original/')", "o", _BASE)} o USING (base)
-  JOIN {_part("contains(path, '/glidefill/mask/')", "k", _BASE)} k USING (base))
-  SELECT o AS img, CAST(NULL AS VARCHAR) AS mask, 'imd_real' AS kind, CAST(NULL AS VARCHAR) AS real_path, 'glidefill_' || base AS case_id, 'glidefill' AS source FROM t
-  UNION ALL SELECT m, k, 'casia_splice', o, 'glidefill_' || base, 'glidefill' FROM t""")
+
+@query(f"WITH {LISTING}, {_GLIDE} SELECT * FROM gl_r")
 def src_triplets(spark, d):
-    return M.triplets(listing(spark, d), "glidefill", "/glidefill/modified/", "/glidefill/original/", "/glidefill/mask/")
+    return M.triplets(listing(spark, d), *_GLIDE_DIRS)
 
 
 @query(f"""WITH {LISTING} SELECT m.base, m.img FROM {_part("contains(path, '/glidefill/modified/')", "img", _BASE)} m
   WHERE base NOT IN (SELECT o.base FROM {_part("contains(path, '/glidefill/original/')", "o", _BASE)} o JOIN {_part("contains(path, '/glidefill/mask/')", "k", _BASE)} k USING (base))""")
 def src_unmatched(spark, d):
-    return M.unmatched(listing(spark, d), "/glidefill/modified/", "/glidefill/original/", "/glidefill/mask/")
+    return M.unmatched(listing(spark, d), *_GLIDE_DIRS[1:])
 
 
-@query(f"""WITH {LISTING} SELECT r.base, r.real, f.fake, m.mask FROM {_part("contains(path, '/anyedit/images/') AND ends_with(lower(stem), '_real')", "real", _LBASE)} r
-  JOIN {_part("contains(path, '/anyedit/images/') AND ends_with(lower(stem), '_fake')", "fake", _LBASE)} f USING (base)
-  LEFT JOIN {_part("contains(path, '/anyedit/masks/')", "mask", _LBASE)} m USING (base)""")
+@query(f"WITH {LISTING}, {_ANY} SELECT * FROM an_r")
 def src_anyedit(spark, d):
     return M.anyedit_items(listing(spark, d))
 
 
-@query(rf"""WITH {LISTING}, an AS {_part("contains(path, '/bfree/anchor/')", "anchor", "regexp_replace(lower(stem), '_anchor$', '')")},
-  bo AS {_part("contains(path, '/bfree/bbox/')", "box", "regexp_replace(lower(stem), '_mask$', '')")}, ex AS {_part("contains(path, '/bfree/exact/')", "exact", "regexp_replace(lower(stem), '_mask$', '')")},
-  ed AS (SELECT regexp_replace(lower(stem), '_(diffcat|samecat)\d+$', '') AS base, lower(stem) AS edit, regexp_extract(path, '/bfree/(diffcat|samecat)/', 1) AS variant, path AS fake
-    FROM li WHERE ext IN ('.jpg','.jpeg','.png','.bmp','.webp','.tif') AND regexp_matches(path, '/bfree/(diffcat|samecat)/')),
-  x AS (SELECT ed.*, anchor, box, exact FROM ed JOIN an ON ed.base = an.base LEFT JOIN bo ON bo.base = ed.edit LEFT JOIN ex ON ex.base = ed.edit)
-  SELECT base, variant, fake AS img, coalesce(CASE WHEN variant = 'diffcat' THEN box END, exact) AS mask, 'casia_splice' AS kind FROM x
-  UNION ALL SELECT DISTINCT base, 'anchor', anchor, CAST(NULL AS VARCHAR), 'imd_real' FROM x""")
+@query(f"WITH {LISTING}, {_BFREE} SELECT * FROM bf_r")
 def src_bfree(spark, d):
     return M.bfree_items(listing(spark, d))
 
 
-@query(f"""WITH {LISTING}, {ITEMS}, s AS (SELECT source, img, split FROM it) SELECT source, CASE WHEN source = 'casia' THEN split WHEN source IN ('imd2020') THEN 'train' WHEN source IN ('indoorreal') THEN 'val' END AS to_split, count(*) AS n
-  FROM s WHERE source IN ('casia', 'imd2020', 'indoorreal') GROUP BY 1, 2""")
+_BOTH = ("casia", "glidefill", "anyedit", "bfree", "tgif2")  # sources that go to both splits; imd2020 trains only, indoor_real validates only
+
+
+@query(f"""WITH {LISTING}, {ITEMS}, {_IMD}, {_CASIA}, {_GLIDE}, {_ANY}, {_BFREE}, {_INDOOR},
+  u AS (SELECT source, kind, split FROM im_r UNION ALL SELECT source, kind, split FROM ca_r UNION ALL SELECT source, kind, split FROM gl_r UNION ALL SELECT source, kind, split FROM an_r
+    UNION ALL SELECT source, kind, split FROM bf_r UNION ALL SELECT source, kind, split FROM in_r UNION ALL SELECT source, kind, split FROM it WHERE source = 'tgif2')
+  SELECT source, kind, CASE WHEN source = 'imd2020' THEN 'train' WHEN source = 'indoor_real' THEN 'val' ELSE split END AS to_split, count(*) AS n FROM u GROUP BY 1, 2, 3""")
 def src_union_routed(spark, d):
-    x = items(spark, d)
-    u = M.union_sources(*[x.where(F.col("source") == s).select("source", "img", "split", *extra) for s, extra in (("casia", ["bg_id", "fg_id"]), ("imd2020", []), ("indoorreal", ["variant"]))])
-    return u.groupBy("source", M.route_split(["casia", "imd2020"], ["casia", "indoorreal"]).alias("to_split")).agg(F.count("*").alias("n"))
+    """The manifest of all seven sources, each routed to the splits that its flags name, counted."""
+    li = listing(spark, d)
+    frames = [M.imd_items(li), M.casia_triplets(li), M.triplets(li, *_GLIDE_DIRS), M.anyedit_items(li), M.bfree_items(li), M.indoor_items(li, "h000002"), items(spark, d).where("source = 'tgif2'").select("img", "mask", "kind", "case_id", "source", "variant", "split")]
+    u = M.union_sources(*frames)
+    return u.groupBy("source", "kind", M.route_split([*_BOTH, "imd2020"], [*_BOTH, "indoor_real"]).alias("to_split")).agg(F.count("*").alias("n"))
+
 
+_ISSUES = f"""WITH {ITEMS}, {LISTING}, f AS (SELECT path, coalesce(length, 1) > 0 AS ok FROM li),
+  x AS (SELECT it.*, a.ok AS i, b.ok AS m, c.ok AS r FROM it LEFT JOIN f a ON a.path = {path_sql("it.img")} LEFT JOIN f b ON b.path = {path_sql("it.mask")} LEFT JOIN f c ON c.path = {path_sql("it.real_path")}),
+  q AS (SELECT item_id, source, 'MISSING_IMG' AS code, img AS detail FROM x WHERE i IS NULL
+  UNION ALL SELECT item_id, source, 'UNREADABLE_IMG', img FROM x WHERE NOT i
+  UNION ALL SELECT item_id, source, 'SPLICE_NO_MASK', coalesce(kind, '') FROM x WHERE {_SPL} AND coalesce(mask, '') = ''
+  UNION ALL SELECT item_id, source, 'MISSING_MASK', mask FROM x WHERE mask <> '' AND m IS NULL
+  UNION ALL SELECT item_id, source, 'UNREADABLE_MASK', mask FROM x WHERE NOT m
+  UNION ALL SELECT item_id, source, 'MISSING_REALPATH', real_path FROM x WHERE real_path <> '' AND r IS NULL
+  UNION ALL SELECT item_id, source, 'UNREADABLE_REALPATH', real_path FROM x WHERE NOT r)"""
 
-_ISSUES = f"""WITH {ITEMS}, {LISTING}, x AS (SELECT it.*, a.length AS n_img, b.length AS n_mask, c.length AS n_real FROM it LEFT JOIN li a ON a.path = it.img LEFT JOIN li b ON b.path = it.mask LEFT JOIN li c ON c.path = it.real_path),
-  q AS (SELECT item_id, source, 'missing_img' AS code, img AS detail FROM x WHERE n_img IS NULL
-  UNION ALL SELECT item_id, source, 'empty_img', img FROM x WHERE n_img = 0
-  UNION ALL SELECT item_id, source, 'tiny_img', img FROM x WHERE n_img > 0 AND n_img < 64
-  UNION ALL SELECT item_id, source, 'splice_without_mask', coalesce(kind, '') FROM x WHERE {_SPL} AND mask IS NULL
-  UNION ALL SELECT item_id, source, 'missing_mask', mask FROM x WHERE mask IS NOT NULL AND n_mask IS NULL
-  UNION ALL SELECT item_id, source, 'empty_mask', mask FROM x WHERE n_mask = 0
-  UNION ALL SELECT item_id, source, 'missing_real', real_path FROM x WHERE real_path IS NOT NULL AND n_real IS NULL
-  UNION ALL SELECT item_id, source, 'unknown_kind', '' FROM x WHERE kind IS NULL
-  UNION ALL SELECT item_id, source, 'unknown_source', '' FROM x WHERE source IS NULL
-  UNION ALL SELECT item_id, source, 'no_split', '' FROM x WHERE split IS NULL)"""
+
+def _issues(spark, d):
+    return M.quality_issues(items(spark, d), M.file_facts(listing(spark, d)))
 
 
 @query(_ISSUES + " SELECT item_id, coalesce(source, 'unknown') AS source, code, detail FROM q")
 def src_quality_issues(spark, d):
-    return M.quality_issues(items(spark, d), listing(spark, d))
+    return _issues(spark, d)
 
 
-@query(_ISSUES + """ SELECT CASE WHEN GROUPING(s) = 1 THEN 'ALL' ELSE s END AS source, code, count(*) AS n, code NOT IN ('tiny_img', 'unknown_kind', 'unknown_source', 'no_split') AS hard
+@query(_ISSUES + """ SELECT CASE WHEN GROUPING(s) = 1 THEN 'ALL' ELSE s END AS source, code, count(*) AS n, true AS hard
   FROM (SELECT coalesce(source, 'unknown') AS s, code FROM q) GROUP BY GROUPING SETS ((code), (s, code))""")
 def src_quality_counts(spark, d):
-    return M.issue_counts(M.quality_issues(items(spark, d), listing(spark, d)))
+    return M.issue_counts(_issues(spark, d))
+
+
+@query(_ISSUES + """, n AS (SELECT count(DISTINCT item_id) AS flagged FROM q) SELECT (SELECT count(*) FROM it) AS checked, flagged, flagged AS hard, CAST(0 AS BIGINT) AS soft_only, CAST(CASE WHEN flagged > 0 THEN 1 ELSE 0 END AS INT) AS exit_status FROM n""")
+def src_quality_verdict(spark, d):
+    return M.issue_verdict(items(spark, d), _issues(spark, d))
 
 
 @query(f"WITH {ITEMS} SELECT item_id, {_KEY} AS key FROM it")

@@ -2,7 +2,7 @@
 
 A table written once and read back costs one pass; ``DataFrame.checkpoint`` would compute its plan
 twice. The folder is the session's ``spark.checkpoint.dir``, which every executor can reach, so a
-lost executor takes nothing with it. Only where it is unset (tests, one machine) a folder is made.
+lost executor takes nothing with it. Only where it is unset on a local master (tests, one machine) a folder is made.
 """
 
 from __future__ import annotations
@@ -14,11 +14,15 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from patchmill.errors import ConfigError
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local one only where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ConfigError("spark.checkpoint.dir must name a folder that all executors can reach")
         where = tempfile.mkdtemp(prefix="patchmill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -72,23 +76,38 @@ def bytes_of(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def running_sums(df: DataFrame, keys: list[str], order: Column, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: Column | list[Column], sums: dict[str, str], totals: dict[str, str] | None = None, *, window_bytes: int | None = None) -> DataFrame:
     """df with running sums of columns within keys along order (new name -> column), the row itself included, and totals of keys.
 
-    Small tables take one window. Larger ones are partitioned by ranges of (keys, order), summed up by partition, and each row adds what
-    lies before its partition: a key with a third of all rows is spread over many tasks, and only one row a key and partition meets
-    in the window over partitions. order must tell the rows of a key apart.
+    Tables of less than ``window_bytes`` take one window. Larger ones are partitioned by ranges of (keys, order), summed up by
+    partition, and each row adds what lies before its partition: a key with a third of all rows is spread over many tasks, and only
+    one row a key and partition meets in the window over partitions. Both ways give the same rows: a NULL key is a group like any
+    other. order must tell the rows of a key apart.
     """
-    run = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    by = order if isinstance(order, list) else [order]
+    run = lambda *cols: Window.partitionBy(*cols).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     totals = totals or {}
-    if bytes_of(df) < WINDOW_BYTES:
+    if bytes_of(df) < (WINDOW_BYTES if window_bytes is None else window_bytes):
         return df.withColumns({n: F.sum(c).over(run(*keys)) for n, c in sums.items()} | {n: F.sum(c).over(Window.partitionBy(*keys)) for n, c in totals.items()})
     ws = Workspace(df.sparkSession, "running")
-    x = ws.cut(df.repartitionByRange(*keys, order).withColumn("_p", F.spark_partition_id()))
+    x = ws.cut(df.repartitionByRange(*keys, *by).withColumn("_p", F.spark_partition_id()))
     need = sorted({*sums.values(), *totals.values()})
     part = x.groupBy(*keys, "_p").agg(*[F.sum(c).alias(f"_s_{c}") for c in need])
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumns({f"_b_{c}": F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)) for c in need} | {f"_t_{c}": F.sum(f"_s_{c}").over(Window.partitionBy(*keys)) for c in need})
-    y = x.join(part.drop(*[f"_s_{c}" for c in need]), [*keys, "_p"])
+    part = part.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_p").alias("_q"), *[f"_{k}_{c}" for k in "bt" for c in need])
+    on = x["_p"] == part["_q"]
+    for k in keys:
+        on &= x[k].eqNullSafe(part[f"_k_{k}"])
+    y = x.join(part, on).drop("_q", *[f"_k_{k}" for k in keys])
     y = y.withColumns({n: F.sum(c).over(run(*keys, "_p")) + F.col(f"_b_{c}") for n, c in sums.items()} | {n: F.col(f"_t_{c}") for n, c in totals.items()})
     return y.drop("_p", *[f"_{k}_{c}" for k in "bt" for c in need])
+
+
+def same_keys(keys: list[str] | tuple[str, ...], a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a joined with b on keys, where NULL equals NULL; the keys are those of a."""
+    c = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[x for x in b.columns if x not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on &= a[k].eqNullSafe(c[f"_k_{k}"])
+    return a.join(c, on, how).drop(*[f"_k_{k}" for k in keys])

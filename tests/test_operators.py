@@ -253,10 +253,43 @@ def test_manifest_joins(spark):
     assert M.model_filter(f, "m", "fluxfill").count() == 1 and M.model_filter(f, "m", "zzz").count() == 3
 
 
-def test_issues_and_counts(spark):
-    x = items(spark, [("a", "imdsplice", "c", "/p"), (None, None, "c", "/q")]).withColumns({"mask": F.lit(None).cast("string"), "real_path": F.lit(None).cast("string"), "split": F.lit("train")})
-    li = spark.createDataFrame([("/p", 10)], "path string, length long")
-    got = {(r["item_id"], r["code"]) for r in M.quality_issues(x, li).collect()}
-    assert got == {(0, "tiny_img"), (0, "splice_without_mask"), (1, "missing_img"), (1, "unknown_kind"), (1, "unknown_source")}
-    c = {(r["source"], r["code"]): (r["n"], r["hard"]) for r in M.issue_counts(M.quality_issues(x, li)).collect()}
-    assert c["ALL", "missing_img"] == (1, True) and c["unknown", "unknown_kind"] == (1, False)
+def test_issues_and_counts(spark, tmp_path):
+    x = items(spark, [("a", "imdsplice", "c", "/p"), (None, None, "c", "/q"), ("a", "imdsplice", "c", "/p"), ("a", "imdsplice", "c", "/p")]).withColumns({"mask": F.when(F.col("item_id") == 2, "/m").when(F.col("item_id") == 3, "/z"), "real_path": F.lit(None).cast("string"), "split": F.lit("train")})
+    li = spark.createDataFrame([("/p", 10), ("/m", 5), ("/z", 0)], "path string, length long")
+    seen = spark.createDataFrame([("/p", 40, 20, True, 9), ("/m", 40, 40, True, 0)], "path string, width int, height int, ok boolean, peak int")
+    i = M.quality_issues(x, M.file_facts(li, seen))
+    got = {(r["item_id"], r["code"]) for r in i.collect()}
+    small = {(k, "DEGENERATE_SIZE") for k in (0, 2, 3)}
+    assert got == small | {(0, "SPLICE_NO_MASK"), (1, "MISSING_IMG"), (2, "EMPTY_MASK"), (2, "MASK_SIZE_MISMATCH"), (3, "UNREADABLE_MASK")}
+    c = {(r["source"], r["code"]): (r["n"], r["hard"]) for r in M.issue_counts(i).collect()}
+    assert c["ALL", "DEGENERATE_SIZE"] == (3, False) and c["unknown", "MISSING_IMG"] == (1, True)
+    assert tuple(M.issue_verdict(x, i).first()) == (4, 4, 4, 0, 1) and tuple(M.issue_verdict(x, i.limit(0)).first()) == (4, 0, 0, 0, 0)
+    M.write_issue_report(x, i, f"{tmp_path}/r")
+    r = spark.read.json(f"{tmp_path}/r").where("img = '/q'").first()
+    assert r["issues"][0]["code"] == "MISSING_IMG" and r["split"] == "train"
+
+
+def test_indexers_hold_out_whole_groups(spark):
+    li = spark.createDataFrame([(f"/d/{k}/{i}_x_{e}.png",) for i in range(30) for k, e in (("glidefill/modified", "modified"), ("glidefill/original", "original"), ("glidefill/mask", "mask"))] + [(f"/d/anyedit/images/A{i}_{e}.png",) for i in range(20) for e in ("Real", "fake")] + [(f"/d/imd2020/c{i}/c{i}_{e}.png",) for i in range(10) for e in ("orig", "v0", "v0_mask")], "path string")
+    name = F.substring_index("path", "/", -1)
+    li = li.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lit(".png").alias("ext"), F.lit(9).alias("length"))
+    for x, n in ((M.triplets(li, "glidefill", "/glidefill/modified/", "/glidefill/original/", "/glidefill/mask/"), 3), (M.imd_items(li), 1)):
+        p = x.toPandas()
+        assert p[p["split"] == "val"]["case_id"].nunique() == n and (p.groupby("case_id")["split"].nunique() == 1).all() and (p.groupby("case_id")["img"].count() == 2).all()
+    assert M.anyedit_items(li).count() == 0  # the base keeps an ending that is not in lower case, so these do not pair
+    assert M.bfree_items(li).count() == 0 and M.casia_triplets(li).count() == 0
+
+
+def test_null_keys_are_a_group_on_both_ways(spark, tmp_path, monkeypatch):
+    from patchmill import storage
+
+    rows = [(None if i % 3 == 0 else "t", i % 7 / 7, i % 2) for i in range(600)]
+    spark.createDataFrame(rows, "tag string, logit double, label int").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert storage.bytes_of(df) < storage.WINDOW_BYTES
+    run = lambda: [sorted(map(str, f(df, "tag").collect())) for f in (A.auroc, A.best_threshold, A.image_metrics)]
+    small = run()
+    made = []
+    monkeypatch.setattr(storage, "WINDOW_BYTES", 0)
+    monkeypatch.setattr(storage.Workspace, "cut", lambda self, x, _f=storage.Workspace.cut: made.append(1) or _f(self, x))
+    assert run() == small and len(made) == 3 and all(len(x) == 2 for x in small)
