@@ -11,7 +11,7 @@ from patchmill.llm.epochs import epoch_sample, record_key
 from patchmill.llm.mixing import SourceMix
 from patchmill.llm.overlap import overlap_report
 from patchmill.llm.packing import pack, pack_report
-from patchmill.llm.pictures import same_picture_pairs
+from patchmill.llm.pictures import overlapping_pictures, same_picture_pairs
 from patchmill.llm.proportions import ProportionSample
 from patchmill.llm.related import related_components, split_groups
 from patchmill.llm.subjects import document_subjects
@@ -28,7 +28,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap_report(same_picture_pairs(_t(spark, d, "items")), "c_p_source_e")
+    return overlap_report(same_picture_pairs(_t(spark, d, "items")), "c_source_e")
+
+
+def p1_near(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps of similarity 0.8 or more by split, source and whether they are the same picture: what else comes close is another role or a slip in the scene."""
+    p = overlapping_pictures(_t(spark, d, "items"))
+    return overlap_report(p.withColumn("same", (F.col("c_scene_e") == F.col("c_scene_t")) & (F.col("c_role_e") == F.col("c_role_t"))), "c_source_e", "same")
 
 
 def _proportions(spark: SparkSession, d: str) -> ProportionSample:
@@ -152,7 +158,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.sum("share").alias("share_sum"))
 
 
-QUERIES = {f.__name__: f for f in [p1_found, p1_report, p2_found, p2_sample, p2_report, p4_found, p4_cutoffs, p5_found, p5_split, p6_found, p6_sample, p7_found, p7_containers, p7_report, p8_found, p8_copies, p8_report, p9_found, p9_composition]}
+QUERIES = {f.__name__: f for f in [p1_found, p1_report, p1_near, p2_found, p2_sample, p2_report, p4_found, p4_cutoffs, p5_found, p5_split, p6_found, p6_sample, p7_found, p7_containers, p7_report, p8_found, p8_copies, p8_report, p9_found, p9_composition]}
 
 _SOURCES = "imd2020|casia|anyedit|glidefill|bfree|tgif2|indoor_real|indoorreal"
 _PLAIN = r"""regexp_replace(regexp_replace(lower(trim(translate(regexp_replace({c}, '[\x{{AD}}\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '０１２３４５６７８９', '0123456789'))), '(%20|[\s\-_.])+', '_', 'g'), '^_+|_+$', '', 'g')"""
