@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PICKED = -1
+
 
 def key_uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on key and seed only: the first 52 bits of an MD5 in counter mode."""
@@ -36,21 +38,44 @@ def epoch_ledger(df: DataFrame, key: Column, epoch: Column, rates: dict[int, flo
     return first.join(kept, "key", "full").select("key", *[F.when(s.isNull(), F.col(c)).otherwise(s[c]).alias(c) for c in ("epoch", "rate")], s.isNull().alias("new"))
 
 
-def epoch_sample(df: DataFrame, id_col: str, key: Column, epoch: Column, rates: dict[int, float], *, prior_keys: DataFrame | None = None, stored: DataFrame | None = None, default_rate: float = 0.0, seed: int = 0) -> DataFrame:
+def picks_as_ledger(keys: DataFrame) -> DataFrame:
+    """(key, epoch, rate) of records that were picked by hand or by a run without a ledger: an epoch before all others, with rate 1, so that any random number keeps them."""
+    return keys.select("key").where("key is not null").distinct().select("key", F.lit(PICKED).alias("epoch"), F.lit(1.0).alias("rate"))
+
+
+class Ledger:
+    """A ledger kept as a folder of tables, one for each run; a run that is repeated replaces its own rows and reads those of the others only."""
+
+    SCHEMA = "key string, epoch int, rate double"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self, without: str | None = None) -> DataFrame:
+        """(key, epoch, rate) of all runs but one; empty where there is none."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        runs = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        found = [f"{self.path}/{r}" for r in sorted(runs) if r.startswith("run=") and r != f"run={without}"]
+        return self.spark.read.schema(self.SCHEMA).parquet(*found) if found else self.spark.createDataFrame([], self.SCHEMA)
+
+    def append(self, run: str, rows: DataFrame) -> None:
+        """Keep the rows of a run: those of epoch_ledger with ``new``."""
+        rows.select("key", F.col("epoch").cast("int").alias("epoch"), F.col("rate").cast("double").alias("rate")).write.mode("overwrite").parquet(f"{self.path}/run={run}")
+
+
+def epoch_sample(df: DataFrame, id_col: str, key: Column, epoch: Column, rates: dict[int, float], *, stored: DataFrame | None = None, default_rate: float = 0.0, seed: int = 0) -> DataFrame:
     """(id, key, epoch, rate, u, by): the records of the sample, one row for each id.
 
     A record is in the sample where its random number, keyed by its identifying fields, is below the rate of the epoch in which it
-    was first seen, or where an earlier run picked it (prior_keys has the column ``key``; keys without a record are ignored). So
-    new batches add records and take none away, provided that the early rows are still at hand or stored holds the ledger of earlier
-    runs (epoch_ledger over the same rows and with the same stored gives what to append to it); and neither order nor repetition nor partitioning of rows matters. by is
-    ``prior`` for earlier picks, else ``rate``. Ids that are the same record are in or out together; a NULL id is dropped.
+    was first seen. stored is the ledger of earlier runs (epoch_ledger over the same rows and with the same stored gives what to append
+    to it), with earlier picks among it as picks_as_ledger makes them. So new batches add records and take none away, also where the
+    early rows are gone or rates have changed; and neither order nor repetition nor partitioning of rows matters. by is
+    ``prior`` for earlier picks, else ``rate``. Ids that are the same record are in or out together; a NULL id is dropped; ledger rows
+    without a record are ignored.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"), epoch.alias("epoch"))
     ledger = epoch_ledger(rows, F.col("key"), F.col("epoch"), rates, default_rate, stored=stored)
-    if prior_keys is not None:
-        ledger = ledger.join(prior_keys.select("key", F.lit(True).alias("prior")).distinct(), "key", "left")
-    else:
-        ledger = ledger.withColumn("prior", F.lit(None).cast("boolean"))
-    picked = ledger.withColumn("u", key_uniform(F.col("key"), seed)).where(F.coalesce("prior", F.lit(False)) | (F.col("u") < F.col("rate")))
+    picked = ledger.withColumn("u", key_uniform(F.col("key"), seed)).where(F.col("u") < F.col("rate"))
     ids = rows.select("id", "key").distinct()
-    return ids.join(picked, "key").select(F.col("id").alias(id_col), "key", "epoch", "rate", "u", F.when(F.col("prior"), "prior").otherwise("rate").alias("by"))
+    return ids.join(picked, "key").select(F.col("id").alias(id_col), "key", "epoch", "rate", "u", F.when(F.col("epoch") == PICKED, "prior").otherwise("rate").alias("by"))

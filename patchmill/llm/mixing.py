@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchmill.llm.proportions import tilt
+from patchmill.llm.proportions import balanced, tilt
 from patchmill.storage import Workspace
 
 
@@ -15,13 +15,13 @@ class SourceMix:
 
     docs: doc_id (unique), source (a label or NULL), tokens. targets: mix_id, source (label), target_share, max_repeats, size_frac.
     A mix is to have size_frac of all tokens, those of documents without source too; a source is due its share, at most max_repeats
-    times what it has. All documents of a source have the same tilted rate, so their token sum is all that the Newton steps need of
+    times what it has; what short sources lack is given to the others, so that a mix keeps its size, or with ``fill=False`` is missing. All documents of a source have the same tilted rate, so their token sum is all that the Newton steps need of
     them; it is summed up in partial aggregates. Sources a mix doesn't name give nothing. Repeated sources of a mix add up.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, *, seed: int = 0, per_part: int = 50_000):
+    def __init__(self, docs: DataFrame, targets: DataFrame, *, seed: int = 0, per_part: int = 50_000, fill: bool = True):
         self.ws = Workspace(docs.sparkSession, "mixing")
-        self.seed, self.per_part = seed, per_part
+        self.seed, self.per_part, self.fill = seed, per_part, fill
         self.docs = self.ws.cut(docs.where("doc_id is not null").select("doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
         self.sums = self.ws.cut(self.docs.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("n_docs")))
         self.total = self.sums.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0]
@@ -30,11 +30,20 @@ class SourceMix:
         self.solved = t.join(self.sums, "source", "left").na.fill(0, ["available", "n_docs"]).withColumn("total", F.lit(self.total))
 
     def rates(self):
-        """Rate (copies a document) of each source of each mix; one row for each row of targets comes to the driver, not more."""
+        """Rate (copies a document) of each source of each mix; one row for each row of targets comes to the driver, not more.
+
+        First each source by itself, which tells the short ones; these stay at their cap, and the others are solved again for what is
+        left of the mix's tokens.
+        """
         s = self.solved.orderBy("mix_id", "source").toPandas()
         n = s["available"].to_numpy(float)
         s["due"] = s["target_share"] * s["size_frac"] * s["total"]
-        s["rate"] = tilt(s["size_frac"].to_numpy(float).clip(1e-9), n, s["due"].to_numpy(float), s["max_repeats"].to_numpy(float))
+        due, cap, base = s["due"].to_numpy(float), s["max_repeats"].fillna(0).to_numpy(float), s["size_frac"].to_numpy(float).clip(1e-9)
+        s["short"] = tilt(base, n, due, cap)[1] > 0
+        s["assigned"] = 0.0
+        for at in s.groupby("mix_id").indices.values():
+            s.loc[s.index[at], "assigned"] = balanced(due[at], np.zeros(len(at)), cap[at] * n[at] if self.fill else np.minimum(due[at], cap[at] * n[at]), due[at].sum())
+        s["rate"] = tilt(base, n, s["assigned"].to_numpy(float), cap)[0]
         return s
 
     def copies(self) -> DataFrame:
@@ -58,12 +67,12 @@ class SourceMix:
     def report(self, copies: DataFrame | None = None) -> DataFrame:
         """Each row of targets with available and due tokens, the balanced rate and, given copies, the share really reached.
 
-        short: max_repeats times the available tokens are less than due, so the rate ends at max_repeats.
+        short: the dual of the source's own target ends at its bound, max_repeats. assigned: its tokens once short sources are fixed.
         """
         r = self.rates()
-        solved = self.docs.sparkSession.createDataFrame(r[["mix_id", "source", "available", "total", "rate"]], "mix_id long, source string, available long, total long, rate double")
+        solved = self.docs.sparkSession.createDataFrame(r[["mix_id", "source", "available", "total", "rate", "short", "assigned"]], "mix_id long, source string, available long, total long, rate double, short boolean, assigned double")
         t = self.targets.join(solved, ["mix_id", "source"], "left")
-        t = t.withColumn("due", F.col("target_share") * F.col("size_frac") * F.col("total")).withColumn("short", F.col("max_repeats") * F.col("available") < F.col("due"))
+        t = t.withColumn("due", F.col("target_share") * F.col("size_frac") * F.col("total"))
         if copies is None:
             return t
         got = copies.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"), F.max("copies").alias("most_copies"))

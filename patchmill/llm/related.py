@@ -13,20 +13,23 @@ from patchmill.storage import Workspace
 MOST_STRATA = 2000
 
 
-def related_components(df: DataFrame, id_col: str, entities: Column) -> DataFrame:
-    """(id, component): the connected component of each record in the graph of records and entities.
+def related_components(df: DataFrame, id_col: str, entities: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, component, carry...): the connected component of each record in the graph of records and entities.
 
     entities is an array expression; NULL elements are ignored, and a record without entities is a component of its own, named by its
-    id. Rows of one id count once; a NULL id is dropped. Only distinct entity sets of two or more join anything, so records are
-    reduced to these before the iteration: an entity that a third of all rows share is one node with one label. Labels go from entity
-    to set and back as minima, with a jump to the label's own label each round, until none changes. The minimum of an entity is
-    built up by partial aggregation; nothing is collected.
+    id. Rows of one id count once; a NULL id is dropped. Only distinct entity sets of two or more join anything, and of their
+    entities those in several sets: the iteration runs over these alone, so an entity that a third of all rows share is one node with
+    one label. Labels go from entity to set and back as minima, with a jump to the label's own label each round, until none changes;
+    then each set, and what else it holds, takes its label. The minimum of an entity is built up by partial aggregation; nothing is
+    collected.
     """
     ws = Workspace(df.sparkSession, "related")
-    rows = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).select(F.col(id_col).alias("id"), entities.alias("e"))
-    rows = ws.cut(rows.select("id", F.array_sort(F.array_distinct(F.filter("e", lambda x: x.isNotNull()))).alias("e")))
+    rows = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).select(F.col(id_col).alias("id"), entities.alias("e"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    rows = ws.cut(rows.withColumn("e", F.array_sort(F.array_distinct(F.filter("e", lambda x: x.isNotNull())))))
     sets = rows.where(F.size("e") > 1).select("e").distinct()
-    links = ws.cut(sets.select(F.xxhash64("e").alias("set"), F.explode("e").alias("entity")).distinct())
+    # a set is named by its entities: a hash could make two sets one
+    every = ws.cut(sets.select(F.md5(F.to_json("e")).alias("set"), F.explode("e").alias("entity")))
+    links = ws.cut(every.join(every.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1"), "entity", "left_semi"))
     labels = ws.cut(links.groupBy("entity").agg(F.min("entity").alias("label")))
     while True:
         of_set = links.join(labels, "entity").groupBy("set").agg(F.min("label").alias("label"))
@@ -39,19 +42,20 @@ def related_components(df: DataFrame, id_col: str, entities: Column) -> DataFram
         labels = step.drop("changed")
         if not changed:
             break
+    of_set = every.join(labels, "entity", "left").groupBy("set").agg(F.coalesce(F.min("label"), F.min("entity")).alias("label"))
+    known = every.join(of_set, "set").groupBy("entity").agg(F.min("label").alias("label"))
     first = rows.withColumn("entity", F.when(F.size("e") > 0, F.element_at("e", 1)))
-    out = first.join(labels, "entity", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("label", "entity", F.concat(F.lit("id:"), F.col("id").cast("string"))).alias("component"))
+    out = first.join(known, "entity", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("label", "entity", F.concat(F.lit("id:"), F.col("id").cast("string"))).alias("component"), *[F.col(f"c_{c}").alias(c) for c in carry])
 
 
 def _assign(sizes: np.ndarray, target: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Split of each group, greatest first: where the squared deviation from target (splits x strata) stays least."""
+    """Split of each group, greatest first: where the squared deviation from target (splits x strata), over the target, stays least."""
     have = start.astype(float).copy()
-    scale = 1 / np.maximum(target.sum(0), 1.0)
+    scale = 1 / np.maximum(target, 1.0)
     out = np.empty(len(sizes), dtype=np.int64)
     for i, x in enumerate(sizes):
-        gap = (have - target) * scale
-        cost = ((gap + x * scale) ** 2).sum(1) - (gap**2).sum(1)
+        cost = ((2 * (have - target) * x + x * x) * scale).sum(1)
         room = (have.sum(1) - target.sum(1)) / max(target.sum(), 1.0)
         k = int(np.argmin(cost + 1e-9 * room))
         have[k] += x

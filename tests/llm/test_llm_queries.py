@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("patchmill.llm")
 from patchmill.llm import queries as Q  # noqa: E402
@@ -32,10 +33,25 @@ def test_pictures_equal_a_plain_join(spark):
     assert got == {(min(a, b), max(a, b)) for a, b in zip(m["item_id_x"], m["item_id_y"], strict=True)}
 
 
+def test_rewritten_names_are_linked_as_near(spark):
+    """Pictures of one scene and role are found through links between different shingle sets too."""
+    from patchmill.llm.pictures import overlapping_pictures
+
+    rows = [(1, "train", "imd2020_ab12", "/imd2020/ab12/ab12_lemon_tree_v0.png"), (2, "val", "ab12", "/imd2020/ab12/ab12_lmeon_treee_v0_copy.jpg"), (3, "test", "ab12", "/imd2020/ab12/ab12_lemon_tree_v1.png"), (4, "val", None, None), (5, "train", "", ""), (6, None, "ab12", "/imd2020/ab12/ab12_lemon_tree_v0.png")]
+    df = spark.createDataFrame(rows, "item_id long, split string, case_id string, img string").withColumn("source", F.lit(None).cast("string"))
+    p = overlapping_pictures(df.unionByName(df)).collect()
+    assert {(r["id_e"], r["id_t"]) for r in p} == {(2, 1)} and p[0]["similarity"] >= 0.8 and p[0]["c_role_e"] == "v0"
+    assert overlapping_pictures(df.limit(0)).count() == 0
+
+
 def test_sample_sizes_follow_the_targets(spark):
     r = Q.p2_report(spark, D).toPandas()
-    due = r[["available", "wanted", "min_rows"]].apply(lambda x: min(x["available"], max(x["wanted"], x["min_rows"])), axis=1)
-    assert ((r["drawn"] - due).abs() < 1.0 + 1e-6).all()
+    assert ((r["drawn"] - r["due"]).abs() < 1.0 + 1e-6).all()
+    assert (r["due"] <= r["available"] + 1e-9).all() and (r["due"] >= r[["available", "min_rows"]].min(axis=1) - 1e-9).all()
+    for _, g in r.groupby("request_id"):
+        assert g["due"].sum() <= max(g["wanted"].sum(), g[["available", "min_rows"]].min(axis=1).sum()) + 1e-6
+        if not g["short"].any():
+            assert abs(g["due"].sum() - max(g["wanted"].sum(), g["min_rows"].sum())) < 1e-6
 
 
 def test_splits_keep_components_together(spark):
@@ -60,7 +76,10 @@ def test_mix_reaches_shares_within_the_caps(spark):
     ok = x[~x["short"] & (x["available"] > 0)]
     docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id").count()
     assert docs and (x["most_copies"] <= x["max_repeats"]).all()
-    assert ((ok["reached"] - ok["due"]).abs() <= 0.5 * ok["available"].clip(lower=1)).all()
+    assert ((ok["reached"] - ok["assigned"]).abs() <= 0.5 * ok["available"].clip(lower=1)).all()
+    for _, g in x.groupby("mix_id"):
+        most = (g["max_repeats"] * g["available"]).sum()
+        assert abs(g["assigned"].sum() - min(g["due"].sum(), most)) < 1e-6 * max(most, 1)
 
 
 def test_subjects_between_one_and_three(spark):
