@@ -6,24 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchmill.functions.labels import label, path_plain, plain, with_names, words_joined
-from patchmill.llm.overlap import cross_split_overlap, grams, overlap_pairs
+from patchmill.llm.overlap import cross_split_overlap, overlap_pairs
 
 
-def picture_shingles(scene: Column, role: Column, name: Column) -> Column:
-    """The shingles of a picture: runs of three characters of its scene with its ends marked and, for every eight of them, one word of the name as it is written; each with the role.
+def picture_shingles(scene: Column, role: Column, name: Column, weight: int = 8) -> Column:
+    """The shingles of a picture: its scene with its role, ``weight`` times over, and a word of the name as it is written.
 
-    Of the words those of least hash are taken, so that two writings with the same words keep the same ones. With s runs of the scene
-    there are at most s / 8 words: two pictures of one scene and role share s of at most s + s / 4 shingles, a similarity of 0.8 or
-    more, whatever slips their names hold. The role in each shingle keeps those of a scene with very many pictures rare.
+    A similarity of weighted sets is that of sets in which an element of weight w stands w times. Of the words the one of least hash
+    is taken, so that two writings with the same words keep the same one. Two pictures of one scene and role share 8 of at most 10
+    shingles, a similarity of 0.8 or more, whatever slips their names hold. Scenes are numbers and codes in dense use, so runs of
+    their characters would be frequent ones and pair all records with all; whole scenes are rare.
     """
-    runs = grams(scene, 3)
-    words = F.sort_array(F.transform(F.array_distinct(F.split(name, "_")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
-    some = F.transform(F.slice(words, F.lit(1), F.floor(F.size(runs) / 8).cast("int")), lambda x: F.concat(F.lit("~"), x["w"]))
-    return F.transform(F.concat(runs, F.coalesce(some, F.array().cast("array<string>"))), lambda g: F.concat(role, F.lit("|"), g))
+    own = F.transform(F.sequence(F.lit(1), F.lit(weight)), lambda i: F.concat_ws("|", i.cast("string"), role, scene))
+    word = F.array_min(F.transform(F.split(name, "_"), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    return F.when(scene.isNotNull() & role.isNotNull(), F.concat(own, F.filter(F.array(F.concat(F.lit("~"), word["w"])), lambda x: x.isNotNull())))
 
 
 def overlapping_pictures(items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (val or test, train) of items whose pictures overlap, with c_scene, c_role and c_source of each side and their similarity.
+    """Pairs (val or test, train) of items whose pictures overlap, with c_scene, c_role and c_source of each side, their similarity and the keys of their writings.
 
     Items with NULL split take no part; where a file name says no role, img itself stands for it. Rows of one item count once.
     """
