@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("patchmill.llm")
-from patchmill.llm.epochs import epoch_sample, record_key  # noqa: E402
+from patchmill.llm.epochs import epoch_sample, picks_as_ledger, record_key  # noqa: E402
 from patchmill.llm.mixing import SourceMix  # noqa: E402
-from patchmill.llm.proportions import ProportionSample, pivotal, tilt  # noqa: E402
+from patchmill.llm.proportions import ProportionSample, balanced, pivotal, tilt  # noqa: E402
 
 
 def _key():
@@ -35,7 +35,7 @@ def test_record_seen_again_later_keeps_its_epoch_and_prior_picks_stay(spark):
     rates = {0: 0.0, 3: 1.0}
     assert epoch_sample(a.unionByName(again), "item_id", _key(), F.col("batch"), rates).count() == 0
     prior = a.where("item_id < 5").select(_key().alias("key")).unionByName(spark.createDataFrame([("gone",)], "key string"))
-    got = epoch_sample(a, "item_id", _key(), F.col("batch"), rates, prior_keys=prior).collect()
+    got = epoch_sample(a, "item_id", _key(), F.col("batch"), rates, stored=picks_as_ledger(prior)).collect()
     assert sorted(r["item_id"] for r in got) == [0, 1, 2, 3, 4] and {r["by"] for r in got} == {"prior"}
 
 
@@ -47,8 +47,25 @@ def test_null_differs_from_text(spark):
 
 def test_tilt_reaches_targets_and_caps():
     n, t, cap = np.array([100.0, 1e9, 5, 0, 50]), np.array([10.0, 3e3, 50, 7, 0]), np.array([1.0, 1, 2, 1, 1])
-    r = tilt(np.full(5, 0.1), n, t, cap)
-    assert np.allclose(r * n, [10, 3e3, 10, 0, 0])
+    r, gap = tilt(np.full(5, 0.1), n, t, cap)
+    assert np.allclose(r * n, [10, 3e3, 10, 0, 0]) and gap.tolist() == [0, 0, 40, 7, 0]
+
+
+def test_balanced_keeps_the_total_under_floors_and_caps():
+    want, least, most = np.array([60.0, 30, 10, 0]), np.array([0.0, 0, 25, 0]), np.array([100.0, 20, 30, 5])
+    got = balanced(want, least, most, 100.0)
+    assert np.allclose(got, [55, 20, 25, 0])
+    assert np.allclose(balanced(want, least, most, 10.0), least) and np.allclose(balanced(want, least, most, 1e4), [100, 20, 30, 0])
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        w, lo = rng.random(8) * 100, rng.random(8) * 5
+        hi = lo + rng.random(8) * 200
+        total = lo.sum() + rng.random() * (hi.sum() - lo.sum())
+        g = balanced(w, lo, hi, total)
+        assert abs(g.sum() - total) < 1e-6 * total and (g >= lo - 1e-9).all() and (g <= hi + 1e-9).all()
+        free = (g > lo + 1e-9) & (g < hi - 1e-9)
+        assert not free.any() or np.ptp(g[free] / w[free]) < 1e-6 * (g[free] / w[free]).max()
+    assert len(balanced(*np.zeros((3, 0)), 5.0)) == 0
 
 
 def test_pivotal_keeps_size_and_probabilities():

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("patchmill.llm")
-from patchmill.llm.subjects import document_subjects, statements  # noqa: E402
+from patchmill.llm import subjects as S  # noqa: E402
+from patchmill.llm.subjects import _hash, document_subjects, statement_terms  # noqa: E402
 
 NOUNS = {s: [f"{s}noun{c}" for c in "abcdefghijkl"] for s in ("law", "food", "sport")}
 
@@ -37,12 +38,21 @@ def test_subjects_are_found_and_passing_mentions_are_not(spark):
 
 
 def test_statements_of_odd_texts(spark):
-    rows = [(1, None), (2, ""), (3, "123 456"), (4, "Ein Satz.Noch einer! <p>Und</p>\nmehr"), (5, "wort " * 50000), (6, "#8abc9def the code 12abc"), (None, "abc")]
-    got = {}
-    for r in statements(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        got.setdefault(r["doc_id"], []).append(sorted(r["terms"]))
-    assert got.pop(5) == [["wort"]] * 6250
-    assert got == {4: [["ein", "satz"], ["einer", "noch"], ["und"], ["mehr"]], 6: [["code", "the"]]}
+    rows = [(1, None), (2, ""), (3, "123 456"), (4, "Ein Satz.Noch einer! <p class=x>Und</p>\nmehr"), (5, "wort " * 50000), (6, "#8abc9def the code 12abc"), (7, "a < b und c. tables, table; Tables"), (None, "abc"), (8, "<b " + "x" * 5000 + ">nur")]
+    h = lambda *w: sorted(_hash(x) for x in w)
+    got = {r["doc_id"]: [sorted(t) for t in r["terms"]] for r in statement_terms(spark.createDataFrame(rows, "doc_id long, text string"), step=2).collect()}
+    assert got.pop(5) == [h("wort")] * 6250
+    assert got == {1: [], 2: [], 3: [], 4: [h("ein", "satz"), h("noch", "einer"), h("und"), h("mehr")], 6: [h("the", "code")], 7: [h("und"), h("table")], 8: [h("nur")]}
+    assert statement_terms(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lookups_and_joins_give_the_same_rows(spark, monkeypatch):
+    docs, _, seeds = corpus(120, 5)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(seeds, "doc_id long, subject string")
+    run = lambda: sorted((r["doc_id"], r["n_statements"], r["counts"], [round(x, 9) for x in r["soft"]]) for r in S.subject_shares(d, lab, sorted(NOUNS)).collect())
+    small = run()
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    assert run() == small and len(small) == 120
 
 
 def test_no_seeds_no_documents(spark):
