@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchmill.errors import DataError
 from patchmill.functions.labels import path_plain
-from patchmill.storage import Workspace
+from patchmill.storage import Workspace, running_sums
 
 # Endings of data files, first bytes of a zstandard frame and of a skippable one.
 DATA_ENDINGS = "jpg|jpeg|png|webp|tif|bmp|tar"
@@ -33,9 +32,20 @@ def data_files(listing: DataFrame) -> DataFrame:
     return x.where(F.col("name").rlike(f"(?i)^[^._].*(?:{DATA_ENDINGS})$") | F.col("name").rlike(f"(?i)^(?:{DATA_ENDINGS})$"))
 
 
+def laid_out(files: DataFrame, grp: str, target: int = MB128, *, window_bytes: int = 8 << 20) -> DataFrame:
+    """files with before, nth and cell: the bytes and files that lie before each in its group, in the order of names, and the output's number that it begins in.
+
+    Running sums in two levels: a group of any number of files is spread over ranges of names, so no task ever holds a hot directory.
+    """
+    x = files.withColumn("_one", F.lit(1).cast("long"))
+    x = running_sums(x, [grp], F.col("file").asc(), {"_end": "length", "nth": "_one"}, window_bytes=window_bytes)
+    return x.withColumn("before", F.col("_end") - F.col("length")).withColumn("cell", F.floor(F.col("before") / target)).drop("_end", "_one")
+
+
 def directory_report(files: DataFrame, target: int = MB128, factor: int = 8) -> DataFrame:
-    """(dir, n_files, bytes, due_files, too_many): directories by number of files against what their bytes need."""
-    d = files.groupBy("dir").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+    """(dir, n_files, bytes, due_files, too_many): each directory's files against the outputs that laying them end to end takes."""
+    x = laid_out(files, "dir", target)
+    d = x.groupBy("dir").agg(F.max("nth").alias("n_files"), F.max(F.col("before") + F.col("length")).alias("bytes"))
     d = d.withColumn("due_files", F.ceil(F.col("bytes") / target))
     return d.withColumn("too_many", F.col("n_files") >= factor * F.col("due_files"))
 
@@ -44,23 +54,19 @@ def compaction_plan(files: DataFrame, directories: DataFrame, target: int = MB12
     """(file, length, output, seq, offset): the output file and place in it of each file of a directory with too many.
 
     Files of a directory that fills an output go together; smaller directories are put together by their first ``small_dirs_by``
-    components. Each such group is cut by a hash into lots of some 16 outputs' bytes, of 200,000 files at most, so that no task
-    ever holds a hot directory; within a lot, files are laid end to end in the order of their names and cut where the target is reached. A file larger than
-    the target is an output of its own. Every file of the directories taken is in exactly one output.
+    components. The files of each such group are laid end to end in the order of their names and cut where the target is reached, so
+    outputs are of the target's size however small the files are; a file larger than the target is the last of its output. Every
+    file of the directories taken is in exactly one output.
     """
     d = directories.where("too_many")
     head = F.array_join(F.slice(F.split("dir", "/"), 1, small_dirs_by + 1), "/")
-    d = d.withColumn("grp", F.when(F.col("bytes") >= target, F.col("dir")).otherwise(F.concat(head, F.lit("/*"))))
-    by_files = F.least(F.ceil(F.sum("n_files") / 200_000), F.greatest(F.floor(F.sum("bytes") / target), F.lit(1)))
-    g = d.groupBy("grp").agg(F.greatest(F.floor(F.sum("bytes") / (16 * target)), by_files, F.lit(1)).alias("lots"))
-    x = files.join(d.select("dir", "grp").join(g, "grp"), "dir").withColumn("lot", F.pmod(F.xxhash64("file"), F.col("lots")))
-    w = Window.partitionBy("grp", "lot")
-    run = w.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("before", F.sum("length").over(run) - F.col("length")).withColumn("cell", F.floor(F.col("before") / target))
-    x = x.withColumn("output", F.concat(F.regexp_replace("grp", r"/\*$", ""), F.lit("/compact-"), F.substring(F.md5("grp"), 1, 6), F.format_string("-%05d-%05d", F.col("lot"), F.col("cell"))))
-    cell = Window.partitionBy("grp", "lot", "cell").orderBy("file")
-    x = x.withColumn("seq", F.row_number().over(cell)).withColumn("offset", F.col("before") - F.first("before").over(cell))
-    return x.select("file", "length", "output", "seq", "offset")
+    d = d.select("dir", F.when(F.col("bytes") >= target, F.col("dir")).otherwise(F.concat(head, F.lit("/*"))).alias("grp"))
+    ws = Workspace(files.sparkSession, "layout")
+    x = ws.cut(laid_out(files.join(d, "dir").select("grp", "file", "length"), "grp", target))
+    first = x.groupBy("grp", "cell").agg(F.min("before").alias("_b"), F.min("nth").alias("_n"))
+    x = x.join(first, ["grp", "cell"])
+    output = F.concat(F.regexp_replace("grp", r"/\*$", ""), F.lit("/compact-"), F.substring(F.md5("grp"), 1, 6), F.format_string("-%08d", F.col("cell")))
+    return x.select("file", "length", output.alias("output"), (F.col("nth") - F.col("_n") + 1).alias("seq"), (F.col("before") - F.col("_b")).alias("offset"))
 
 
 def manifest_plan(items: DataFrame, listing: DataFrame, target: int = MB128) -> DataFrame:
@@ -76,41 +82,73 @@ def manifest_plan(items: DataFrame, listing: DataFrame, target: int = MB128) ->
     files = listing.select(path_plain("path").alias("file"), "length").groupBy("file").agg(F.max("length").alias("length"))
     files = ws.cut(files.join(own, "file", "left_semi").withColumn("dir", F.regexp_replace("file", "/?[^/]*$", "")))
     wanted = files.where("length >= 0")
-    dirs = wanted.groupBy("dir").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes")).withColumn("too_many", F.lit(True))
+    dirs = wanted.groupBy("dir").agg(F.sum("length").alias("bytes")).withColumn("too_many", F.lit(True))
     status = F.when(F.col("length") > 0, "placed").when(F.col("length") == 0, "empty").otherwise("unknown length").alias("status")
     plan = own.join(compaction_plan(wanted, dirs, target), "file", "left").join(files.select("file", status), "file", "left")
     return plan.na.fill("unlisted", ["status"])
 
 
-def concatenate(plan: DataFrame, out_dir: str, kind: str = "blob", *, header: bool = False, chunk: int = 1 << 20) -> DataFrame:
+WRITTEN = "output string, n_files long, bytes long, crc32 long, sha256 string"
+
+
+def concatenate(plan: DataFrame, out_dir: str, kind: str = "blob", *, header: bool = False, chunk: int = 1 << 20, most_files: int = 20_000) -> DataFrame:
     """Carry out a plan: (output, n_files, bytes, crc32, sha256) of each file written under out_dir, bytes copied as they are.
 
     kind: ``blob`` joins files end to end (the plan's offsets are the index); ``lines`` joins newline-delimited files, adding a missing
     last newline, and with header keeps the first file's first line only, which all files must share; ``zstd`` joins complete
     zstandard frames, whose bytes are checked to begin and end as frames do without being decompressed. Lengths are checked
-    against the plan, the file written is read again against its checksum, and it gets its name by a rename at the very end, so that a
-    task that runs twice leaves one whole file. Paths must be reachable from all executors. An output is one task's work.
+    against the plan, the file written is read again against its checksum, and it gets its name by a move at the very end, so that a
+    task that runs twice leaves one whole file. Paths are local ones that all executors reach or URIs of a file system that Arrow
+    knows (file, hdfs, s3, gs). A task opens ``most_files`` files at most: an output of more is written in parts first, which are
+    joined and deleted.
     """
     if kind not in ("blob", "lines", "zstd"):
         raise ValueError(f"unknown kind {kind!r}")
+    cols = plan.where("output is not null").select("output", "seq", "file", "length")
+    part = F.floor((F.col("seq") - 1) / most_files).cast("long")
+    small = cols.groupBy("output").agg(F.max(part).alias("parts"), F.count("*").alias("n"))
+    cols = cols.join(small, "output").withColumn("part", F.when(F.col("parts") > 0, part).otherwise(F.lit(-1).cast("long")))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame([_write(g.sort_values("seq"), out, out_dir, kind, header, chunk) for out, g in pdf.groupby("output", sort=True)], columns=["output", "n_files", "bytes", "crc32", "sha256"])
+    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        name = key[0] if key[1] < 0 else f"{key[0]}.part-{key[1]:05d}"
+        out = _write(list(pdf.sort_values("seq")[["file", "length"]].itertuples(index=False, name=None)), name, out_dir, kind, header, chunk)
+        return pd.DataFrame([(key[0], key[1], *out)], columns=["output", "part", "path", "n_files", "bytes", "crc32", "sha256"])
 
-    cols = plan.where("output is not null").select("output", "seq", "file", "length")
-    return cols.groupBy("output").applyInPandas(lambda pdf: next(run(iter([pdf]))), "output string, n_files long, bytes long, crc32 long, sha256 string")
+    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        path, _, n, crc, sha = _write(list(pdf[["path", "bytes"]].itertuples(index=False, name=None)), pdf["output"].iloc[0], out_dir, kind, header, chunk)
+        for p in pdf["path"]:
+            _delete(p)
+        return pd.DataFrame([(path, int(pdf["n_files"].sum()), n, crc, sha)], columns=["output", "n_files", "bytes", "crc32", "sha256"])
+
+    done = Workspace(plan.sparkSession, "written").cut(cols.groupBy("output", "part").applyInPandas(first, "output string, part long, path string, n_files long, bytes long, crc32 long, sha256 string"))
+    whole = done.where("part < 0").select(F.col("path").alias("output"), "n_files", "bytes", "crc32", "sha256")
+    if done.where("part >= 0").isEmpty():
+        return whole
+    return Workspace(plan.sparkSession, "written").cut(whole.unionByName(done.where("part >= 0").groupBy("output").applyInPandas(second, WRITTEN)))
+
+
+def _place(path: str):
+    """(file system, path in it) of a local path or a URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _delete(path: str) -> None:
+    f, at = _place(path)
+    f.delete_file(at)
 
 
-def _write(rows: pd.DataFrame, output: str, out_dir: str, kind: str, header: bool, chunk: int) -> tuple:
-    import os
+def _write(files: list[tuple[str, int]], output: str, out_dir: str, kind: str, header: bool, chunk: int) -> tuple:
     import uuid
 
-    to = os.path.join(out_dir, output.strip("/"))
-    os.makedirs(os.path.dirname(to), exist_ok=True)
-    tmp = f"{to}.{uuid.uuid4().hex}.part"
+    to = f"{out_dir.rstrip('/')}/{output.strip('/')}"
+    f, at = _place(to)
+    f.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    tmp = f"{at}.{uuid.uuid4().hex}.part"
     crc, sha, n, first_line = 0, hashlib.sha256(), 0, None
-    with open(tmp, "wb") as w:
+    with f.open_output_stream(tmp) as w:
 
         def put(b: bytes) -> None:
             nonlocal crc, n
@@ -119,34 +157,41 @@ def _write(rows: pd.DataFrame, output: str, out_dir: str, kind: str, header: boo
             sha.update(b)
             n += len(b)
 
-        for path, length in zip(rows["file"], rows["length"], strict=True):
-            if os.path.getsize(path) != length:
-                raise DataError(f"{path} has {os.path.getsize(path)} bytes, the plan says {length}")
-            with open(path, "rb") as f:
+        for path, length in files:
+            g, source = _place(path)
+            with g.open_input_file(source) as r:
+                if r.size() != length:
+                    raise DataError(f"{path} has {r.size()} bytes, the plan says {length}")
                 if kind == "zstd":
-                    _check_frames(f, length, path)
-                    f.seek(0)
+                    _check_frames(r, length, path)
+                    r.seek(0)
+                b = r.read(chunk)
                 if header and kind == "lines":
-                    line = f.readline()
+                    while b"\n" not in b and (more := r.read(chunk)):
+                        b += more
+                    line, _, b = b.partition(b"\n")
                     if first_line is None:
-                        first_line = line.rstrip(b"\r\n")
+                        first_line = line.rstrip(b"\r")
                         put(first_line + b"\n")
-                    elif line.rstrip(b"\r\n") != first_line:
+                    elif line.rstrip(b"\r") != first_line:
                         raise DataError(f"{path} has another header")
+                    b = b or r.read(chunk)
                 last = b"\n"
-                while b := f.read(chunk):
+                while b:
                     put(b)
                     last = b[-1:]
+                    b = r.read(chunk)
                 if kind == "lines" and last != b"\n":
                     put(b"\n")
-    again = hashlib.sha256()
-    with open(tmp, "rb") as f:
-        while b := f.read(chunk):
+    again, m = hashlib.sha256(), 0
+    with f.open_input_stream(tmp) as r:
+        while b := r.read(chunk):
             again.update(b)
-    if again.digest() != sha.digest() or os.path.getsize(tmp) != n:
+            m += len(b)
+    if again.digest() != sha.digest() or m != n:
         raise DataError(f"{output} was not written as read")
-    os.replace(tmp, to)
-    return to, len(rows), n, crc, sha.hexdigest()
+    f.move(tmp, at)
+    return to, len(files), n, crc, sha.hexdigest()
 
 
 def _check_frames(f, length: int, path: str) -> None:

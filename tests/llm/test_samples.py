@@ -88,7 +88,8 @@ def test_proportions_floors_gaps_and_stability(spark):
     s = run(df)
     d = s.draw().toPandas()
     n = d.groupby(["request_id", "source"]).size().to_dict()
-    assert abs(n[1, "a"] - 300.4) <= 1 and n[1, "c"] == 3 and abs(n[1, "b"] - 299.8) <= 1 and n[2, "c"] == 4
+    # the floor of c takes 2.4 records more than its share; a and b make room for them in proportion
+    assert abs(n[1, "a"] - 299.2) <= 1 and n[1, "c"] == 3 and abs(n[1, "b"] - 298.6) <= 1 and n[2, "c"] == 4
     assert d.duplicated(["request_id", "item_id"]).sum() == 0
     short = {(r["request_id"], r["source"]) for r in s.report().where("short").collect()}
     assert short == {(2, "c"), (2, "z")}

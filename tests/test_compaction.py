@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from patchmill.operators.compaction import compaction_plan, concatenate, data_files, directory_report, manifest_plan
+from patchmill.operators.compaction import compaction_plan, concatenate, data_files, directory_report, laid_out, manifest_plan
 
 
 def _listing(spark, rows):
@@ -88,3 +88,31 @@ def test_changed_length_is_an_error(spark, tmp_path):
         concatenate(plan, str(tmp_path), "blob").collect()
     with pytest.raises(ValueError):
         concatenate(plan, str(tmp_path), "zip")
+
+
+def test_tiny_files_are_spread_over_tasks_and_fill_outputs(spark, tmp_path):
+    """A directory of very many tiny files is laid out by ranges of names, each task a bounded part, and its outputs reach the target."""
+    spark.range(300_000).select(F.format_string("/d/hot/f%07d.png", "id").alias("file"), F.lit(100).cast("long").alias("length"), F.lit("/d/hot").alias("dir")).write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few bytes are one task again
+    x = laid_out(files, "dir", 1_000_000, window_bytes=0)
+    most = x.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most < 300_000 / 2
+    assert sorted(map(tuple, laid_out(files.where("file < '/d/hot/f0000500'"), "dir", 1000, window_bytes=1 << 40).collect())) == sorted(map(tuple, laid_out(files.where("file < '/d/hot/f0000500'"), "dir", 1000, window_bytes=0).collect()))
+    r = directory_report(files, 1_000_000).first()
+    assert (r["n_files"], r["bytes"], r["due_files"], r["too_many"]) == (300_000, 30_000_000, 30, True)
+    o = compaction_plan(files, directory_report(files, 1_000_000), 1_000_000).groupBy("output").agg(F.count("*").alias("n"), F.max("seq").alias("s"), F.max("offset").alias("o")).collect()
+    assert len(o) == 30 and {(r["n"], r["s"], r["o"]) for r in o} == {(10_000, 10_000, 999_900)}
+
+
+def test_outputs_of_very_many_files_are_written_in_parts(spark, tmp_path):
+    paths = []
+    for i in range(7):
+        (p := tmp_path / f"{i}.txt").write_bytes(f"line {i}".encode() * i + b"\n" * (i % 2))
+        paths.append(p)
+    plan = _plan(spark, paths).withColumn("seq", F.col("seq") + 1)
+    one = concatenate(plan, f"file://{tmp_path}/a", "lines").first()
+    two = concatenate(plan, str(tmp_path / "b"), "lines", most_files=2, chunk=3).collect()
+    assert len(two) == 1 and (two[0]["n_files"], two[0]["bytes"], two[0]["sha256"], two[0]["crc32"]) == (7, one["bytes"], one["sha256"], one["crc32"])
+    assert [p.name for p in (tmp_path / "b" / "out").iterdir()] == ["all"] and (tmp_path / "a/out/all").read_bytes() == (tmp_path / "b/out/all").read_bytes()
