@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchmill.errors import ConfigError
+
 
 def gap_threshold(df: DataFrame, key: str, value: str, *, upper_half: bool = False) -> DataFrame:
     """(key, threshold): the middle of the widest gap between neighbours in order (the first of equal ones).
@@ -46,23 +52,47 @@ def mad_outliers(df: DataFrame, key: str, value: str, k: float = 3.0) -> DataFra
 
 
 def vector_mean(df: DataFrame, *keys: str, vec: str = "z") -> DataFrame:
-    """(keys, n, total): sums of vectors by element, back as arrays in order."""
-    e = df.select(*keys, F.posexplode(vec).alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    return e.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda t: t["s"]).alias("total"))
+    """(keys, n, total): sums of vectors, added up whole in partial aggregates; NULL vectors are left out."""
+    m = Summarizer.metrics("sum", "count").summary(array_to_vector(vec)).alias("m")
+    return df.where(F.col(vec).isNotNull()).groupBy(*keys).agg(m).select(*keys, F.col("m.count").alias("n"), vector_to_array("m.sum").alias("total"))
 
 
 def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def outlier_scores(patches: DataFrame) -> DataFrame:
-    """(image_id, idx, score): one minus the cosine to the mean of the image's background, patches whose attention is at most its median."""
-    m = patches.groupBy("image_id").agg(F.median("attention").alias("m"))
-    x = patches.join(m, "image_id")
-    bg = vector_mean(x.where("attention <= m"), "image_id")
-    y = x.join(bg, "image_id")
-    norm = F.sqrt(dot("z", "z")) * F.sqrt(dot("total", "total"))
-    return y.select("image_id", "idx", (1 - F.try_divide(dot("z", "total"), norm)).alias("score"))
+def gap_of(values: np.ndarray) -> float:
+    """The middle of the widest gap between neighbours in order; the greatest plus one for fewer than three values."""
+    v = np.sort(values)
+    if len(v) < 3:
+        return float(v[-1] + 1) if len(v) else np.inf
+    i = int(np.argmax(np.diff(v)))
+    return float(v[i] + v[i + 1]) / 2
+
+
+def outlier_scores(patches: DataFrame, mode: str = "median") -> DataFrame:
+    """(image_id, idx, score): one minus the cosine to the mean of the image's background.
+
+    The background are patches whose attention is at most its median or, in mode ``gap``, below its widest gap; all patches where
+    there are none or any attention is missing.
+    """
+    if mode not in ("median", "gap"):
+        raise ConfigError(f"unknown mode {mode!r}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, att = np.stack(pdf["z"].to_numpy()), pdf["attention"].to_numpy(dtype=float)
+        z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        back = att < gap_of(att) if mode == "gap" else att <= np.median(att)
+        mean = z[back].mean(0) if back.any() and not np.isnan(att).any() else z.mean(0)
+        return pd.DataFrame({"image_id": pdf["image_id"], "idx": pdf["idx"], "score": 1 - z @ (mean / max(np.linalg.norm(mean), 1e-12))})
+
+    return patches.select("image_id", "idx", "z", "attention").groupBy("image_id").applyInPandas(run, "image_id long, idx int, score double")
+
+
+def outlier_gap(df: DataFrame, key: str, side: str, score: str) -> DataFrame:
+    """(key, out_gap): median score of the side 1 less that of the side 0; NULL where a side is empty."""
+    m = lambda v: F.median(F.when(F.col(side) == v, F.col(score)))
+    return df.groupBy(key).agg((m(1) - m(0)).alias("out_gap"))
 
 
 def offdiagonal_similarity(patches: DataFrame, *keys: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchmill.operators.cluster import patch_pairs
+from patchmill.operators.cluster import per_image, similarities
 
 
 def bce(logit: Column, target: Column, pos_weight: float = 1.0) -> Column:
@@ -39,28 +41,46 @@ def symmetric_contrastive(p: DataFrame, lab: str, *, tau_pos: float = 0.55, tau_
     A term is its violation sum over a blend of violating and all pairs (both at least 1); the two cohesions are weighted by a power of the
     region's share.
     """
-    labs = p.select("image_id", F.col("idx").alias("i"), F.col(lab).alias("li"))
-    x = patch_pairs(p).join(labs, ["image_id", "i"]).join(labs.select("image_id", F.col("i").alias("j"), F.col("li").alias("lj")), ["image_id", "j"])
-    pos, neg = F.greatest(F.lit(tau_pos) - F.col("sim"), F.lit(0.0)), F.greatest(F.col("sim") - tau_neg, F.lit(0.0))
-    region = {"a_in": ((F.col("li") == 1) & (F.col("lj") == 1), pos), "a_out": ((F.col("li") == 0) & (F.col("lj") == 0), pos), "r": (F.col("li") != F.col("lj"), neg)}
-    terms = []
-    for name, (m, v) in region.items():
-        act, tot = F.greatest(F.sum(F.when(m & (v > 0), 1.0).otherwise(0.0)), F.lit(1.0)), F.greatest(F.sum(F.when(m, 1.0).otherwise(0.0)), F.lit(1.0))
-        terms.append((F.sum(F.when(m, v).otherwise(0.0)) / (F.pow(act, F.lit(norm_power)) * F.pow(tot, F.lit(1 - norm_power)))).alias(name))
-    t = x.groupBy("image_id").agg(*terms)
-    share = p.groupBy("image_id").agg(F.avg((F.col(lab) == 1).cast("double")).alias("p"))
-    wi, wo = F.pow("p", F.lit(power)), F.pow(1 - F.col("p"), F.lit(power))
-    return t.join(share, "image_id").select("image_id", "a_in", "a_out", "r", ((wi * F.col("a_in") + wo * F.col("a_out")) / F.greatest(wi + wo, F.lit(1e-6)) + repel * F.col("r")).alias("loss"))
+
+    def fn(image, z, pdf):
+        sim, m = similarities(z), pdf[lab].to_numpy() == 1
+        other = ~np.eye(len(z), dtype=bool)
+
+        def term(pairs: np.ndarray, v: np.ndarray) -> float:
+            x = np.maximum(v[pairs & other], 0.0)
+            return float(x.sum()) / (max((x > 0).sum(), 1) ** norm_power * max(len(x), 1) ** (1 - norm_power))
+
+        a, b, r = term(np.outer(m, m), tau_pos - sim), term(np.outer(~m, ~m), tau_pos - sim), term(m[:, None] != m, sim - tau_neg)
+        wi, wo = m.mean() ** power, (1 - m.mean()) ** power
+        return pd.DataFrame([(image, a, b, r, (wi * a + wo * b) / max(wi + wo, 1e-6) + repel * r)], columns=["image_id", "a_in", "a_out", "r", "loss"])
+
+    return per_image(p, fn, "image_id long, a_in double, a_out double, r double, loss double", lab)
 
 
 def hinge_contrastive(p: DataFrame, lab: str, *, neg_margin: float = 0.3, repel: float = 1.0) -> DataFrame:
-    """(image_id, attract, repel, loss): attraction to similarity 1 averaged over both regions, repulsion above a margin across them."""
-    labs = p.select("image_id", F.col("idx").alias("i"), F.col(lab).alias("li"))
-    x = patch_pairs(p).join(labs, ["image_id", "i"]).join(labs.select("image_id", F.col("i").alias("j"), F.col("li").alias("lj")), ["image_id", "j"])
-    same = F.col("li") == F.col("lj")
-    pull, push = F.greatest(1 - F.col("sim"), F.lit(0.0)), F.greatest(F.col("sim") - neg_margin, F.lit(0.0))
-    regions = x.where(same).groupBy("image_id", "li").agg(F.avg(pull).alias("m")).groupBy("image_id").agg(F.avg("m").alias("attract"))
-    across = x.where(~same).groupBy("image_id").agg(F.avg(push).alias("repel"))
-    y = regions.join(across, "image_id", "full")
-    a, r = F.coalesce("attract", F.lit(0.0)), F.coalesce("repel", F.lit(0.0))
-    return y.select("image_id", a.alias("attract"), r.alias("repel"), (a + repel * r).alias("loss"))
+    """(image_id, attract, repel, loss): attraction to similarity 1 averaged over the regions that have pairs, repulsion above a margin across them."""
+
+    def fn(image, z, pdf):
+        sim, m = similarities(z), pdf[lab].to_numpy()
+        other = ~np.eye(len(z), dtype=bool)
+        pull, push = np.maximum(1 - sim, 0.0), np.maximum(sim - neg_margin, 0.0)
+        own = [pull[np.outer(m == k, m == k) & other] for k in np.unique(m)]
+        across = push[m[:, None] != m]
+        a = float(np.mean([x.mean() for x in own if len(x)])) if any(len(x) for x in own) else 0.0
+        r = float(across.mean()) if len(across) else 0.0
+        return pd.DataFrame([(image, a, r, a + repel * r)], columns=["image_id", "attract", "repel", "loss"])
+
+    return per_image(p, fn, "image_id long, attract double, repel double, loss double", lab)
+
+
+def active_images(p: DataFrame, lab: str, active: DataFrame | None = None) -> DataFrame:
+    """Patches of the images that take part in a contrastive loss: those that active (image_id) names, if given, and that have both labels."""
+    both = p.groupBy("image_id").agg(F.countDistinct(lab).alias("n")).where("n > 1").select("image_id")
+    x = p.join(both, "image_id", "left_semi")
+    return x if active is None else x.join(active.select("image_id").distinct(), "image_id", "left_semi")
+
+
+def loss_summary(per_image: DataFrame) -> DataFrame:
+    """One row: the mean of each part of image losses and the number of images; 0 everywhere where there are none."""
+    parts = [c for c in per_image.columns if c != "image_id"]
+    return per_image.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in parts], F.count("*").alias("n_active"))

@@ -52,14 +52,56 @@ def _best_of(o: DataFrame, *keys: str) -> DataFrame:
     return best.select(*keys, pick("score", 0.0).alias("opt_threshold"), pick("ba", 0.5).alias("opt_bal_acc"), pick("tpr", 0.0).alias("opt_tpr"), pick("tnr", 1.0).alias("opt_tnr"))
 
 
+def quantiles(df: DataFrame, keys: list[str] | tuple[str, ...], value: str | Column, names: dict[str, float]) -> DataFrame:
+    """(keys, names...): exact quantiles of a value within keys, interpolated between neighbours; keys without a value are left out, NULL keys are a group.
+
+    Values are counted and summed up in order by running sums, so a key with very many values is spread over tasks.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    c = df.select(*keys, v.cast("double").alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    c = running_sums(c, list(keys), F.col("_v").asc(), {"_upto": "_n"}, {"_all": "_n"})
+    at = lambda i: F.max(F.when((F.col("_upto") - F.col("_n") <= i) & (i < F.col("_upto")), F.col("_v")))
+    out = []
+    for n, q in names.items():
+        h = F.lit(float(q)) * (F.col("_all") - 1)
+        out += [at(F.floor(h)).alias(f"_a_{n}"), at(F.ceil(h)).alias(f"_b_{n}"), F.max(h - F.floor(h)).alias(f"_f_{n}")]
+    g = c.groupBy(*keys).agg(*out)
+    return g.select(*keys, *[F.when(F.col(f"_a_{n}") == F.col(f"_b_{n}"), F.col(f"_a_{n}")).otherwise(F.col(f"_a_{n}") * (1 - F.col(f"_f_{n}")) + F.col(f"_b_{n}") * F.col(f"_f_{n}")).alias(n) for n in names])
+
+
 def threshold_at_tnr(df: DataFrame, tnr: float, *keys: str, score: str = "logit", label: str = "label") -> DataFrame:
     """(keys, threshold, tpr, tnr): the quantile of negatives that leaves a share tnr below, +inf without negatives, and the rates there."""
-    t = df.groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col(label) == 0, F.col(score)), F.lit(tnr)), F.lit(INF)).alias("threshold"))
-    x = df.join(t, list(keys))
+    t = quantiles(df.where(F.col(label) == 0), keys, score, {"threshold": tnr})
+    x = same_keys(keys, df, t, "left").withColumn("threshold", F.coalesce("threshold", F.lit(INF)))
     hit = F.col(score) >= F.col("threshold")
     return x.groupBy(*keys).agg(F.first("threshold").alias("threshold"), F.avg(F.when(F.col(label) == 1, hit.cast("double"))).alias("tpr"), F.avg(F.when(F.col(label) == 0, (~hit).cast("double"))).alias("tnr"))
 
 
+def condition_metrics(df: DataFrame, *keys: str, targets: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
+    """(keys, n_total, n_pos, n_neg, auc, opt_threshold, bal_acc, f1, tpr, tnr, tpr_at_tnr_<xx>): what a condition is compared by.
+
+    Ties count a half in the area; f1 is that of the threshold of best balanced accuracy. All but the counts are NULL where a class is
+    absent.
+    """
+    n = df.groupBy(*keys).agg(F.count("*").alias("n_total"), F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"))
+    r = same_keys(keys, same_keys(keys, n, auroc(df, *keys, ties="half")), best_threshold(df, *keys).withColumnsRenamed({"opt_bal_acc": "bal_acc", "opt_tpr": "tpr", "opt_tnr": "tnr"}))
+    hits, alarms = F.col("tpr") * F.col("n_pos"), (1 - F.col("tnr")) * F.col("n_neg")
+    r = r.withColumn("f1", F.try_divide(2 * hits, hits + alarms + F.col("n_pos")))
+    for t in targets:
+        name = f"tpr_at_tnr_{round(t * 100):02d}"
+        r = same_keys(keys, r, threshold_at_tnr(df, t, *keys).select(*keys, F.col("tpr").alias(name)), "left")
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    rest = [c for c in r.columns if c not in (*keys, "n_total", "n_pos", "n_neg")]
+    return r.select(*keys, "n_total", "n_pos", "n_neg", *[F.when(both, F.col(c)).alias(c) for c in rest])
+
+
+def spread(df: DataFrame, keys: list[str], measures: dict[str, str | Column]) -> DataFrame:
+    """(keys, measure, n, mean, median, std, p1 ... p99): the distribution of each measure within keys; NULL and NaN are left out."""
+    m = F.array(*[F.struct(F.lit(n).alias("measure"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("v")) for n, c in measures.items()])
+    x = df.select(*keys, F.explode(m).alias("m")).select(*keys, "m.measure", "m.v").where("v is not null and not isnan(v)")
+    return x.groupBy(*keys, "measure").agg(*stats("v"))
+
+
 def image_metrics(df: DataFrame, *keys: str, prob: float = 0.5) -> DataFrame:
     """Counts, AUC, rates at a probability threshold and at the best logit threshold. Scores are counted and sorted once for both curves."""
     up = F.col("logit") >= F.lit(_logit(prob))
@@ -89,20 +131,29 @@ def tier_rates(df: DataFrame, thresholds: DataFrame, tier: Column, *keys: str) -
 
 
 def f1_sweep(df: DataFrame, *keys: str, score: str = "score", label: str = "label", steps: int = 100) -> DataFrame:
-    """(keys, best_f1, best_threshold): the first of steps + 1 even thresholds on [0, 1] of greatest F1 (score >= threshold), 0 and 0 where none is above 0.
+    """(keys, best_f1, best_threshold, auprc): the first of steps + 1 even thresholds on [0, 1] of greatest F1 (score >= threshold), 0 and 0.5 where none is above 0, and the area under precision over recall by trapezoids.
 
-    Scores are counted by step first, so the sweep runs over at most steps + 2 rows a key.
+    Scores are counted by step first, so the sweep runs over at most steps + 2 rows a key. A NULL score reaches no threshold.
     """
-    b = F.floor(F.col(score) * steps + 1e-12)
-    b = F.when(b > steps, steps).when(b < 0, -1).otherwise(b)
+    step = 1.0 / steps
+    at = lambda k: F.when(k == steps, 1.0).otherwise(k * F.lit(step))
+    s = F.col(score)
+    b = F.greatest(F.lit(-1.0), F.least(F.lit(float(steps)), F.floor(s * steps).cast("double")))
+    b = F.when(s.isNull() | F.isnan(s), -1.0).otherwise(b)
+    b = F.when((b < steps) & (at(b + 1) <= s), b + 1).when((b >= 0) & (at(b) > s), b - 1).otherwise(b)
     c = df.groupBy(*keys, b.cast("int").alias("b")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     grid = df.select(*keys).distinct().withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(steps))))
-    c = grid.join(c, [*keys, "b"], "left").na.fill(0, ["p", "n"])
-    down = Window.partitionBy(*keys).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    c = same_keys([*keys, "b"], grid, c, "left").na.fill(0, ["p", "n"])
+    order = Window.partitionBy(*keys).orderBy(F.desc("b"))
+    down = order.rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "P": F.sum("p").over(Window.partitionBy(*keys))}).where("b >= 0")
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")), F.lit(0.0))
-    best = c.withColumn("f1", f1).groupBy(*keys).agg(F.max_by(F.struct("b", "f1"), F.struct("f1", -F.col("b"))).alias("m"))
-    return best.select(*keys, F.col("m.f1").alias("best_f1"), F.when(F.col("m.f1") > 0, F.col("m.b") / steps).otherwise(0.0).alias("best_threshold"))
+    one = F.lit(1).cast("long")
+    c = c.withColumns({"f1": f1, "prec": F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), one), "rec": F.col("tp") / F.greatest(F.col("P"), one)})
+    # recall falls as the threshold rises, so this order is that of recall
+    c = c.withColumn("part", (F.col("rec") - F.lag("rec").over(order)) * (F.col("prec") + F.lag("prec").over(order)) / 2)
+    best = c.groupBy(*keys).agg(F.max_by(F.struct("b", "f1"), F.struct("f1", -F.col("b"))).alias("m"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("auprc"))
+    return best.select(*keys, F.col("m.f1").alias("best_f1"), F.when(F.col("m.f1") > 0, at(F.col("m.b"))).otherwise(0.5).alias("best_threshold"), "auprc")
 
 
 def stats(c: str | Column, prefix: str = "") -> list[Column]:
@@ -143,8 +194,10 @@ def top2(df: DataFrame, *keys: str, value: str) -> DataFrame:
     return x.groupBy(*keys).agg(F.max(value).alias("max_logit"), F.avg(F.when(F.col("_r") <= 2, F.col(value))).alias("top2_logit"), F.avg(value).alias("mean_logit"), F.count("*").alias("n_windows"))
 
 
-def robustness_table(metrics: DataFrame, key: str, baseline: str | None = None, value: str = "auc") -> DataFrame:
-    """metrics, one row for each condition, with the difference of value to the baseline condition, the first by name where none is given."""
-    w = Window.partitionBy(F.lit(0))
-    base = F.min_by(value, key).over(w) if baseline is None else F.max(F.when(F.col(key) == baseline, F.col(value))).over(w)
-    return metrics.withColumn(f"d_{value}", F.col(value) - base)
+def robustness_table(metrics: DataFrame, key: str, baseline: str | None = None, values: tuple[str, ...] = ("auc",)) -> DataFrame:
+    """metrics, one row for each condition, with the difference of values to the baseline condition, the first by name where none is given."""
+    if baseline is None:
+        baseline = metrics.agg(F.min(key)).first()[0]
+    base = metrics.where(F.col(key) == baseline).select(*[F.col(v).alias(f"_{v}") for v in values])
+    x = metrics.join(F.broadcast(base), how="left") if base.limit(2).count() == 1 else metrics.withColumns({f"_{v}": F.lit(None).cast("double") for v in values})
+    return x.withColumns({f"d_{v}": F.col(v) - F.col(f"_{v}") for v in values}).drop(*[f"_{v}" for v in values])

@@ -104,9 +104,11 @@ def agg_auroc_by_bucket(spark, d):
     return rounded(A.auroc(b.unionByName(s.where("label = 1").withColumn("bucket", size_bucket("area"))), "tag", "bucket"))
 
 
-@query("WITH " + SCORES + """, g AS (SELECT unnest(range(0, 101)) AS k), x AS (SELECT tag, label, CAST(greatest(-1, least(100, floor(1 / (1 + exp(-logit)) * 100 + 1e-12))) AS INT) AS b FROM sc),
-  f AS (SELECT tag, k, 2.0e0 * count(*) FILTER (label = 1 AND b >= k) / (count(*) FILTER (b >= k) + count(*) FILTER (label = 1)) AS f1 FROM x CROSS JOIN g GROUP BY 1, 2)
-  SELECT tag, round(f1, 6) AS best_f1, round(CASE WHEN f1 > 0 THEN k / 100.0e0 ELSE 0 END, 6) AS best_threshold FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY f1 DESC, k) AS rk FROM f) WHERE rk = 1""")
+@query("WITH " + SCORES + """, g AS (SELECT k, CASE WHEN k = 100 THEN 1.0e0 ELSE k * 0.01e0 END AS t FROM (SELECT unnest(range(0, 101)) AS k)), x AS (SELECT tag, label, 1 / (1 + exp(-logit)) AS s FROM sc),
+  c AS (SELECT tag, k, t, count(*) FILTER (label = 1 AND s >= t) AS tp, count(*) FILTER (s >= t) AS np, count(*) FILTER (label = 1) AS ng FROM x CROSS JOIN g GROUP BY 1, 2, 3),
+  f AS (SELECT *, CASE WHEN np + ng = 0 THEN 0 ELSE 2.0e0 * tp / (np + ng) END AS f1, tp / CAST(greatest(np, 1) AS DOUBLE) AS prec, tp / CAST(greatest(ng, 1) AS DOUBLE) AS rec FROM c),
+  a AS (SELECT tag, sum(part) AS auprc FROM (SELECT tag, (rec - lag(rec) OVER w) * (prec + lag(prec) OVER w) / 2 AS part FROM f WINDOW w AS (PARTITION BY tag ORDER BY k DESC)) GROUP BY tag)
+  SELECT tag, round(f1, 6) AS best_f1, round(CASE WHEN f1 > 0 THEN t ELSE 0.5 END, 6) AS best_threshold, round(auprc, 6) AS auprc FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY f1 DESC, k) AS rk FROM f) JOIN a USING (tag) WHERE rk = 1""")
 def cal_f1_sweep(spark, d):
     s = scores(spark, d).withColumn("score", 1 / (1 + F.exp(-F.col("logit"))))
     return rounded(A.f1_sweep(s, "tag"))
@@ -125,25 +127,60 @@ def agg_window_logits(spark, d):
     return rounded(A.top2(_windows(spark, d), "image_id", value="logit"))
 
 
-@query(_WIN + """, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY logit DESC) AS rk, row_number() OVER (PARTITION BY image_id ORDER BY window_idx) AS fr FROM wi),
-  a AS (SELECT image_id, CASE WHEN image_id % 3 = 0 THEN 0 ELSE 1 END AS label, max(logit) FILTER (fr = 1) AS full_logit, max(logit) AS max_logit, avg(logit) FILTER (rk <= 2) AS top2_logit FROM r GROUP BY 1),
-  u AS (SELECT 'full' AS method, label, full_logit AS v FROM a UNION ALL SELECT 'max', label, max_logit FROM a UNION ALL SELECT 'top2', label, top2_logit FROM a),
-  t AS (SELECT method, quantile_cont(v, 0.95) FILTER (label = 0) AS threshold, median(v) FILTER (label = 0) AS real_median, median(v) FILTER (label = 1) AS splice_median FROM u GROUP BY 1)
-  SELECT method, round(any_value(threshold), 6) AS threshold, round(avg(CAST(v >= threshold AS INT)) FILTER (label = 1), 6) AS tpr, round(any_value(splice_median - real_median), 6) AS shift FROM u JOIN t USING (method) GROUP BY method""")
-def agg_sliding_window_report(spark, d):
+_U = _WIN + """, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY logit DESC) AS rk, row_number() OVER (PARTITION BY image_id ORDER BY window_idx) AS fr FROM wi),
+  a AS (SELECT image_id, CASE WHEN image_id % 3 = 0 THEN 0 ELSE 1 END AS label, (image_id % 40) / 100.0e0 AS area, max(logit) FILTER (fr = 1) AS full_logit, max(logit) AS max_logit, avg(logit) FILTER (rk <= 2) AS top2_logit FROM r GROUP BY 1),
+  u AS (SELECT 'full' AS method, label, area, full_logit AS v FROM a UNION ALL SELECT 'max', label, area, max_logit FROM a UNION ALL SELECT 'top2', label, area, top2_logit FROM a),
+  cn AS (SELECT method, v, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM u GROUP BY 1, 2),
+  op AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER (PARTITION BY method) AS pp, sum(n) OVER (PARTITION BY method) AS nn FROM cn WINDOW d AS (PARTITION BY method ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  au AS (SELECT method, sum(p * (nn - fp + n * 0.5e0)) / (CAST(max(pp) AS DOUBLE) * max(nn)) AS auc FROM op GROUP BY 1),
+  bt AS (SELECT * FROM (SELECT *, tp / CAST(pp AS DOUBLE) AS tpr, 1 - fp / CAST(nn AS DOUBLE) AS tnr, row_number() OVER (PARTITION BY method ORDER BY (tp / CAST(pp AS DOUBLE) + (1 - fp / CAST(nn AS DOUBLE))) / 2 DESC, v) AS rk FROM op) WHERE rk = 1),
+  t AS (SELECT method, quantile_cont(v, 0.95) FILTER (label = 0) AS t95, quantile_cont(v, 0.99) FILTER (label = 0) AS t99 FROM u GROUP BY 1)"""
+
+
+def _window_scores(spark, d):
+    """(method, label, area, logit): each image's score by its full view, its best window and its two best windows."""
     w = _windows(spark, d)
     first = w.groupBy("image_id").agg(F.min_by("logit", "window_idx").alias("full_logit"))
-    x = A.top2(w, "image_id", value="logit").join(first, "image_id").withColumn("label", F.when(F.col("image_id") % 3 == 0, 0).otherwise(1))
-    u = x.unpivot(["label"], ["full_logit", "max_logit", "top2_logit"], "method", "logit").withColumn("method", F.regexp_replace("method", "_logit", ""))
-    t = A.threshold_at_tnr(u, 0.95, "method")
-    m = u.groupBy("method").agg((F.median(F.when(F.col("label") == 1, F.col("logit"))) - F.median(F.when(F.col("label") == 0, F.col("logit")))).alias("shift"))
-    return rounded(t.join(m, "method").select("method", "threshold", "tpr", "shift"))
+    x = A.top2(w, "image_id", value="logit").join(first, "image_id").withColumns({"label": F.when(F.col("image_id") % 3 == 0, 0).otherwise(1), "area": F.col("image_id") % 40 / 100})
+    u = x.unpivot(["label", "area"], ["full_logit", "max_logit", "top2_logit"], "method", "logit")
+    return u.withColumn("method", F.regexp_replace("method", "_logit", ""))
+
+
+@query(_U + """, m AS (SELECT method, count(*) AS n_total, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, avg(CAST(v >= t95 AS INT)) FILTER (label = 1) AS tpr_at_tnr_95, avg(CAST(v >= t99 AS INT)) FILTER (label = 1) AS tpr_at_tnr_99 FROM u JOIN t USING (method) GROUP BY 1),
+  x AS (SELECT m.*, auc, v AS opt_threshold, (tpr + tnr) / 2 AS bal_acc, 2 * tpr * n_pos / (tpr * n_pos + (1 - tnr) * n_neg + n_pos) AS f1, tpr, tnr FROM m JOIN au USING (method) JOIN bt USING (method)), b AS (SELECT * FROM x WHERE method = 'full')
+  SELECT x.method, x.n_total, x.n_pos, x.n_neg, round(x.auc, 6) AS auc, round(x.opt_threshold, 6) AS opt_threshold, round(x.bal_acc, 6) AS bal_acc, round(x.f1, 6) AS f1, round(x.tpr, 6) AS tpr, round(x.tnr, 6) AS tnr, round(x.tpr_at_tnr_95, 6) AS tpr_at_tnr_95,
+    round(x.tpr_at_tnr_99, 6) AS tpr_at_tnr_99, round(x.auc - b.auc, 6) AS d_auc, round(x.bal_acc - b.bal_acc, 6) AS d_bal_acc, round(x.tpr_at_tnr_95 - b.tpr_at_tnr_95, 6) AS d_tpr_at_tnr_95, round(x.tpr_at_tnr_99 - b.tpr_at_tnr_99, 6) AS d_tpr_at_tnr_99 FROM x CROSS JOIN b""")
+def agg_sliding_window_report(spark, d):
+    m = A.condition_metrics(_window_scores(spark, d), "method")
+    return rounded(A.robustness_table(m, "method", "full", ("auc", "bal_acc", "tpr_at_tnr_95", "tpr_at_tnr_99")))
+
+
+@query(_U + """ SELECT u.method, CASE WHEN area <= 0.05 THEN 'tiny' WHEN area < 0.15 THEN 'small' WHEN area < 0.30 THEN 'medium' ELSE 'large' END AS tier, count(*) AS n, round(avg(CAST(u.v >= bt.v AS INT)), 6) AS tpr FROM u JOIN bt USING (method) WHERE label = 1 GROUP BY 1, 2""")
+def agg_sliding_window_tiers(spark, d):
+    """Rates by size tier, each method at its own best threshold."""
+    u = _window_scores(spark, d)
+    t = A.best_threshold(u, "method").select("method", F.col("opt_threshold").alias("threshold"))
+    return rounded(A.tier_rates(u, t, area_tier("area"), "method").where("n > 0"))
+
+
+@query(_U + """, q AS (SELECT method, median(v) FILTER (label = 0) AS real_med, quantile_cont(v, 0.95) FILTER (label = 0) AS real_p95, quantile_cont(v, 0.99) FILTER (label = 0) AS real_p99, median(v) FILTER (label = 1) AS splice_med, quantile_cont(v, 0.05) FILTER (label = 1) AS splice_p5 FROM u GROUP BY 1), b AS (SELECT * FROM q WHERE method = 'full')
+  SELECT q.method, round(q.real_med, 6) AS real_med, round(q.real_p95, 6) AS real_p95, round(q.real_p99, 6) AS real_p99, round(q.splice_med, 6) AS splice_med, round(q.splice_p5, 6) AS splice_p5, round(q.real_med - b.real_med, 6) AS d_real_med, round(q.splice_med - b.splice_med, 6) AS d_splice_med FROM q CROSS JOIN b""")
+def agg_sliding_window_risk(spark, d):
+    """How far scores of reals and of splices move from the full view to windows."""
+    u = _window_scores(spark, d)
+    r = A.quantiles(u.where("label = 0"), ["method"], "logit", {"real_med": 0.5, "real_p95": 0.95, "real_p99": 0.99}).join(A.quantiles(u.where("label = 1"), ["method"], "logit", {"splice_med": 0.5, "splice_p5": 0.05}), "method")
+    return rounded(A.robustness_table(r, "method", "full", ("real_med", "splice_med")))
 
 
-@query(_CURVE + """, b AS (SELECT auc AS b FROM au WHERE tag = (SELECT min(tag) FROM sc)) SELECT tag, round(auc, 6) AS auc, round(auc - b, 6) AS d_auc FROM au CROSS JOIN b""")
+@query(_CURVE + """, n AS (SELECT tag, count(*) AS n_total, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, quantile_cont(logit, 0.95) FILTER (label = 0) AS t95, quantile_cont(logit, 0.99) FILTER (label = 0) AS t99 FROM sc GROUP BY tag),
+  r AS (SELECT sc.tag, avg(CAST(logit >= t95 AS INT)) FILTER (label = 1) AS tpr_at_tnr_95, avg(CAST(logit >= t99 AS INT)) FILTER (label = 1) AS tpr_at_tnr_99 FROM sc JOIN n USING (tag) GROUP BY 1),
+  x AS (SELECT n.tag, n_total, n_pos, n_neg, auc_half AS auc, CASE WHEN ba > 0.5 THEN score ELSE 0 END AS opt_threshold, greatest(ba, 0.5e0) AS bal_acc, CASE WHEN ba > 0.5 THEN bt.tpr ELSE 0 END AS tpr, CASE WHEN ba > 0.5 THEN bt.tnr ELSE 1 END AS tnr, tpr_at_tnr_95, tpr_at_tnr_99
+    FROM n JOIN au USING (tag) JOIN bt USING (tag) JOIN r USING (tag)), y AS (SELECT *, 2 * tpr * n_pos / (tpr * n_pos + (1 - tnr) * n_neg + n_pos) AS f1 FROM x), b AS (SELECT * FROM y WHERE tag = (SELECT min(tag) FROM y))
+  SELECT y.tag, y.n_total, y.n_pos, y.n_neg, round(y.auc, 6) AS auc, round(y.opt_threshold, 6) AS opt_threshold, round(y.bal_acc, 6) AS bal_acc, round(y.tpr, 6) AS tpr, round(y.tnr, 6) AS tnr, round(y.f1, 6) AS f1, round(y.tpr_at_tnr_95, 6) AS tpr_at_tnr_95, round(y.tpr_at_tnr_99, 6) AS tpr_at_tnr_99,
+    round(y.auc - b.auc, 6) AS d_auc, round(y.bal_acc - b.bal_acc, 6) AS d_bal_acc, round(y.f1 - b.f1, 6) AS d_f1 FROM y CROSS JOIN b""")
 def agg_robustness(spark, d):
-    """AUC of each condition against a baseline condition, the first tag by name."""
-    return rounded(A.robustness_table(A.auroc(scores(spark, d), "tag"), "tag"))
+    """Metrics of each condition against a baseline condition, the first tag by name."""
+    return rounded(A.robustness_table(A.condition_metrics(scores(spark, d), "tag"), "tag", None, ("auc", "bal_acc", "f1")))
 
 
 _MM = f"""WITH {MASKS}, s AS (SELECT image_id, count(*) FILTER (pred AND gt) AS tp, count(*) FILTER (pred) AS np, count(*) FILTER (gt) AS ng, count(*) AS n, avg(CAST(pred = gt AS INT)) AS acc FROM ma GROUP BY 1)"""
@@ -172,23 +209,58 @@ def agg_stats(spark, d):
     return rounded(x.groupBy("tag").agg(*A.stats("iou_full")))
 
 
-@query(f"""WITH {LOC}, g AS (SELECT unnest([NULL, -2.0e0, -1.0e0, 0.0e0, 1.0e0, 2.0e0]) AS thr),
-  m AS (SELECT bucket, bce_logit, 'full' AS method, f1_full AS f1, iou_full AS iou FROM lo WHERE {'isfinite(f1_full) AND isfinite(iou_full)'} UNION ALL SELECT bucket, bce_logit, 'swin', f1_swin, iou_swin FROM lo WHERE isfinite(f1_swin) AND isfinite(iou_swin)),
-  v AS (SELECT method, thr, bucket, CASE WHEN thr IS NULL OR bce_logit IS NULL OR bce_logit >= thr THEN f1 ELSE 0 END AS f1, CASE WHEN thr IS NULL OR bce_logit IS NULL OR bce_logit >= thr THEN iou ELSE 0 END AS iou,
-    (thr IS NULL OR bce_logit IS NULL OR bce_logit >= thr) AS pass FROM m CROSS JOIN g)
-  SELECT method, thr, bucket, count(*) AS n, count(*) FILTER (pass) AS n_pass, round(median(f1), 6) AS f1_med, round(avg(f1), 6) AS f1_mean, round(median(iou), 6) AS iou_med, round(avg(iou), 6) AS iou_mean FROM v GROUP BY 1, 2, 3""")
+def _spread_sql(source: str, keys: str, measures: dict[str, str]) -> str:
+    """SQL of spread over rows of source."""
+    e = ", ".join(f"{{'m': '{n}', 'v': CAST({c} AS DOUBLE)}}" for n, c in measures.items())
+    return f"SELECT {keys}, e.m AS measure, {_STATS.format(c='e.v')} FROM (SELECT {keys}, unnest([{e}]) AS e FROM {source}) WHERE e.v IS NOT NULL AND NOT isnan(e.v) GROUP BY ALL"
+
+
+_MEASURES = ("f1", "iou", "prec", "rec", "pred_frac")
+_GRID = (-2.0, -1.0, 0.0, 1.0, 2.0)
+_OPT = 0.4
+_FIN = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+_GATES = f"""WITH {LOC}, g AS (SELECT 'no_gate' AS gate, CAST(NULL AS DOUBLE) AS thr UNION ALL SELECT unnest({[f"{t:+.1f}" for t in _GRID]}), unnest({list(_GRID)}) UNION ALL SELECT 'opt', {_OPT}),
+  m AS ({" UNION ALL ".join(f"SELECT bucket, bce_logit, '{k}' AS method, {', '.join(f'{c}_{k} AS {c}' for c in _MEASURES)}, {'swin_n_pass' if k == 'swin' else 'NULL'} AS swin_n_pass, {'CAST(swin_n_boundary > 0 AS INT)' if k == 'swin' else 'NULL'} AS swin_boundary FROM lo WHERE isfinite(f1_{k})" for k in ("full", "gap", "swin"))}),
+  v AS (SELECT method, gate, bucket, thr IS NULL OR bce_logit IS NULL OR bce_logit >= thr AS pass, {", ".join(_MEASURES)}, swin_n_pass, swin_boundary FROM m CROSS JOIN g),
+  w AS (SELECT method, gate, bucket, pass, {", ".join(f"CASE WHEN pass THEN {c} ELSE 0 END AS {c}" for c in _MEASURES)}, CASE WHEN pass THEN swin_n_pass WHEN method = 'swin' THEN 0 END AS swin_n_pass, CASE WHEN pass THEN swin_boundary WHEN method = 'swin' THEN 0 END AS swin_boundary FROM v)"""
+
+
+@query(_GATES + " " + _spread_sql("w", "method, gate, bucket", {c: c for c in (*_MEASURES, "swin_n_pass", "swin_boundary")}))
 def agg_threshold_sweep_report(spark, d):
-    """method x threshold (none among them) x bucket; rows gated out give 0, rows without a logit pass."""
-    x = loc(spark, d)
-    inf = F.lit(float("inf"))
-    fin = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < inf)
-    m = F.explode(F.array(F.struct(F.lit("full").alias("method"), F.col("f1_full").alias("f1"), F.col("iou_full").alias("iou"), (fin("f1_full") & fin("iou_full")).alias("ok")), F.struct(F.lit("swin").alias("method"), F.col("f1_swin").alias("f1"), F.col("iou_swin").alias("iou"), (fin("f1_swin") & fin("iou_swin")).alias("ok"))))
-    x = x.select("bucket", "bce_logit", m.alias("m")).where("m.ok").select("bucket", "bce_logit", "m.*")
-    x = x.withColumn("thr", F.explode(F.array(F.lit(None).cast("double"), *[F.lit(t) for t in (-2.0, -1.0, 0.0, 1.0, 2.0)])))
-    ok = F.col("thr").isNull() | F.col("bce_logit").isNull() | (F.col("bce_logit") >= F.col("thr"))
-    x = x.withColumn("pass", ok).withColumns({c: F.when(F.col("pass"), F.col(c)).otherwise(0.0) for c in ("f1", "iou")})
-    g = x.groupBy("method", "thr", "bucket").agg(F.count("*").alias("n"), F.count_if("pass").alias("n_pass"), F.median("f1").alias("f1_med"), F.avg("f1").alias("f1_mean"), F.median("iou").alias("iou_med"), F.avg("iou").alias("iou_mean"))
-    return rounded(g)
+    """method x gate (none, fixed thresholds, the calibrated one) x bucket x measure; rows gated out give 0, rows without a logit pass."""
+    x = _gated(spark, d)
+    return rounded(A.spread(x, ["method", "gate", "bucket"], {c: c for c in (*_MEASURES, "swin_n_pass", "swin_boundary")}))
+
+
+@query(_GATES + " SELECT method, gate, bucket, count(*) AS n_total, count(*) FILTER (pass) AS n_pass FROM w GROUP BY 1, 2, 3")
+def agg_threshold_sweep_counts(spark, d):
+    return _gated(spark, d).groupBy("method", "gate", "bucket").agg(F.count("*").alias("n_total"), F.count_if("pass").alias("n_pass"))
+
+
+def _gated(spark, d):
+    swin = {"swin_n_pass": F.col("swin_n_pass").cast("double"), "swin_boundary": (F.col("swin_n_boundary") > 0).cast("double")}
+    of = lambda k: F.struct(F.lit(k).alias("method"), _FIN(f"f1_{k}").alias("ok"), *[F.col(f"{c}_{k}").alias(c) for c in _MEASURES], *[(v if k == "swin" else F.lit(None).cast("double")).alias(n) for n, v in swin.items()])
+    x = loc(spark, d).select("bucket", "bce_logit", F.explode(F.array(of("full"), of("gap"), of("swin"))).alias("m")).where("m.ok").select("bucket", "bce_logit", "m.*")
+    gates = [("no_gate", None), *[(f"{t:+.1f}", t) for t in _GRID], ("opt", _OPT)]
+    x = x.withColumn("g", F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.lit(t).cast("double").alias("thr")) for n, t in gates]))).select("*", "g.*")
+    x = x.withColumn("pass", F.col("thr").isNull() | F.col("bce_logit").isNull() | (F.col("bce_logit") >= F.col("thr")))
+    return x.withColumns({c: F.when(F.col("pass"), F.col(c)).otherwise(0.0) for c in _MEASURES} | {c: F.when(F.col("pass"), F.col(c)).when(F.col("method") == "swin", 0.0) for c in swin})
+
+
+_PX = {f"{c}_px": f"{c}_full_px" for c in ("f1", "iou", "prec", "rec")}
+_SHAPE = {c: c for c in ("pos_coh", "bg_coh", "cent_sep", "out_gap", "frac_outliers_mad", "frac_outliers_03", "frac_outliers_05", "sil_k2", "sil_k3", "sil_k4")}
+
+
+@query(f"WITH {LOC} " + _spread_sql("lo WHERE isfinite(f1_full_px)", "bucket", _PX))
+def agg_pixel_summary(spark, d):
+    """Mask metrics at the size of pixels, without a gate, by bucket."""
+    return rounded(A.spread(loc(spark, d).where(_FIN("f1_full_px")), ["bucket"], _PX))
+
+
+@query(f"WITH {LOC} " + _spread_sql("lo", "bucket", _SHAPE))
+def agg_representation(spark, d):
+    """How embeddings of regions hold together and stand apart, by bucket."""
+    return rounded(A.spread(loc(spark, d), ["bucket"], _SHAPE))
 
 
 @query(f"""WITH {LOC}, b AS (SELECT unnest(['small', 'medium', 'large']) AS bucket), t AS (SELECT DISTINCT tag FROM lo)
@@ -245,23 +317,63 @@ def agg_loc_by_confidence(spark, d):
     return rounded(x.join(cut, "tag").groupBy("bucket", tier.alias("tier")).agg(F.count("*").alias("n"), F.median("iou_full").alias("iou_med"), F.percentile("iou_full", F.lit(0.25)).alias("iou_p25"), F.avg("iou_full").alias("iou_mean")))
 
 
-@query(f"""WITH {LOC}, s AS (SELECT iou_full, iou_swin, bucket FROM lo WHERE isfinite(iou_full) AND isfinite(iou_swin)), q AS (SELECT quantile_cont(iou_full, 0.25) AS a, quantile_cont(iou_full, 0.5) AS b, quantile_cont(iou_full, 0.75) AS c FROM s)
-  SELECT CASE WHEN iou_full <= a THEN 'q1' WHEN iou_full <= b THEN 'q2' WHEN iou_full <= c THEN 'q3' ELSE 'q4' END AS quartile, count(*) AS n, round(median(iou_swin - iou_full), 6) AS d_med, round(avg(iou_swin - iou_full), 6) AS d_mean FROM s CROSS JOIN q GROUP BY 1""")
+_ZOOM = f"""WITH {LOC}, s AS (SELECT bucket, bce_logit, f1_full, iou_full, f1_swin AS f1_zoom, iou_swin AS iou_zoom, f1_gap AS f1_oracle, iou_gap AS iou_oracle, prec_full, rec_full, prec_swin AS prec_zoom, rec_swin AS rec_zoom FROM lo WHERE isfinite(iou_full) AND isfinite(iou_swin))"""
+
+
+def _zoom(spark, d):
+    """Samples with a second look; the window masks stand for it, and those of the gap rule for the oracle's."""
+    x = loc(spark, d).where(_FIN("iou_full") & _FIN("iou_swin"))
+    return x.select("bucket", "bce_logit", *[F.col(f"{m}_{k}").alias(f"{m}_{n}") for k, n in (("full", "full"), ("swin", "zoom"), ("gap", "oracle")) for m in ("f1", "iou")], "prec_full", "rec_full", F.col("prec_swin").alias("prec_zoom"), F.col("rec_swin").alias("rec_zoom"))
+
+
+_VIEWS = {f"{m}_{n}": f"{m}_{n}" for n in ("full", "zoom", "oracle") for m in ("f1", "iou")}
+
+
+@query(_ZOOM + " " + _spread_sql("s", "bucket", _VIEWS) + " UNION ALL SELECT 'ALL' AS bucket, * FROM (" + _spread_sql("(SELECT 0 AS one, * FROM s)", "one", _VIEWS).replace("SELECT one, e.m", "SELECT e.m", 1) + ")")
+def agg_zoom_by_size(spark, d):
+    """First look, second look and oracle by bucket, and all together."""
+    x = _zoom(spark, d)
+    return rounded(A.spread(x.withColumn("bucket", F.explode(F.array("bucket", F.lit("ALL")))), ["bucket"], _VIEWS))
+
+
+@query(_ZOOM + """, c AS (SELECT coalesce(median(bce_logit) FILTER (bce_logit >= 0), 0) AS cut FROM s)
+  SELECT bucket, CASE WHEN bce_logit < 0 THEN 'missed' WHEN bce_logit >= cut THEN 'confident' ELSE 'less' END AS tier, count(*) AS n, round(median(iou_zoom), 6) AS iou_med, round(quantile_cont(iou_zoom, 0.25), 6) AS iou_p25, round(avg(iou_zoom), 6) AS iou_mean
+  FROM s CROSS JOIN c WHERE bce_logit IS NOT NULL GROUP BY 1, 2""")
+def agg_zoom_confidence(spark, d):
+    """Second looks by bucket and by how sure the detector is."""
+    x = _zoom(spark, d).where("bce_logit is not null")
+    q = A.quantiles(x.where("bce_logit >= 0"), [], "bce_logit", {"cut": 0.5}).first()
+    cut = (q["cut"] if q else None) or 0.0
+    tier = F.when(F.col("bce_logit") < 0, "missed").when(F.col("bce_logit") >= cut, "confident").otherwise("less")
+    return rounded(x.groupBy("bucket", tier.alias("tier")).agg(F.count("*").alias("n"), F.median("iou_zoom").alias("iou_med"), F.percentile("iou_zoom", F.lit(0.25)).alias("iou_p25"), F.avg("iou_zoom").alias("iou_mean")))
+
+
+@query(_ZOOM + """, q AS (SELECT quantile_cont(iou_full, 0.25) AS a, quantile_cont(iou_full, 0.5) AS b, quantile_cont(iou_full, 0.75) AS c FROM s)
+  SELECT CASE WHEN iou_full <= a THEN 'q1' WHEN iou_full <= b THEN 'q2' WHEN iou_full <= c THEN 'q3' ELSE 'q4' END AS quartile, count(*) AS n, round(median(iou_full), 6) AS full_med, round(median(iou_zoom - iou_full), 6) AS d_zoom_med, round(avg(iou_zoom - iou_full), 6) AS d_zoom_mean,
+  round(median(CASE WHEN isfinite(iou_oracle) THEN iou_oracle - iou_full END), 6) AS d_oracle_med, round(avg(CASE WHEN isfinite(iou_oracle) THEN iou_oracle - iou_full END), 6) AS d_oracle_mean FROM s CROSS JOIN q GROUP BY 1""")
 def agg_zoom_quartiles(spark, d):
-    """Gain of the second look by quartile of the first."""
-    x = loc(spark, d).where("iou_full is not null and not isnan(iou_full) and iou_swin is not null and not isnan(iou_swin)")
-    q1, q2, q3 = x.agg(F.percentile("iou_full", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or (0.0, 0.0, 0.0)
-    band = F.when(F.col("iou_full") <= q1, "q1").when(F.col("iou_full") <= q2, "q2").when(F.col("iou_full") <= q3, "q3").otherwise("q4")
-    dlt = F.col("iou_swin") - F.col("iou_full")
-    return rounded(x.groupBy(band.alias("quartile")).agg(F.count("*").alias("n"), F.median(dlt).alias("d_med"), F.avg(dlt).alias("d_mean")))
+    """Gain of the second look and of the oracle by quartile of the first."""
+    x = _zoom(spark, d)
+    q = A.quantiles(x, [], "iou_full", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).first() or {"q1": 0.0, "q2": 0.0, "q3": 0.0}
+    band = F.when(F.col("iou_full") <= q["q1"], "q1").when(F.col("iou_full") <= q["q2"], "q2").when(F.col("iou_full") <= q["q3"], "q3").otherwise("q4")
+    zoom, oracle = F.col("iou_zoom") - F.col("iou_full"), F.when(_FIN("iou_oracle"), F.col("iou_oracle") - F.col("iou_full"))
+    return rounded(x.groupBy(band.alias("quartile")).agg(F.count("*").alias("n"), F.median("iou_full").alias("full_med"), F.median(zoom).alias("d_zoom_med"), F.avg(zoom).alias("d_zoom_mean"), F.median(oracle).alias("d_oracle_med"), F.avg(oracle).alias("d_oracle_mean")))
 
 
-@query(f"""WITH {LOC} SELECT coalesce(bucket, 'ALL') AS bucket, count(*) AS n, round(median(f1_swin - f1_full), 6) AS d_f1, round(avg(CAST(coalesce(swin_n_pass, 0) > 0 AS INT)), 6) AS fired
-  FROM lo WHERE bucket IS NOT NULL AND isfinite(f1_full) AND isfinite(f1_swin) GROUP BY ROLLUP (bucket)""")
+_CF = ("f1", "iou", "prec", "rec")
+
+
+@query(f"""WITH {LOC}, s AS (SELECT * FROM lo WHERE bucket IS NOT NULL AND isfinite(f1_full) AND isfinite(f1_swin)) SELECT coalesce(bucket, 'ALL') AS bucket, count(*) AS n, count(*) FILTER (coalesce(swin_n_pass, 0) > 0) AS fired, round(avg(coalesce(swin_n_pass, 0)), 6) AS mean_crops,
+  {", ".join(f"round(median({c}_full), 6) AS coarse_{c}, round(avg({c}_full), 6) AS coarse_{c}_mean, round(median({c}_swin), 6) AS refine_{c}, round(avg({c}_swin), 6) AS refine_{c}_mean, round(median({c}_swin) - median({c}_full), 6) AS d_{c}" for c in _CF)} FROM s GROUP BY ROLLUP (bucket)""")
 def agg_coarse_to_fine(spark, d):
     """Second look against the first by bucket, with the overall row."""
-    x = loc(spark, d).where("bucket is not null and f1_full is not null and not isnan(f1_full) and f1_swin is not null and not isnan(f1_swin)")
-    g = x.rollup("bucket").agg(F.count("*").alias("n"), F.median(F.col("f1_swin") - F.col("f1_full")).alias("d_f1"), F.avg((F.coalesce("swin_n_pass", F.lit(0)) > 0).cast("double")).alias("fired"))
+    x = loc(spark, d).where(F.col("bucket").isNotNull() & _FIN("f1_full") & _FIN("f1_swin"))
+    own = []
+    for c in _CF:
+        a, b = F.col(f"{c}_full"), F.col(f"{c}_swin")
+        own += [F.median(a).alias(f"coarse_{c}"), F.avg(a).alias(f"coarse_{c}_mean"), F.median(b).alias(f"refine_{c}"), F.avg(b).alias(f"refine_{c}_mean"), (F.median(b) - F.median(a)).alias(f"d_{c}")]
+    crops = F.coalesce("swin_n_pass", F.lit(0))
+    g = x.rollup("bucket").agg(F.count("*").alias("n"), F.count_if(crops > 0).alias("fired"), F.avg(crops).alias("mean_crops"), *own)
     return rounded(g.withColumn("bucket", F.coalesce("bucket", F.lit("ALL"))))
 
 
@@ -331,6 +443,17 @@ def cal_outlier_scores(spark, d):
     return rounded(C.outlier_scores(patches(spark, d)))
 
 
+@query(f"""WITH {PATCHES}, w AS (SELECT image_id, attention AS v, lead(attention) OVER o AS nx, row_number() OVER o AS pos FROM pa WINDOW o AS (PARTITION BY image_id ORDER BY attention)),
+  g AS (SELECT image_id, (v + nx) / 2 AS t FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY coalesce(nx - v, -1) DESC, pos) AS rk, count(*) OVER (PARTITION BY image_id) AS n FROM w) WHERE rk = 1 AND n > 2),
+  e AS (SELECT image_id, unnest(z) AS x, unnest(range(0, len(z))) AS pos FROM pa LEFT JOIN g USING (image_id) WHERE t IS NULL OR attention < t), s AS (SELECT image_id, pos, sum(x) AS s FROM e GROUP BY 1, 2), t AS (SELECT image_id, list(s ORDER BY pos) AS total FROM s GROUP BY 1),
+  sc AS (SELECT image_id, lab, 1 - list_cosine_similarity(z, total) AS score FROM pa JOIN t USING (image_id))
+  SELECT image_id, round(median(score) FILTER (lab = 1) - median(score) FILTER (lab = 0), 6) AS out_gap FROM sc GROUP BY 1""")
+def cal_outlier_gap(spark, d):
+    """Outlier scores against the background below the widest gap of attention, as the difference of both sides' medians."""
+    p = patches(spark, d)
+    return rounded(C.outlier_gap(C.outlier_scores(p, "gap").join(p.select("image_id", "idx", "lab"), ["image_id", "idx"]), "image_id", "lab", "score"))
+
+
 @query(f"""WITH {PATCHES} SELECT a.image_id, a.lab, count(DISTINCT a.idx) AS n, round(avg(list_dot_product(a.z, b.z)), 5) AS coherence FROM pa a JOIN pa b ON a.image_id = b.image_id AND a.lab = b.lab AND a.idx <> b.idx GROUP BY 1, 2""")
 def agg_offdiagonal_similarity(spark, d):
     """Mean similarity of distinct patches by the length of their vector sum; the SQL takes all pairs."""

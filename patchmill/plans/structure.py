@@ -178,7 +178,7 @@ _PAIRS = f"""WITH RECURSIVE {PATCHES}, pr AS (SELECT a.image_id, a.idx AS i, b.i
 
 @query(_PAIRS + " SELECT image_id, i, j, CAST(rk AS INT) AS rk FROM kn WHERE rk <= 5")
 def clu_nearest(spark, d):
-    return K.nearest(K.patch_pairs(patches(spark, d)), 5).select("image_id", "i", "j", "rk")
+    return K.nearest(patches(spark, d), 5).select("image_id", "i", "j", "rk")
 
 
 @query(_PAIRS + " SELECT image_id, i, j, round(sim, 6) AS sim FROM ed")
@@ -193,8 +193,7 @@ def clu_edges_in_radius(spark, d):
 
 @query(_PAIRS + " SELECT image_id, idx, root FROM cp")
 def clu_components(spark, d):
-    p = patches(spark, d)
-    return K.components(p, K.mutual_edges(p, 10, 0.2))
+    return K.components(patches(spark, d), 10, 0.2)
 
 
 @query(_PAIRS + """, s AS (SELECT image_id, root, count(*) AS size FROM cp GROUP BY 1, 2), bg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY size DESC, root) AS rk FROM s) WHERE rk = 1),
@@ -202,8 +201,7 @@ def clu_components(spark, d):
   cr AS (SELECT a.image_id, a.root, avg(sim) AS crossing FROM pr JOIN cp a ON a.image_id = pr.image_id AND a.idx = pr.i JOIN cp b ON b.image_id = pr.image_id AND b.idx = pr.j JOIN bg ON bg.image_id = b.image_id AND bg.root = b.root WHERE a.root <> b.root GROUP BY 1, 2)
   SELECT s.image_id, s.root, s.size, round(coalesce(within, 1), 5) AS within, round(crossing, 5) AS "cross", s.root = bg.root AS background FROM s JOIN bg ON bg.image_id = s.image_id LEFT JOIN wi ON wi.image_id = s.image_id AND wi.root = s.root LEFT JOIN cr ON cr.image_id = s.image_id AND cr.root = s.root""")
 def clu_component_stats(spark, d):
-    p = patches(spark, d)
-    return rounded(K.component_stats(p, K.components(p, K.mutual_edges(p, 10, 0.2))), 5)
+    return rounded(K.component_stats(patches(spark, d), 10, 0.2), 5)
 
 
 @query(_PAIRS + """, s AS (SELECT image_id, root, count(*) AS size FROM cp GROUP BY 1, 2), bg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY size DESC, root) AS rk FROM s) WHERE rk = 1),
@@ -239,23 +237,73 @@ def clu_decode_sweep(spark, d):
     """Decoded masks against labels for each value of a knob: medians, means, images without a region, wins over k-means."""
     p = patches(spark, d)
     gt = p.select("image_id", "idx", (F.col("lab") == 1).alias("gt"))
-    km = K.kmeans_labels(p).withColumn("lab2", F.col("cluster"))
-    base = km.join(K.minority(km, "lab2"), "image_id").select("image_id", "idx", (F.col("cluster") == F.col("positive")).alias("pred"))
-    base = mask_metrics(base.join(gt, ["image_id", "idx"]), "image_id", empty=1.0).select("image_id", F.col("iou").alias("base"))
+    scored = lambda x: mask_metrics(x.join(gt, ["image_id", "idx"]), "image_id", empty=1.0)
+    base = scored(K.decoded(p, K.DecodeSpec(), deploy=True, attention=False)).select("image_id", F.col("iou").alias("base"))
+    knobs = [{"s_edge": s} for s in (0.15, 0.20, 0.25)] + [{"k": k} for k in (5, 15)] + [{"radius": r} for r in (2, 4)] + [{"theta_x": 0.05}, {"by_attention": True}]
     out = None
-    for s in (0.15, 0.20, 0.25):
-        x = K.graph_decode(p, s_edge=s, theta_w=0.05, theta_x=0.1).select("image_id", "idx", F.col("accepted").alias("pred"))
-        m = mask_metrics(x.join(gt, ["image_id", "idx"]), "image_id", empty=1.0).join(base, "image_id").withColumn("s_edge", F.lit(s))
+    for knob in knobs:
+        spec = K.DecodeSpec(method="graph", **({"s_edge": 0.2, "theta_w": 0.05, "theta_x": 0.1} | knob))
+        m = scored(K.decoded(p, spec, deploy=True)).join(base, "image_id").withColumn("knob", F.lit(",".join(f"{k}={v}" for k, v in knob.items())))
         out = m if out is None else out.unionByName(m)
-    g = out.groupBy("s_edge").agg(F.count("*").alias("n"), F.median("iou").alias("iou_med"), F.avg("iou").alias("iou_mean"), F.count_if(F.col("pred_frac") == 0).alias("abstained"), F.count_if(F.col("iou") > F.col("base")).alias("wins"), F.count_if(F.col("iou") == F.col("base")).alias("draws"))
+    g = out.groupBy("knob").agg(F.count("*").alias("n"), F.median("iou").alias("iou_med"), F.avg("iou").alias("iou_mean"), F.count_if(F.col("pred_frac") == 0).alias("abstained"), F.count_if(F.col("iou") > F.col("base")).alias("wins"), F.count_if(F.col("iou") == F.col("base")).alias("draws"))
     return rounded(g)
 
 
+def _single(p):
+    return p.select("image_id").distinct().withColumn("single", F.col("image_id") % 2 == 0)
+
+
+_SPEC = K.DecodeSpec(method="graph", tau_pos=0.35, tau_neg=0.05, theta_w=0.05, theta_x=0.1)
+_EDGES = [0.12, 0.2, 0.28]
+
+
+@query(_PAIRS.replace("WHERE a.sim >= 0.2", "WHERE true") + f""", se AS (SELECT unnest({_EDGES}) AS s), eg AS (SELECT s, image_id, i, j FROM ed CROSS JOIN se WHERE sim >= s),
+  rr(s, image_id, idx, root) AS (SELECT s, image_id, idx, idx FROM pa CROSS JOIN se UNION SELECT eg.s, eg.image_id, eg.i, rr.root FROM eg JOIN rr ON eg.s = rr.s AND eg.image_id = rr.image_id AND eg.j = rr.idx),
+  cc AS (SELECT s, image_id, idx, min(root) AS root FROM rr GROUP BY 1, 2, 3), sz AS (SELECT s, image_id, root, count(*) AS size FROM cc GROUP BY 1, 2, 3),
+  bg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, image_id ORDER BY size DESC, root) AS rk FROM sz) WHERE rk = 1),
+  m AS (SELECT a.s, a.image_id, a.root, avg(sim) FILTER (b.root = a.root) AS within, avg(sim) FILTER (b.root = bg.root AND a.root <> bg.root) AS crossing FROM pr JOIN cc a ON a.image_id = pr.image_id AND a.idx = pr.i
+    JOIN cc b ON b.s = a.s AND b.image_id = pr.image_id AND b.idx = pr.j JOIN bg ON bg.s = a.s AND bg.image_id = pr.image_id GROUP BY 1, 2, 3),
+  ok AS (SELECT s, image_id, bool_or(sz.size >= 4 AND sz.root <> bg.root AND coalesce(within, 1) >= 0.05 AND coalesce(crossing, 1) <= 0.1) AS found FROM sz JOIN bg USING (s, image_id) JOIN m ON m.s = sz.s AND m.image_id = sz.image_id AND m.root = sz.root GROUP BY 1, 2),
+  ab AS (SELECT se.s, p.image_id, NOT coalesce(found, false) OR n < 16 AS abstained FROM (SELECT image_id, count(*) AS n FROM pa GROUP BY 1) p CROSS JOIN se LEFT JOIN ok ON ok.s = se.s AND ok.image_id = p.image_id),
+  r AS (SELECT s, coalesce(avg(CAST(abstained AS INT)) FILTER (image_id % 2 = 0), 1) AS tpr, coalesce(avg(CAST(NOT abstained AS INT)) FILTER (image_id % 2 <> 0), 1) AS tnr, count(*) FILTER (image_id % 2 = 0) AS n_single, count(*) FILTER (image_id % 2 <> 0) AS n_two FROM ab GROUP BY s)
+  SELECT round(s, 6) AS s_edge, round((tpr + tnr) * 0.5, 6) AS bal_acc, round(tpr, 6) AS tpr, round(tnr, 6) AS tnr, n_single, n_two, false AS used_fallback FROM r ORDER BY (tpr + tnr) * 0.5 DESC, s LIMIT 1""")
+def cal_graph_edge(spark, d):
+    """The edge threshold at which abstaining tells images of one class best, of three."""
+    p = patches(spark, d)
+    return rounded(K.calibrate_graph(p, _single(p), _SPEC, edges=_EDGES))
+
+
+@query()
+def cal_graph_edge_grid(spark, d):
+    """As cal_graph_edge, of the 21 thresholds that follow from the decode's own limits."""
+    p = patches(spark, d)
+    return rounded(K.calibrate_graph(p, _single(p), _SPEC))
+
+
+@query("WITH RECURSIVE " + _PAIRS.removeprefix("WITH RECURSIVE ") + """, s AS (SELECT image_id, root, count(*) AS size FROM cp GROUP BY 1, 2) SELECT image_id, CAST(sum(size) AS INT) AS patches, CAST(CASE WHEN sum(size) < 16 THEN 0 ELSE count(*) END AS INT) AS components, CASE WHEN sum(size) < 16 THEN 0 ELSE max(size) END AS background_size FROM s GROUP BY 1""")
+def clu_graph_report(spark, d):
+    return K.graph_report(patches(spark, d), s_edge=0.2, theta_w=0.05, theta_x=0.1).drop("accepted", "abstained")
+
+
+@query()
+def clu_partitioned(spark, d):
+    """Regions by k-means behind the silhouette gate, one row for each image."""
+    x = K.partitioned(patches(spark, d), 0.01)
+    return rounded(x.groupBy("image_id").agg(F.count_if("pred").alias("taken"), F.max("score").alias("score"), F.bool_or("single").alias("single"), F.max("smaller").alias("smaller")))
+
+
+@query()
+def clu_partitioned_null(spark, d):
+    """As clu_partitioned, behind the gate on z-scores against each image's own random partitions."""
+    x = K.partitioned(patches(spark, d), 1.5, null=True)
+    return rounded(x.groupBy("image_id").agg(F.count_if("pred").alias("taken"), F.max("score").alias("score"), F.bool_or("single").alias("single"), F.max("smaller").alias("smaller")))
+
+
 @query()
 def cal_null_gate(spark, d):
     """The gate on z-scores against each image's own null."""
     s = K.null_silhouettes(patches(spark, d), "lab").withColumn("single", F.col("image_id") % 2 == 0)
-    return rounded(K.gate_sweep(s, "z", "single", [i / 20 for i in range(81)]))
+    return rounded(K.gate_sweep(s, "z", "single", [i / 20 for i in range(81)], fallback=2.0))
 
 
 @query()
@@ -278,12 +326,24 @@ def clu_null_gate(spark, d):
     return rounded(K.null_silhouettes(patches(spark, d), "lab"))
 
 
-@query(_SIL + """, s AS (SELECT image_id, coalesce(avg(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), -1) AS v FROM ab GROUP BY 1), g AS (SELECT unnest(range(0, 81)) / 4000.0e0 AS tau),
-  r AS (SELECT tau, round((coalesce(avg(CAST(v < tau AS INT)) FILTER (image_id % 2 = 0), 0) + coalesce(avg(CAST(v >= tau AS INT)) FILTER (image_id % 2 <> 0), 0)) / 2, 9) AS bal_acc FROM s CROSS JOIN g GROUP BY tau)
-  SELECT round(tau, 6) AS tau, round(bal_acc, 6) AS bal_acc FROM r ORDER BY bal_acc DESC, tau LIMIT 1""")
+_SILS = _SIL + """, s AS (SELECT image_id, round(coalesce(avg(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), -1), 9) AS v, image_id % 2 = 0 AS single FROM ab GROUP BY 1)"""
+
+
+@query(_SILS + """, l AS (SELECT greatest(-0.10e0, min(v) - 0.05e0) AS lo, least(0.999e0, max(v) + 0.05e0) AS hi FROM s), h AS (SELECT lo, CASE WHEN hi > lo THEN hi ELSE least(0.999e0, lo + 0.05e0) END AS hi FROM l),
+  g AS (SELECT CASE WHEN k = 80 THEN hi ELSE lo + k * ((hi - lo) / 80) END AS tau FROM h CROSS JOIN (SELECT unnest(range(0, 81)) AS k)),
+  r AS (SELECT tau, coalesce(count(*) FILTER (single AND v < tau) / nullif(CAST(count(*) FILTER (single) AS DOUBLE), 0), 1) AS tpr, coalesce(count(*) FILTER (NOT single AND v >= tau) / nullif(CAST(count(*) FILTER (NOT single) AS DOUBLE), 0), 1) AS tnr,
+    count(*) FILTER (single) AS n_single, count(*) FILTER (NOT single) AS n_two FROM s CROSS JOIN g GROUP BY tau)
+  SELECT round(tau, 6) AS tau, round((tpr + tnr) * 0.5, 6) AS bal_acc, round(tpr, 6) AS tpr, round(tnr, 6) AS tnr, n_single, n_two, false AS used_fallback FROM r ORDER BY (tpr + tnr) * 0.5 DESC, tau LIMIT 1""")
 def cal_silhouette_gate(spark, d):
+    s = rounded(K.silhouettes(patches(spark, d), "lab"), 9).withColumn("single", F.col("image_id") % 2 == 0)
+    return rounded(K.gate_sweep(s, "silhouette", "single"))
+
+
+@query(_SILS + """ SELECT round(avg(v) FILTER (single), 5) AS single_mean, round(median(v) FILTER (single), 5) AS single_median, round(stddev_pop(v) FILTER (single), 5) AS single_std, round(avg(v) FILTER (NOT single), 5) AS two_mean,
+  round(median(v) FILTER (NOT single), 5) AS two_median, round(stddev_pop(v) FILTER (NOT single), 5) AS two_std, round(avg(v) FILTER (NOT single) - avg(v) FILTER (single), 5) AS gap_mean FROM s""")
+def cal_class_gap(spark, d):
     s = K.silhouettes(patches(spark, d), "lab").withColumn("single", F.col("image_id") % 2 == 0)
-    return rounded(K.gate_sweep(s, "silhouette", "single", [i / 4000 for i in range(81)]))
+    return rounded(K.class_gap(s, "silhouette", "single"), 5)
 
 
 _BCE = "((1 - t) * l + (1 + 2 * t) * (ln(1 + exp(-abs(l))) + greatest(-l, 0)))"
@@ -321,6 +381,16 @@ def los_hinge_contrastive(spark, d):
     return rounded(L.hinge_contrastive(patches(spark, d), "lab"))
 
 
+@query(_CP + """, o AS (SELECT image_id FROM pa WHERE image_id % 3 <> 0 GROUP BY 1 HAVING count(DISTINCT lab) > 1), g AS (SELECT image_id, li, avg(greatest(1 - sim, 0)) AS m FROM pr WHERE li = lj GROUP BY 1, 2), a AS (SELECT image_id, avg(m) AS attract FROM g GROUP BY 1),
+  b AS (SELECT image_id, avg(greatest(sim - 0.3e0, 0)) AS repel FROM pr WHERE li <> lj GROUP BY 1), x AS (SELECT coalesce(attract, 0) AS attract, coalesce(repel, 0) AS repel FROM o LEFT JOIN a USING (image_id) LEFT JOIN b USING (image_id))
+  SELECT round(avg(attract), 6) AS attract, round(avg(repel), 6) AS repel, round(avg(attract + repel), 6) AS loss, count(*) AS n_active FROM x""")
+def los_selective_hinge(spark, d):
+    """The loss of a batch: the mean over active images that have both labels."""
+    p = patches(spark, d)
+    active = p.where("image_id % 3 <> 0").select("image_id")
+    return rounded(L.loss_summary(L.hinge_contrastive(L.active_images(p, "lab", active), "lab")))
+
+
 @query(f"WITH {PATCHES} SELECT image_id, round(1 - avg(list_cosine_similarity(z, list_reverse(z))), 6) AS loss FROM pa GROUP BY 1")
 def los_invariance(spark, d):
     """One minus the mean cosine of two views; the second view here is the vector read backwards."""

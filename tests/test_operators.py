@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchmill.errors import DataError
+from patchmill.errors import ConfigError, EvalError
 from patchmill.functions.labels import label, label_or_unknown, path_plain
 from patchmill.functions.tiers import area_bucket, area_tier, size_bucket
 from patchmill.operators import calibrate as C
@@ -205,8 +205,75 @@ def test_graph_decode_finds_regions_and_abstains(spark):
     assert acc["root"].nunique() == 2 and set(acc["idx"]) == set(range(100, 144))
     assert not K.graph_decode(planted(spark, [80]), s_edge=0.5).toPandas()["accepted"].any()
     assert K.graph_decode(planted(spark, [9]), s_edge=0.5).count() == 0
-    with pytest.raises(DataError):
-        K.graph_decode(p.withColumn("z", F.transform("z", lambda v: v * 2)))
+    with pytest.raises(Exception, match="unit length"):
+        K.graph_decode(p.withColumn("z", F.transform("z", lambda v: v * 2))).collect()
+    r = K.graph_report(p, s_edge=0.5).first()
+    assert (r["patches"], r["background_size"], r["accepted"], r["abstained"]) == (144, 100, 2, False)
+    assert K.graph_report(planted(spark, [9])).first()["abstained"]
+    # attention on the largest region makes it the background that it would not be by size
+    a = planted(spark, [80, 64]).withColumn("attention", F.when(F.col("lab") == 1, 0.0).otherwise(1.0))
+    x = K.graph_decode(a, s_edge=0.5, by_attention=True).toPandas()
+    got = set(x[x["accepted"]]["idx"])  # a patch that is in nobody's nearest stays alone
+    assert got <= set(range(80)) and len(got) > 70
+
+
+def test_decodes_by_spec(spark):
+    p = planted(spark, [100, 44])
+    region = set(range(100, 144))
+    ids = lambda x: {r["idx"] for r in x.where("pred").collect()}
+    assert ids(K.decoded(p, K.DecodeSpec(), deploy=True)) == region and ids(K.decoded(p, K.DecodeSpec(), deploy=True, attention=False)) == region
+    assert ids(K.decoded(p, K.DecodeSpec())) in (region, set(range(100)))
+    got = ids(K.decoded(p, K.DecodeSpec(method="graph")))
+    assert got <= region and len(got) > 40 and K.decoded(planted(spark, [9]), K.DecodeSpec(method="graph")).count() == 9
+    assert K.DecodeSpec(method="graph", radius=3).label() == "graph[s=0.38,k=10,r=3]" and K.DecodeSpec().label() == "kmeans"
+    with pytest.raises(ConfigError):
+        K.DecodeSpec(method="tree")
+    two = p.unionByName(planted(spark, [144], seed=3).withColumn("image_id", F.lit(2).cast("long")))
+    single = spark.createDataFrame([(1, False), (2, True)], "image_id long, single boolean")
+    c = K.calibrate_graph(two, single).first()
+    assert c["bal_acc"] == 1.0 and c["s_edge"] == pytest.approx(0.25) and (c["n_single"], c["n_two"]) == (1, 1)
+    assert K.calibrate_graph(p.limit(0), single, fallback=0.4).first()["used_fallback"]
+    with pytest.raises(EvalError):
+        K.calibrate_graph(p.limit(0), single)
+    x = {r["image_id"]: r for r in K.partitioned(two, 0.3).groupBy("image_id").agg(F.count_if("pred").alias("n"), F.bool_or("single").alias("single")).collect()}
+    assert (x[1]["n"], x[1]["single"], x[2]["n"], x[2]["single"]) == (44, False, 0, True)
+    z = {r["image_id"]: r["single"] for r in K.partitioned(two, 3.0, null=True).select("image_id", "single").distinct().collect()}
+    assert z[1] is False
+
+
+def test_gate_sweep_derives_its_grid(spark):
+    v = spark.createDataFrame([(0.1, True), (0.2, True), (0.5, False), (0.6, False), (None, True)], "s double, single boolean")
+    g = K.gate_sweep(v, "s", "single").first()
+    assert g["bal_acc"] == 1 and 0.2 < g["tau"] <= 0.5 and (g["n_single"], g["n_two"]) == (2, 2)
+    one = K.gate_sweep(v.where("not single"), "s", "single").first()
+    assert one["tpr"] == 1.0 and one["bal_acc"] == 1.0 and one["tau"] == pytest.approx(0.45)
+    assert K.gate_sweep(v.limit(0), "s", "single", fallback=0.3).first()["tau"] == 0.3
+    with pytest.raises(EvalError):
+        K.gate_sweep(v.limit(0), "s", "single")
+    assert K.class_gap(v, "s", "single").first()["gap_mean"] == pytest.approx(0.4)
+
+
+def test_quantiles_and_sweeps(spark):
+    rng = np.random.default_rng(0)
+    rows = [(None if i % 3 == 0 else "t", float(x)) for i, x in enumerate(np.round(rng.normal(size=400), 2))] + [("t", None)]
+    q = {r["k"]: r for r in A.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"a": 0.95, "b": 0.5, "c": 0.0}).collect()}
+    for k in (None, "t"):
+        v = [x for g, x in rows if g == k and x is not None]
+        assert [q[k]["a"], q[k]["b"], q[k]["c"]] == pytest.approx(np.quantile(v, [0.95, 0.5, 0.0]).tolist())
+    s, y = np.round(rng.random(200), 2), rng.integers(0, 2, 200)
+    df = spark.createDataFrame([("t", float(a), int(b)) for a, b in zip(s, y, strict=True)] + [("none", 0.5, 0), ("none", None, 0)], "tag string, score double, label int")
+    got = {r["tag"]: r for r in A.f1_sweep(df, "tag").collect()}
+    t = np.linspace(0, 1, 101)
+    hit = s[None] >= t[:, None]
+    tp, np_ = (hit & (y == 1)).sum(1), hit.sum(1)
+    f1, prec, rec = 2 * tp / (np_ + y.sum()), tp / np.maximum(np_, 1), tp / max(y.sum(), 1)
+    assert got["t"]["best_f1"] == pytest.approx(f1.max()) and got["t"]["best_threshold"] == pytest.approx(t[f1.argmax()])
+    assert got["t"]["auprc"] == pytest.approx(np.trapezoid(prec[::-1], rec[::-1]))
+    assert (got["none"]["best_f1"], got["none"]["best_threshold"]) == (0.0, 0.5)
+    m = A.condition_metrics(spark.createDataFrame([("a", 1.0, 1), ("a", 0.0, 0), ("b", 1.0, 1)], "tag string, logit double, label int"), "tag").collect()
+    assert {r["tag"]: (r["auc"], r["f1"]) for r in m} == {"a": (1.0, 1.0), "b": (None, None)}
+    r = A.robustness_table(spark.createDataFrame([("a", 0.9), ("b", 0.7)], "tag string, auc double"), "tag").collect()
+    assert {x["tag"]: round(x["d_auc"], 6) for x in r} == {"a": 0.0, "b": -0.2}
 
 
 def test_kmeans_and_silhouettes(spark):
