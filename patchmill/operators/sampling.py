@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchmill.errors import ConfigError
-from patchmill.storage import Workspace
+from patchmill.storage import Workspace, running_sums
 
 SPLICE_KINDS = ("imdsplice", "casiasplice")
 REAL_KINDS = ("imdreal", "casiareal", "indoorreal")
@@ -48,10 +48,44 @@ def bottom_by_hash(df: DataFrame, n: int, seed: str, *, key: str = "img", all_wh
     return df.withColumn("_h", h).orderBy("_h", key, *[c for c in df.columns if c == "item_id"]).limit(max(n, 0)).drop("_h")
 
 
-def reals_at_rate(df: DataFrame, rate: float, seed: str) -> DataFrame:
+def hash_cut(df: DataFrame, h: str, want: int, most: int = 100_000) -> tuple[str, int]:
+    """(prefix, rest): the want rows of least h are those whose h begins below prefix, and the rest first of those that begin with it.
+
+    Found from counts by ever longer prefixes of three hexadecimal digits, until at most ``most`` rows share one: no task sorts all rows.
+    """
+    prefix, rest = "", want
+    while True:
+        k = len(prefix) + 3
+        by = df.where(F.col(h).startswith(prefix)).groupBy(F.substring(h, 1, k).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # 4096 rows at most
+        for r in by:
+            if r["n"] > rest:
+                prefix = r["p"]
+                break
+            rest -= r["n"]
+        else:
+            return "~", 0  # all rows, as ~ comes after every digit
+        if rest == 0 or r["n"] <= most or k >= 30:
+            return prefix, rest
+
+
+def least_by_hash(df: DataFrame, h: str, want: int, *ties: str) -> DataFrame:
+    """The want rows of least h, ties by other columns."""
+    if want <= 0:
+        return df.limit(0)
+    prefix, rest = hash_cut(df, h, want)
+    head = F.substring(h, 1, len(prefix))
+    below = df.where(head < prefix)
+    if not rest:
+        return below
+    edge = df.where(head == prefix).withColumn("_r", F.row_number().over(Window.partitionBy(head).orderBy(h, *ties))).where(F.col("_r") <= rest).drop("_r")
+    return below.unionByName(edge)
+
+
+def reals_at_rate(df: DataFrame, rate: float, seed: str, *, key: str = "img") -> DataFrame:
     """A share of rows by hash, at least one; the count is rounded half to even."""
     n = df.count()
-    return bottom_by_hash(df, max(1, round(n * rate)) if n else 0, seed + "|reals")
+    x = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|reals|"), F.coalesce(F.col(key), F.lit("")))))
+    return least_by_hash(x, "_h", max(1, round(n * rate)) if n else 0, key, *[c for c in df.columns if c == "item_id"]).drop("_h")
 
 
 def holdout(df: DataFrame, key: str, frac: float, seed: str) -> DataFrame:
@@ -62,25 +96,16 @@ def holdout(df: DataFrame, key: str, frac: float, seed: str) -> DataFrame:
 def rank_split(df: DataFrame, key: str, frac: float, seed: str, *, first: str = "train", then: str = "val", whole: Callable[[float], int] = round) -> DataFrame:
     """(key, side): the first round(n * frac) distinct keys by md5(seed|key) are ``train``, the others ``val``; NULL keys have no side.
 
-    The cut is found from counts by hash prefix, so no task sorts all keys: only keys that share the prefix at the cut are ranked.
+    Only keys that share the hash prefix at the cut are ranked.
     """
     ws = Workspace(df.sparkSession, "rank-split")
     k = ws.cut(df.select(F.col(key).alias("key")).where("key is not null").distinct().withColumn("h", F.md5(F.concat(F.lit(seed + "|"), F.col("key")))))
-    by = k.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # 4096 rows at most
-    want = whole(sum(r["n"] for r in by) * frac)
-    done, cut = 0, None
-    for r in by:
-        if done + r["n"] > want:
-            cut = r["p"]
-            break
-        done += r["n"]
-    if cut is None:
-        return k.select(F.col("key").alias(key), F.lit(first).alias("side"))
-    p = F.substring("h", 1, 3)
-    ranked = k.where(p == cut).withColumn("rk", F.row_number().over(Window.partitionBy(p).orderBy("h", "key")))
-    edge = ranked.select("key", F.when(F.col("rk") <= want - done, first).otherwise(then).alias("side"))
-    rest = k.where(p != cut).select("key", F.when(p < cut, first).otherwise(then).alias("side"))
-    return rest.unionByName(edge).withColumnRenamed("key", key)
+    prefix, rest = hash_cut(k, "h", whole(k.count() * frac))
+    head = F.substring("h", 1, len(prefix))
+    ranked = k.where(head == prefix).withColumn("rk", F.row_number().over(Window.partitionBy(head).orderBy("h", "key")))
+    edge = ranked.select("key", F.when(F.col("rk") <= rest, first).otherwise(then).alias("side"))
+    sure = k.where(head != prefix).select("key", F.when(head < prefix, first).otherwise(then).alias("side"))
+    return sure.unionByName(edge).withColumnRenamed("key", key)
 
 
 def shuffle_split(keys: list[str], val_frac: float, seed: int, *, most: int = 1_000_000) -> tuple[list[str], list[str]]:
@@ -185,24 +210,36 @@ def source_class_weights(df: DataFrame, fracs: dict[str, float], target: float =
     return x.select(*df.columns, "weight")
 
 
-def weighted_draws(df: DataFrame, id_col: str, weight: str, n: int, *, seed: int, epoch: int = 0, parts: int = 64) -> DataFrame:
-    """(draw, id): n draws with replacement in proportion to weight, the same for any order of rows; rows of weight 0 are never drawn.
+def weighted_draws(df: DataFrame, id_col: str, weight: str, n: int, *, seed: int, epoch: int = 0, replicas: int = 1, per_part: int = 50_000) -> DataFrame:
+    """(draw, id, shard): n draws with replacement in proportion to weight, the same for any order of rows; rows of weight 0 are never drawn.
 
-    Cumulative weights are built in two levels, parts by hash and rows within them, and draws find their part, then their row, by range.
+    How many of the draws fall to each part of the rows (parts by hash, of some ``per_part`` rows) is one multinomial draw; each part
+    then draws its own. Draws are numbered through the parts and dealt out to replicas in turn, the last round filled up from the head.
     """
-    x = df.where(F.col(weight) > 0).select(F.col(id_col).alias("id"), F.col(weight).cast("double").alias("w")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)))
+    x = df.where(F.col(weight) > 0).select(F.col(id_col).alias("id"), F.col(weight).cast("double").alias("w"))
+    parts = max(1, -(-x.count() // per_part))
+    x = x.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)))
     sums = x.groupBy("part").agg(F.sum("w").alias("s")).orderBy("part").toPandas()
     if not len(sums):
         raise ConfigError("weights must sum to more than 0")
-    u = np.sort(np.random.default_rng([seed, epoch]).random(n)) * sums["s"].sum()
-    edges = np.cumsum(sums["s"].to_numpy())
-    at = np.minimum(np.searchsorted(edges, u, side="right"), len(sums) - 1)
-    draws = pd.DataFrame({"draw": np.random.default_rng([seed, epoch, 1]).permutation(n), "part": sums["part"].to_numpy()[at], "u": u - (edges - sums["s"].to_numpy())[at]})
-    dd = df.sparkSession.createDataFrame(draws, "draw long, part long, u double")
-    run = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    c = x.withColumn("hi", F.sum("w").over(run)).withColumn("lo", F.col("hi") - F.col("w")).withColumn("last", F.lead("id").over(Window.partitionBy("part").orderBy("id")).isNull())
-    hit = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("last"))
-    return dd.join(c, "part").where(hit).groupBy("draw").agg(F.min("id").alias("id"))
+    share = sums["s"].to_numpy() / sums["s"].sum()
+    own = np.random.default_rng([seed, epoch]).multinomial(n, share)
+    todo = pd.DataFrame({"part": sums["part"], "_n": own, "_at": np.cumsum(own) - own})
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        rng = np.random.default_rng([seed, epoch, 1 + int(key[0])])
+        up = np.cumsum(pdf["w"].to_numpy())
+        at = np.minimum(np.searchsorted(up, rng.random(int(pdf["_n"].iloc[0])) * up[-1], side="right"), len(up) - 1)
+        return pd.DataFrame({"draw": np.arange(len(at)) + int(pdf["_at"].iloc[0]), "id": pdf["id"].to_numpy()[at]})
+
+    table = df.sparkSession.createDataFrame(todo, "part long, _n long, _at long")
+    d = x.join(F.broadcast(table), "part").groupBy("part").applyInPandas(run, f"draw long, id {id_type}")
+    pad = -n % replicas
+    if pad:
+        d = d.withColumn("draw", F.explode(F.when(F.col("draw") < pad, F.array("draw", F.col("draw") + n)).otherwise(F.array("draw"))))
+    return d.withColumn("shard", (F.col("draw") % replicas).cast("int"))
 
 
 def shards(df: DataFrame, order: list[str], replicas: int) -> DataFrame:
@@ -217,12 +254,51 @@ def shards(df: DataFrame, order: list[str], replicas: int) -> DataFrame:
 
 
 def with_epoch_subset(df: DataFrame, id_col: str, cap: int, replicas: int, seed: int, epoch: int) -> DataFrame:
-    """(id, shard): cap rows in an order that changes with the epoch, dealt out to replicas; the head fills up the last round."""
-    h = F.xxhash64(F.lit(seed + epoch), id_col)
-    top = df.select(F.col(id_col)).withColumn("_h", h).orderBy("_h", id_col).limit(cap)
-    w = Window.partitionBy(F.lit(0)).orderBy("_h", id_col)
-    x = top.withColumn("pos", F.row_number().over(w) - 1)
-    n = x.count()
+    """(id, shard, pos): cap rows in an order that changes with the epoch, dealt out to replicas; the head fills up the last round."""
+    ws = Workspace(df.sparkSession, "epoch-subset")
+    h = F.md5(F.concat(F.lit(f"{seed}|{epoch}|"), F.col(id_col).cast("string")))
+    top = ws.cut(least_by_hash(df.select(F.col(id_col)).where(F.col(id_col).isNotNull()).withColumn("_h", h), "_h", cap, id_col).withColumn("_one", F.lit(1).cast("long")))
+    n = top.count()
+    x = running_sums(top, [], [F.col("_h").asc(), F.col(id_col).asc()], {"pos": "_one"}).withColumn("pos", F.col("pos") - 1)
     pad = -n % replicas
-    y = x.unionByName(x.where(F.col("pos") < pad).withColumn("pos", F.col("pos") + n)) if pad else x
-    return y.select(id_col, (F.col("pos") % replicas).cast("int").alias("shard"), "pos")
+    if pad:
+        x = x.withColumn("pos", F.explode(F.when(F.col("pos") < pad, F.array("pos", F.col("pos") + n)).otherwise(F.array("pos"))))
+    return x.select(id_col, (F.col("pos") % replicas).cast("int").alias("shard"), "pos")
+
+
+def loader_plan(df: DataFrame, id_col: str, *, batch: int, replicas: int = 1, epoch_size: int | None = None, weight: str | None = None, shuffle: bool = True, drop_last: bool = True, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """(id, shard, batch_no, place): which replica reads each record of an epoch, and where.
+
+    With weight the epoch is drawn by weight, with replacement; else it is a random part of epoch_size rows or all of them; without
+    shuffle all rows in the order of their ids, for evaluation. drop_last leaves out a last batch that is not full.
+    """
+    if batch < 1 or replicas < 1:
+        raise ConfigError("batch and replicas must be at least 1")
+    n = df.count()
+    if weight:
+        x = weighted_draws(df, id_col, weight, epoch_size or n, seed=seed, epoch=epoch, replicas=replicas).select(F.col("id").alias(id_col), "shard", F.col("draw").alias("pos"))
+    elif shuffle:
+        x = with_epoch_subset(df, id_col, min(epoch_size or n, n), replicas, seed, epoch)
+    else:
+        one = Workspace(df.sparkSession, "loader").cut(df.select(id_col).where(F.col(id_col).isNotNull()).withColumn("_one", F.lit(1).cast("long")))
+        x = running_sums(one, [], F.col(id_col).asc(), {"pos": "_one"}).withColumn("pos", F.col("pos") - 1)
+        x = x.select(id_col, (F.col("pos") % replicas).cast("int").alias("shard"), "pos")
+    k = F.floor(F.col("pos") / replicas)
+    x = x.select(id_col, "shard", F.floor(k / batch).cast("int").alias("batch_no"), (k % batch).cast("int").alias("place"))
+    if not drop_last:
+        return x
+    full = x.groupBy("shard", "batch_no").agg(F.count("*").alias("_n")).where(F.col("_n") == batch).select("shard", "batch_no")
+    return x.join(full, ["shard", "batch_no"], "left_semi").select(id_col, "shard", "batch_no", "place")
+
+
+def capped_subset(df: DataFrame, cap: int | None, val_frac: float, seed: str, *, key: str = "img") -> DataFrame:
+    """df with split: at most cap rows by hash (all where cap is None), of which a share, one row at least, is val."""
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key), F.lit(""))))
+    x = df.withColumn("_h", h)
+    x = Workspace(df.sparkSession, "subset").cut(x if cap is None else least_by_hash(x, "_h", cap, key))
+    n = x.count()
+    prefix, rest = hash_cut(x, "_h", max(1, int(n * val_frac)) if n else 0)
+    head = F.substring("_h", 1, len(prefix))
+    edge = x.where(head == prefix).withColumn("_r", F.row_number().over(Window.partitionBy(head).orderBy("_h", key)))
+    edge = edge.withColumn("split", F.when(F.col("_r") <= rest, "val").otherwise("train")).drop("_r")
+    return x.where(head != prefix).withColumn("split", F.when(head < prefix, "val").otherwise("train")).unionByName(edge).drop("_h")

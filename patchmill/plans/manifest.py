@@ -297,7 +297,16 @@ def smp_source_class_weights(spark, d):
 
 @query()
 def smp_weighted_draws(spark, d):
-    return S.weighted_draws(S.class_weights(items(spark, d)), "item_id", "weight", 2000, seed=3)
+    return S.weighted_draws(S.class_weights(items(spark, d)), "item_id", "weight", 2000, seed=3, replicas=3)
+
+
+@query(f"""WITH {ITEMS} SELECT CAST(2001 AS BIGINT) AS rows, CAST(2001 AS BIGINT) AS draws, CAST(3 AS BIGINT) AS shards, CAST(0 AS BIGINT) AS strangers, true AS classes_even""")
+def smp_weighted_checks(spark, d):
+    """An epoch of weighted draws: its rows, numbers and shards, ids that are no item, and whether both classes have about half."""
+    x = items(spark, d)
+    w = S.weighted_draws(S.class_weights(x), "item_id", "weight", 2000, seed=3, replicas=3)
+    y = w.join(x.select(F.col("item_id").alias("id"), S.is_splice().alias("s")), "id", "left")
+    return y.agg(F.count("*").alias("rows"), F.countDistinct("draw").alias("draws"), F.countDistinct("shard").alias("shards"), F.count_if(F.col("s").isNull()).alias("strangers"), (F.abs(F.avg(F.col("s").cast("double")) - 0.5) < 0.05).alias("classes_even"))
 
 
 @query(f"WITH {ITEMS} SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) % 8 AS INT) AS shard FROM it")
@@ -305,11 +314,28 @@ def smp_shards(spark, d):
     return S.shards(items(spark, d).select("item_id"), ["item_id"], 8)
 
 
-@query()
+_EPOCH = "WITH h AS (SELECT item_id, md5('11|2|' || item_id) AS h FROM (SELECT DISTINCT item_id FROM items WHERE item_id IS NOT NULL)), r AS (SELECT item_id, row_number() OVER (ORDER BY h, item_id) - 1 AS pos, count(*) OVER () AS n FROM h)"
+
+
+@query(_EPOCH + """, t AS (SELECT item_id, pos, least(n, 1001) AS n FROM r WHERE pos < 1001), p AS (SELECT item_id, pos FROM t UNION ALL SELECT item_id, pos + n FROM t WHERE pos < (4 - n % 4) % 4)
+  SELECT item_id, CAST(pos % 4 AS INT) AS shard, pos FROM p""")
 def smp_epoch_subset(spark, d):
     return S.with_epoch_subset(items(spark, d), "item_id", 1001, 4, 11, 2)
 
 
+@query(_EPOCH + """, p AS (SELECT item_id, pos FROM r UNION ALL SELECT item_id, pos + n FROM r WHERE pos < (4 - n % 4) % 4), b AS (SELECT item_id, CAST(pos % 4 AS INT) AS shard, CAST((pos // 4) // 32 AS INT) AS batch_no, CAST((pos // 4) % 32 AS INT) AS place FROM p)
+  SELECT item_id, shard, batch_no, place FROM (SELECT *, count(*) OVER (PARTITION BY shard, batch_no) AS k FROM b) WHERE k = 32""")
+def smp_loader_plan(spark, d):
+    """Batches of 32 for four replicas over all items in the order of an epoch."""
+    return S.loader_plan(items(spark, d), "item_id", batch=32, replicas=4, seed=11, epoch=2)
+
+
+@query(f"""WITH {ITEMS}, h AS (SELECT item_id, md5('cap|' || coalesce(img, '')) AS h, img FROM it WHERE {_REAL}), r AS (SELECT item_id, row_number() OVER (ORDER BY h, img) AS rk FROM h), t AS (SELECT *, count(*) OVER () AS n FROM r WHERE rk <= 500)
+  SELECT item_id, CASE WHEN rk <= greatest(1, floor(n * 0.1e0)) THEN 'val' ELSE 'train' END AS split FROM t""")
+def smp_capped_subset(spark, d):
+    return S.capped_subset(items(spark, d).where(S.is_real()), 500, 0.1, "cap").select("item_id", "split")
+
+
 @query(f"""WITH {ITEMS} SELECT item_id, CAST(('0x' || substr(md5(coalesce(img, '')), 1, 8)) AS BIGINT) AS seed, regexp_replace(regexp_replace(coalesce(case_id, ''), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe FROM it""")
 def udf_stable_seed(spark, d):
     """A seed from the first 8 hexadecimal digits of an MD5, and a name safe for files."""
