@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import math
+import struct
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -106,15 +108,241 @@ def blur(img: np.ndarray, rng: np.random.Generator, sigma: float) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+# The standard quantisation tables of brightness and colour at quality 50, row by row.
+BRIGHT = """16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
+18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99"""
+COLOUR = """17 18 24 47 99 99 99 99 18 21 26 66 99 99 99 99 24 26 56 99 99 99 99 99 47 66 99 99 99 99 99 99
+99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99"""
+_K = np.arange(8)
+DCT = np.where(_K[:, None] == 0, math.sqrt(1 / 8), 0.5) * np.cos((2 * _K + 1) * _K[:, None] * math.pi / 16)
+TO_YCC = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
+
+
+def _coded(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A plane after its blocks of 8 x 8 were transformed, rounded by the table and transformed back."""
+    h, w = plane.shape
+    p = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128.0
+    b = p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).swapaxes(1, 2)
+    b = DCT.T @ (np.rint(DCT @ b @ DCT.T / table) * table) @ DCT
+    return np.clip(np.rint(b.swapaxes(1, 2).reshape(p.shape)[:h, :w] + 128.0), 0, 255)
+
+
 def jpeg(img: np.ndarray, rng: np.random.Generator, quality: int) -> np.ndarray:
-    """A JPEG round trip; needs Pillow."""
+    """What a JPEG round trip at a quality leaves: colours halved in both directions, blocks rounded. Its coding of bits loses nothing, so it isn't carried out."""
+    q = min(max(int(quality), 1), 100)
+    scale = 5000 // q if q < 50 else 200 - 2 * q
+    table = lambda t: np.clip((np.array(t.split(), dtype=int).reshape(8, 8) * scale + 50) // 100, 1, 255)
+    ycc = img.astype(np.float64) @ TO_YCC.T + np.array([0.0, 128.0, 128.0])
+    h, w = img.shape[:2]
+    out = [_coded(ycc[..., 0], table(BRIGHT))]
+    for c in (1, 2):
+        p = np.pad(ycc[..., c], ((0, h % 2), (0, w % 2)), mode="edge")
+        half = _coded(p.reshape(p.shape[0] // 2, 2, p.shape[1] // 2, 2).mean((1, 3)), table(COLOUR))
+        out.append(np.repeat(np.repeat(half, 2, 0), 2, 1)[:h, :w])
+    y = np.stack(out, -1) - np.array([0.0, 128.0, 128.0])
+    return np.clip(np.rint(y @ np.linalg.inv(TO_YCC).T), 0, 255).astype(np.uint8)
+
+
+# Fixed value: the first bytes of a PNG file.
+PNG_MAGIC = bytes.fromhex("89504e470d0a1a0a")
+
+
+def png_bytes(img: np.ndarray) -> bytes:
+    """A PNG of an image (H x W x 3) or a mask (H x W), of 8 bits a value."""
+    a = np.asarray(img, dtype=np.uint8)
+    rows = np.concatenate([np.zeros((len(a), 1), np.uint8), a.reshape(len(a), -1)], 1)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2 if a.ndim == 3 else 0, 0, 0, 0)
+    return PNG_MAGIC + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def png_pixels(data: bytes) -> np.ndarray:
+    """The pixels of a PNG of 8 bits a value without interlacing: H x W for grey ones, else H x W x 3; DataError for all else."""
+    if data[:8] != PNG_MAGIC:
+        raise DataError("no PNG")
+    at, parts, palette, head = 8, [], None, None
+    while at + 8 <= len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        if len(body) < n or zlib.crc32(kind + body) != int.from_bytes(data[at + 8 + n : at + 12 + n], "big"):
+            raise DataError(f"a PNG breaks off at byte {at}")
+        at += 12 + n
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            parts.append(body)
+        elif kind == b"IEND":
+            break
+    else:
+        raise DataError("a PNG has no end")
+    if head is None or head[2] != 8 or head[6] != 0 or head[3] not in (0, 2, 3, 4, 6):
+        raise DataError(f"a PNG of kind {head}")
+    w, h, k = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
+        lines = raw.reshape(h, 1 + w * k)
+    except (zlib.error, ValueError) as e:
+        raise DataError(f"a PNG cannot be read: {e}") from e
+    out = np.zeros((h, w * k), np.uint8)
+    up = np.zeros(w * k, np.uint8)
+    for y in range(h):
+        up = out[y] = _unfilter(int(lines[y, 0]), lines[y, 1:], up, k)
+    px = out.reshape(h, w, k)
+    if head[3] == 3:
+        return palette[px[..., 0]]
+    return px[..., 0] if k < 3 else px[..., :3]
+
+
+def _unfilter(kind: int, line: np.ndarray, up: np.ndarray, k: int) -> np.ndarray:
+    """A line of a PNG from its differences to the pixels left of it, above it or both."""
+    if kind == 0:
+        return line
+    if kind == 2:
+        return line + up
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, k), 0, dtype=np.uint8).ravel()
+    if kind not in (3, 4):
+        raise DataError(f"a PNG line of kind {kind}")
+    out = [0] * len(line)
+    for i, (x, b) in enumerate(zip(line.tolist(), up.tolist(), strict=True)):
+        a = out[i - k] if i >= k else 0
+        if kind == 3:
+            p = (a + b) // 2
+        else:
+            c = int(up[i - k]) if i >= k else 0
+            d = (abs(b - c), abs(a - c), abs(a + b - 2 * c))
+            p = (a, b, c)[d.index(min(d))]
+        out[i] = (x + p) & 255
+    return np.array(out, np.uint8)
+
+
+def read_pixels(path: str) -> np.ndarray:
+    """The pixels of a file; PNG is read here, other formats by Pillow where it is there. DataError where a file is missing or cannot be decoded."""
+    from pyarrow import fs
+
+    f, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    try:
+        with f.open_input_file(at) as r:
+            data = r.read()
+    except OSError as e:
+        raise DataError(f"cannot open {path}: {e}") from e
+    if data[:8] == PNG_MAGIC:
+        return png_pixels(data)
     try:
         from PIL import Image
+
+        return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
     except ImportError as e:
-        raise ImportError("JPEG corruption needs Pillow") from e
-    b = io.BytesIO()
-    Image.fromarray(img).save(b, "JPEG", quality=int(quality))
-    return np.asarray(Image.open(b).convert("RGB"))
+        raise DataError(f"{path}: formats other than PNG need Pillow") from e
+    except Exception as e:  # whatever a decoder makes of broken bytes
+        raise DataError(f"cannot decode {path}: {e}") from e
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A square picture of whole patches."""
+
+    side: int
+    patch: int
+
+    def __post_init__(self) -> None:
+        if self.side <= 0 or self.patch <= 0 or self.side % self.patch:
+            raise ConfigError(f"a side of {self.side} is no whole number of patches of {self.patch}")
+
+    @property
+    def per_side(self) -> int:
+        return self.side // self.patch
+
+    @property
+    def patches(self) -> int:
+        return self.per_side**2
+
+
+def square_grid(n: int) -> tuple[int, int] | None:
+    """(rows, columns) of n patches in a square, None where n is no square."""
+    s = math.isqrt(max(n, 0))
+    return (s, s) if s and s * s == n else None
+
+
+def fit(img: np.ndarray, grid: Grid, *, mask: bool = False) -> np.ndarray:
+    """img at the grid's size, stretched; masks keep their values."""
+    return resize(img, (grid.side, grid.side), nearest=mask)
+
+
+def centre_crop(img: np.ndarray, grid: Grid) -> np.ndarray:
+    """The square in the middle, at the grid's size."""
+    h, w = img.shape[:2]
+    s = min(h, w)
+    t, l = round((h - s) / 2), round((w - s) / 2)
+    return fit(img[t : t + s, l : l + s], grid)
+
+
+def random_window(h: int, w: int, rng: np.random.Generator, scale=(0.3, 1.0), ratio=(0.75, 4 / 3), tries: int = 10) -> tuple[int, int, int, int]:
+    """(top, left, height, width) of a window of random area share and side ratio; where none fits, the largest in the middle of a ratio within bounds."""
+    for _ in range(tries):
+        area, r = rng.uniform(*scale) * h * w, math.exp(rng.uniform(math.log(ratio[0]), math.log(ratio[1])))
+        ww, hh = round(math.sqrt(area * r)), round(math.sqrt(area / r))
+        if 0 < ww <= w and 0 < hh <= h:
+            return int(rng.integers(0, h - hh + 1)), int(rng.integers(0, w - ww + 1)), hh, ww
+    r = min(max(w / h, ratio[0]), ratio[1])
+    hh, ww = (h, min(w, round(h * r))) if w / h > r else (min(h, round(w / r)), w)
+    return (h - hh) // 2, (w - ww) // 2, hh, ww
+
+
+def natural_crop(mask: np.ndarray, cover: float, rng: np.random.Generator) -> tuple[int, int, int, float] | None:
+    """(top, left, side, coverage) of a square sized so that the mask would fill a share of it, anywhere that it touches the mask's box; None for an empty mask."""
+    at = np.argwhere(mask)
+    if not len(at):
+        return None
+    full = np.array(mask.shape)
+    side = max(8, min(round(math.sqrt(len(at) / max(cover, 1e-6))), *full))
+    last = np.maximum(full - side, 0)
+    lo = np.clip(at.min(0) - side + 1, 0, last)
+    hi = np.clip(at.max(0), 0, last)
+    t, l = (int(rng.integers(min(a, b), max(a, b) + 1)) for a, b in zip(lo, hi, strict=True))
+    return t, l, int(side), float(mask[t : t + side, l : l + side].sum()) / side**2
+
+
+def place(cells: np.ndarray, box: tuple[int, int, int, int], h: int, w: int) -> np.ndarray:
+    """A mask of h x w that is empty but for the box (x0, y0, x1, y1), which the cells fill, each the pixels nearest to it."""
+    x0, y0, x1, y1 = box
+    out = np.zeros((h, w), bool)
+    out[y0:y1, x0:x1] = resize(np.asarray(cells, bool), (y1 - y0, x1 - x0), nearest=True)
+    return out
+
+
+def minority_box(labels: np.ndarray, side: int, pad: float) -> tuple[tuple[int, int, int, int] | None, float]:
+    """((r0, r1, c0, c1), share) of the smaller of two clusters on a grid, ends exclusive, padded by a share of its sides; None where it is empty, 1 where equal."""
+    g = np.asarray(labels).reshape(side, side)
+    m = g == (1 if (g == 1).sum() <= (g != 1).sum() else 0)
+    at = np.argwhere(m)
+    if not len(at):
+        return None, 0.0
+    lo, hi = at.min(0), at.max(0) + 1
+    d = np.maximum(1, np.rint((hi - lo) * pad)).astype(int)
+    lo, hi = np.maximum(lo - d, 0), np.minimum(hi + d, side)
+    return (int(lo[0]), int(hi[0]), int(lo[1]), int(hi[1])), float(m.mean())
+
+
+def place_fine(pred: np.ndarray, box: tuple[int, int, int, int], grid: Grid) -> np.ndarray:
+    """A second look's patches at the place of their box (r0, r1, c0, c1) in the grid, as pixels of the whole."""
+    r0, r1, c0, c1 = (v * grid.patch for v in box)
+    cells = np.asarray(pred, bool).reshape(grid.per_side, grid.per_side)
+    return place(resize(cells, (grid.side, grid.side), nearest=True), (c0, r0, c1, r1), grid.side, grid.side)
+
+
+def invariance_pair(img: np.ndarray, rng: np.random.Generator, families: tuple[str, ...], steps: int = 2) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+    """(clean, corrupted, operations): a picture and what distinct corruptions leave of it."""
+    out, ops = img, []
+    for c in draw_distinct(rng, steps, families):
+        out = c.apply(out, rng)
+        ops.append(c.op())
+    return img.copy(), out, ops
 
 
 def flip(img: np.ndarray, mask: np.ndarray | None = None):

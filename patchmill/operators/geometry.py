@@ -182,3 +182,40 @@ def pixels_of_patches(cells: DataFrame, size: int) -> DataFrame:
     """Each patch's pixels: the cell replicated size x size times."""
     off = F.sequence(F.lit(0), F.lit(size - 1))
     return cells.withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off)).withColumns({"y": F.col("r") * size + F.col("dy"), "x": F.col("c") * size + F.col("dx")}).drop("dy", "dx")
+
+
+def multi_scale_masks(windows: DataFrame, cells: DataFrame, keys: list[str], n: int, side: int, gate: float | None = None, logit: str = "logit") -> DataFrame:
+    """(keys, ti, tj): patches of a picture of side x side that any true cell of any window touches.
+
+    windows: keys, win, top, left, wh, ww in pixels of the picture; cells: win, wi, wj of the true cells of its n x n mask. A cell covers
+    whole pixels of its window, and a patch is taken where one of its pixels is covered, so no pixel is built: both are ranges. With
+    gate only windows whose logit is above it count; a NULL logit is not.
+    """
+    w = windows if gate is None else windows.where(F.col(logit) > gate)
+    x = w.join(cells.select("win", "wi", "wj").distinct(), "win")
+    cut = lambda at, size, k: F.col(at) + _i(F.floor(k * F.col(size) / n))
+    x = x.withColumns({"_a": cut("top", "wh", F.col("wi")), "_b": cut("top", "wh", F.col("wi") + 1), "_c": cut("left", "ww", F.col("wj")), "_d": cut("left", "ww", F.col("wj") + 1)}).where("_b > _a and _d > _c")
+    patch = side // n
+    x = x.withColumn("ti", F.explode(F.sequence(_i(F.floor(F.col("_a") / patch)), _i(F.floor((F.col("_b") - 1) / patch)))))
+    x = x.withColumn("tj", F.explode(F.sequence(_i(F.floor(F.col("_c") / patch)), _i(F.floor((F.col("_d") - 1) / patch)))))
+    return x.select(*keys, "ti", "tj").where(F.col("ti").between(0, n - 1) & F.col("tj").between(0, n - 1)).distinct()
+
+
+def attention_boxes(patches: DataFrame, thresholds: DataFrame, n: int, hh: str, ww: str, **how) -> DataFrame:
+    """(image_id, x0, y0, x1, y1): the box of the patches whose attention reaches the image's threshold, padded and in pixels; images without any are left out.
+
+    patches: image_id, r, c, attention, and the picture's height and width in the columns hh and ww.
+    """
+    hot = patches.join(thresholds.select("image_id", "threshold"), "image_id").withColumn("_hot", F.col("attention") >= F.col("threshold"))
+    size = patches.groupBy("image_id").agg(F.first(hh).alias(hh), F.first(ww).alias(ww))
+    return padded_box(mask_boxes(hot, "image_id", "_hot", n).join(size, "image_id"), n, hh, ww, **how).select("image_id", "x0", "y0", "x1", "y1")
+
+
+def minority_boxes(patches: DataFrame, lab: str, n: int, pad: float) -> DataFrame:
+    """(image_id, r0, r1, c0, c1, share): the box of the smaller of two clusters (1 where equal), ends exclusive, padded by a share of its sides."""
+    m = patches.groupBy("image_id").agg(F.count_if(F.col(lab) == 1).alias("_n1"), F.count("*").alias("_n"))
+    x = patches.join(m, "image_id").where((F.col(lab) == 1) == (2 * F.col("_n1") <= F.col("_n")))
+    b = x.groupBy("image_id").agg(F.min("r").alias("a"), (F.max("r") + 1).alias("b"), F.min("c").alias("c"), (F.max("c") + 1).alias("d"), (F.count("*") / F.first("_n")).alias("share"))
+    grow = lambda lo, hi: F.greatest(F.lit(1), rint((F.col(hi) - F.col(lo)) * pad))
+    least, most = lambda v: F.greatest(F.lit(0), v), lambda v: F.least(F.lit(n), v)
+    return b.select("image_id", least(F.col("a") - grow("a", "b")).alias("r0"), most(F.col("b") + grow("a", "b")).alias("r1"), least(F.col("c") - grow("c", "d")).alias("c0"), most(F.col("d") + grow("c", "d")).alias("c1"), "share")

@@ -1,26 +1,60 @@
-"""Queries: samples and regions by pixel kernels (SQL cannot express them; tests check them)."""
+"""Queries: samples and regions by pixel kernels, over small picture files written for the items."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patchmill.operators.samples import build_samples, zoom_regions
-from patchmill.plans.bindings import items, patches
+from patchmill.operators import samples as X
+from patchmill.operators.sampling import loader_plan
+from patchmill.plans.bindings import ITEMS, items, patches
+from patchmill.storage import Workspace
+
+
+def _pictures(spark, d):
+    ws = Workspace(spark, "pictures")
+    return ws.cut(X.write_pictures(items(spark, d), f"{ws.root.removeprefix('file:')}/files"))
+
+
+def _samples(spark, d, **how):
+    return Workspace(spark, "samples").cut(X.build_samples(_pictures(spark, d), X.Recipe(**how)))
 
 
 def pix_samples(spark, d):
-    return build_samples(items(spark, d))
+    return _samples(spark, d).drop("pixels")
 
 
 def pix_sample_mix(spark, d):
     """Counts of samples by crop mode, variant and target, as an epoch's telemetry."""
-    x = build_samples(items(spark, d))
-    return x.groupBy("crop_mode", "variant", "target_family").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("coverage") > 0, F.col("coverage"))), 6).alias("mean_coverage"), F.round(F.avg(F.aggregate("applied_ops", F.lit(0.0), lambda a, o: F.greatest(a, o["severity"]))), 6).alias("mean_severity"))
+    x = _samples(spark, d)
+    return x.groupBy("status", "crop_mode", "variant", "target_family").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("crop_coverage") > 0, F.col("crop_coverage"))), 6).alias("mean_coverage"), F.round(F.avg("noise_severity"), 6).alias("mean_severity"))
+
+
+def pix_sample_status(spark, d):
+    """Of each kind the samples by what became of them, in evaluation, where nothing is cropped."""
+    x = _samples(spark, d, train=False, degrade=False)
+    return x.groupBy("kind", "status").agg(F.count("*").alias("n"), F.count_if("supervised").alias("supervised"), F.count_if(F.col("splice_loss_weight") == 0).alias("without_weight"))
+
+
+def pix_batches(spark, d):
+    """Batches of a loader plan, with the samples that were made."""
+    x = _samples(spark, d)
+    return X.batches(x, loader_plan(x, "item_id", batch=16, replicas=2, seed=5), "item_id", "supervised").select("shard", "batch_no", "n", "item_id")
+
+
+def pix_file_facts(spark, d):
+    """Sizes and readability of the files of the items, once each."""
+    p = _pictures(spark, d)
+    files = p.select(F.explode(F.array("img", "mask")).alias("path")).where("path is not null")
+    return X.decoded_facts(files).groupBy("ok", "width", "height").agg(F.count("*").alias("files"))
 
 
 def geo_zoom_regions(spark, d):
-    return zoom_regions(patches(spark, d))
+    return X.zoom_regions(patches(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (pix_samples, pix_sample_mix, geo_zoom_regions)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (pix_samples, pix_sample_mix, pix_sample_status, pix_batches, pix_file_facts, geo_zoom_regions)}
+SQL: dict[str, str] = {
+    "pix_sample_status": f"""WITH {ITEMS}, x AS (SELECT kind, CASE WHEN kind IN ('imdsplice', 'casiasplice', 'imdreal', 'indoorreal', 'casiareal', 'aesplice') THEN 'ok' ELSE 'unknown kind' END AS status FROM it)
+      SELECT kind, status, count(*) AS n, count(*) FILTER (kind IN ('imdsplice', 'casiasplice')) AS supervised, count(*) FILTER (status <> 'ok') AS without_weight FROM x GROUP BY 1, 2""",
+    "pix_file_facts": f"WITH {ITEMS} SELECT true AS ok, CAST(48 AS INT) AS width, CAST(48 AS INT) AS height, count(*) + count(mask) AS files FROM it WHERE img IS NOT NULL",
+}

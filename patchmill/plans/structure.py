@@ -157,6 +157,49 @@ def geo_tile_masks(spark, d):
     return _by_size(spark, d, how)
 
 
+_MS = f"""WITH {SIZES}, w AS (SELECT image_id % 500 AS image_id, image_id AS win, CAST(image_id % 200 AS INT) AS top, CAST(image_id % 170 AS INT) AS "left", CAST(100 + image_id % 148 AS INT) AS wh, CAST(60 + image_id % 180 AS INT) AS ww, (image_id % 21 - 10) / 10.0e0 AS logit FROM sz),
+  k AS (SELECT unnest(range(0, 28)) AS i), c AS (SELECT win, a.i AS wi, b.i AS wj, top + floor(a.i * wh / 28.0e0) AS y0, top + floor((a.i + 1) * wh / 28.0e0) AS y1, "left" + floor(b.i * ww / 28.0e0) AS x0, "left" + floor((b.i + 1) * ww / 28.0e0) AS x1, image_id
+    FROM w, k a, k b WHERE logit > 0.2 AND (a.i * 5 + b.i * 3 + win) % 11 = 0),
+  p AS (SELECT DISTINCT image_id, t.i AS ti, u.i AS tj FROM c, k t, k u WHERE y1 > y0 AND x1 > x0 AND t.i * 16 < y1 AND (t.i + 1) * 16 > y0 AND u.i * 16 < x1 AND (u.i + 1) * 16 > x0)"""
+
+
+@query(_MS + " SELECT image_id, count(*) AS patches, CAST(sum(ti * 28 + tj) AS BIGINT) AS places FROM p GROUP BY 1")
+def geo_multi_scale_masks(spark, d):
+    """Masks of windows of any size whose score passes the gate, by OR over pixels and down to patches."""
+    i = F.col("image_id")
+    w = sizes(spark, d).select((i % 500).alias("image_id"), i.alias("win"), (i % 200).cast("int").alias("top"), (i % 170).cast("int").alias("left"), (100 + i % 148).cast("int").alias("wh"), (60 + i % 180).cast("int").alias("ww"), ((i % 21 - 10) / 10).alias("logit"))
+    grid = F.sequence(F.lit(0), F.lit(27))
+    cells = w.select("win", F.explode(grid).alias("wi")).select("win", "wi", F.explode(grid).alias("wj")).where("(wi * 5 + wj * 3 + win) % 11 = 0")
+    return G.multi_scale_masks(w, cells, ["image_id"], 28, 448, 0.2).groupBy("image_id").agg(F.count("*").alias("patches"), F.sum(F.col("ti") * 28 + F.col("tj")).cast("long").alias("places"))
+
+
+def _pad_sql(n: int, least: int, a: str, b: str, p: str) -> str:
+    grown = f"greatest(0, CAST(round_even(({a} + {b}) * 0.5e0, 0) AS INT) - {least // 2})"
+    small = f"least({n - 1}, {b} + pad) - greatest(0, {a} - pad) + 1 < {least}"
+    end = f"least({n - 1}, {grown} + {least - 1})"
+    return f"CASE WHEN {small} THEN (CASE WHEN {end} = {n - 1} THEN greatest(0, {end} - {least - 1}) ELSE {grown} END) ELSE greatest(0, {a} - pad) END AS {p}0, CASE WHEN {small} THEN {end} ELSE least({n - 1}, {b} + pad) END AS {p}1"
+
+
+@query(f"""WITH {PATCHES}, v AS (SELECT image_id, attention AS v, lead(attention) OVER w AS nx, row_number() OVER w AS pos FROM pa WINDOW w AS (PARTITION BY image_id ORDER BY attention)),
+  t AS (SELECT image_id, CASE WHEN n < 3 THEN top + 1 ELSE (v + nx) / 2 END AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY coalesce(nx - v, -1) DESC, pos) AS rk, count(*) OVER (PARTITION BY image_id) AS n, max(v) OVER (PARTITION BY image_id) AS top FROM v) WHERE rk = 1),
+  b AS (SELECT image_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM pa JOIN t USING (image_id) WHERE attention >= threshold GROUP BY 1),
+  g AS (SELECT *, greatest(1, CAST(ceil(7 * 0.15e0 / greatest(greatest(r1 - r0, c1 - c0) + 1, 1)) AS INT)) AS pad FROM b), x AS (SELECT image_id, {_pad_sql(7, 3, 'r0', 'r1', 'p')}, {_pad_sql(7, 3, 'c0', 'c1', 'q')} FROM g)
+  SELECT image_id, CAST(trunc(q0 * 400 / 7.0e0) AS INT) AS x0, CAST(trunc(p0 * 300 / 7.0e0) AS INT) AS y0, CAST(trunc((q1 + 1) * 400 / 7.0e0) AS INT) AS x1, CAST(trunc((p1 + 1) * 300 / 7.0e0) AS INT) AS y1 FROM x""")
+def geo_attention_boxes(spark, d):
+    """Zoom boxes around the patches above the widest gap of attention."""
+    from patchmill.operators.calibrate import gap_threshold
+
+    p = patches(spark, d).withColumns({"hh": F.lit(300), "ww": F.lit(400)})
+    return G.attention_boxes(p, gap_threshold(p, "image_id", "attention"), 7, "hh", "ww", base=1, least=3)
+
+
+@query(f"""WITH {PATCHES}, p5 AS (SELECT * FROM pa WHERE c < 5), m AS (SELECT image_id, count(*) FILTER (lab = 1) AS n1, count(*) AS n FROM p5 GROUP BY 1), b AS (SELECT image_id, min(r) AS a, max(r) + 1 AS b, min(c) AS c, max(c) + 1 AS d, count(*) / CAST(any_value(n) AS DOUBLE) AS share FROM p5 JOIN m USING (image_id) WHERE (lab = 1) = (2 * n1 <= n) GROUP BY 1),
+  g AS (SELECT *, greatest(1, CAST(round_even((b - a) * 0.25e0, 0) AS INT)) AS dr, greatest(1, CAST(round_even((d - c) * 0.25e0, 0) AS INT)) AS dc FROM b)
+  SELECT image_id, greatest(0, a - dr) AS r0, least(7, b + dr) AS r1, greatest(0, c - dc) AS c0, least(7, d + dc) AS c1, round(share, 6) AS share FROM g""")
+def geo_minority_boxes(spark, d):
+    return rounded(G.minority_boxes(patches(spark, d).where("c < 5"), "lab", 7, 0.25))
+
+
 @query(f"""WITH {MASKS} SELECT image_id, r // 4 AS pr, c // 4 AS pc, round(avg(CAST(gt AS INT)), 6) AS density, avg(CAST(gt AS INT)) > 0.15 AS hard, CAST(CASE WHEN avg(CAST(gt AS INT)) >= 0.45 THEN 1 ELSE 0 END AS INT) AS label,
   round(CASE WHEN avg(CAST(gt AS INT)) = 0 THEN 1 WHEN avg(CAST(gt AS INT)) >= 0.8 THEN 1 WHEN avg(CAST(gt AS INT)) >= 0.45 THEN (avg(CAST(gt AS INT)) - 0.45e0) / (0.8e0 - 0.45e0) ELSE 0 END, 6) AS weight FROM ma GROUP BY 1, 2, 3""")
 def geo_patch_labels(spark, d):

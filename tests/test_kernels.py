@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from patchmill.errors import ConfigError, DataError
 from patchmill.functions import pixels as P
+from patchmill.operators import samples as X
 from patchmill.operators.samples import build_samples, zoom_regions
+from patchmill.storage import Workspace
 from patchmill.sources import files as S
 from patchmill.sources import runs as R
 
@@ -113,13 +115,126 @@ def test_overlays():
     assert t[0, 3, 0] == 255 and t[0, 0].max() == 0
 
 
-def test_samples_do_not_depend_on_order(spark):
-    x = spark.createDataFrame([(i, f"p{i}", k) for i, k in enumerate(["imdsplice", "imdreal", None, "other", "casiasplice"] * 4)], "item_id long, img string, kind string")
-    a = build_samples(x).orderBy("item_id").collect()
-    assert a == build_samples(x.repartition(3)).orderBy("item_id").collect()
-    assert len(a) == 20 and all((r["weight"] == 0) == (r["kind"] in (None, "other")) for r in a)
-    assert build_samples(x.limit(0)).count() == 0
+def _written(spark, folder):
+    kinds = ["imdsplice", "casiasplice", "imdreal", "indoorreal", "casiareal", "aesplice", None, "other"]
+    x = spark.createDataFrame([(i, f"i{i}", f"m{i}" if kinds[i % 8] in ("imdsplice", "casiasplice") else None, kinds[i % 8], "c", "s") for i in range(64)], "item_id long, img string, mask string, kind string, case_id string, source string")
+    return Workspace(spark, "t").cut(X.write_pictures(x, str(folder)))
+
 
+def test_samples_come_from_files_and_do_not_depend_on_order(spark, tmp_path):
+    x = _written(spark, tmp_path)
+    a = build_samples(x, tasks=3).orderBy("item_id").collect()
+    assert a == build_samples(x.repartition(5), tasks=2).orderBy("item_id").collect()
+    assert build_samples(x.limit(0)).count() == 0
+    by = {}
+    for r in a:
+        by.setdefault((r["kind"], r["status"]), []).append(r)
+    assert len(by[None, "unknown kind"]) == 8 and all(r["splice_loss_weight"] == 0 for r in by["other", "unknown kind"])
+    splices = by["imdsplice", "ok"] + by["casiasplice", "ok"]
+    assert all(r["supervised"] == (r["crop_mode"] != "fallback" and np.mean(r["splice_labels"]) >= 0.02) for r in splices) and any(r["supervised"] for r in splices)
+    assert all(sum(r["splice_labels"]) == 0 and not r["supervised"] for r in by["imdreal", "ok"] + by["aesplice", "ok"])
+    assert any(r["degrade_supervised"] and sum(r["degrade_labels"]) for r in by["aesplice", "ok"]) and all(r["invariance_active"] for r in by["imdreal", "ok"])
+    assert {r["variant"] for r in splices} <= {"splice_negative", "splice_mask_corrupt", *P.VARIANTS}
+
+
+def test_samples_of_broken_files_and_modes(spark, tmp_path):
+    x = _written(spark, tmp_path)
+    rows = {r["item_id"]: r for r in x.collect()}
+    open(rows[0]["img"], "wb").write(b"no picture")
+    open(rows[1]["mask"], "wb").write(P.png_bytes(np.zeros((48, 48), np.uint8)))
+    open(rows[8]["mask"], "wb").write(P.png_bytes(np.zeros((40, 48), np.uint8)))
+    got = {r["item_id"]: r for r in build_samples(x.withColumn("img", F.when(F.col("item_id") != 2, F.col("img")))).collect()}
+    assert [got[i]["status"] for i in (0, 1, 2, 8)] == ["unreadable", "dropped", "unreadable", "unreadable"]
+    e = {r["item_id"]: r for r in build_samples(x, X.Recipe(train=False, degrade=False, eval_mode="mask_gaussian")).collect()}
+    assert e[9]["crop_mode"] == "resize" and e[9]["noise_region"] == "mask" and e[9]["degrade_labels"] == e[9]["splice_labels"] and e[3]["whole_image_aug"]
+    p = build_samples(x.where("item_id = 9"), X.Recipe(train=False, degrade=False), keep_pixels=True).first()["pixels"]
+    assert (P.png_pixels(bytes(p)) == P.fit(P.read_pixels(rows[9]["img"]), P.Grid(64, 8))).all()
+    band = [r["crop_coverage"] for r in build_samples(x.where("kind = 'casiasplice' and item_id > 1"), X.Recipe(cover_band=(0.1, 0.4))).collect()]
+    assert all(0.05 < v < 0.6 for v in band)
+    with pytest.raises(ConfigError):
+        X.Recipe(scale_mix=[((0.5, 0.2), 1)])
+    t = X.crop_telemetry(build_samples(x)).collect()
+    assert sum(r["n"] for r in t) == 64
+    from patchmill.operators.sampling import loader_plan
+
+    b = X.batches(build_samples(x), loader_plan(x, "item_id", batch=8, replicas=2, seed=1), "item_id").collect()
+    assert len(b) == 8 and all(r["n"] == len(r["item_id"]) <= 8 for r in b)
+
+
+def test_masks_are_refitted_and_tiers_read(spark, tmp_path):
+    x = _written(spark, tmp_path)
+    rows = {r["item_id"]: r for r in x.collect()}
+    odd = np.zeros((24, 24), np.uint8)
+    odd[:12] = 255
+    open(rows[0]["mask"], "wb").write(P.png_bytes(odd))
+    open(rows[1]["img"], "wb").write(b"")
+    files = x.select(F.explode(F.array("img", "mask")).alias("path")).where("path is not null")
+    facts = Workspace(spark, "t").cut(X.decoded_facts(files))
+    ready = Workspace(spark, "t").cut(X.prepared(x, facts, f"{tmp_path}/cache"))
+    assert ready.count() == 63 and ready.where("mask_was is not null").count() == 1
+    assert [r["written"] for r in X.fix_masks(ready).collect()] == [True] and [r["written"] for r in X.fix_masks(ready).collect()] == [False]
+    m = P.read_pixels(ready.where("item_id = 0").first()["mask"])
+    assert m.shape == (48, 48) and (m[:24] == 255).all() and (m[24:] == 0).all()
+    areas = X.mask_areas(ready)
+    t = {r["item_id"]: r["area_tier"] for r in X.with_area_tier(ready, areas).collect()}
+    assert t[0] == "large" and t[2] == "real" and t[6] == "tiny"
+
+
+def test_png_and_jpeg_round_trips():
+    g = rng(5)
+    for shape in ((7, 5), (9, 4, 3), (1, 1), (33, 64, 3)):
+        a = g.integers(0, 256, shape, dtype=np.uint8)
+        assert (P.png_pixels(P.png_bytes(a)) == a).all()
+    a = g.integers(0, 256, (6, 5, 3), dtype=np.uint8)
+    up, lines = np.zeros(15, int), []
+    for y, kind in enumerate((0, 1, 2, 3, 4, 1)):  # every way in which lines may be coded
+        x = a[y].ravel().astype(int)
+        left, corner = np.concatenate([[0] * 3, x[:-3]]), np.concatenate([[0] * 3, up[:-3]])
+        d = np.stack([abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)])
+        guess = np.choose(d.argmin(0), [left, up, corner])
+        lines.append(bytes([kind]) + bytes(((x - [np.zeros(15, int), left, up, (left + up) // 2, guess][kind]) % 256).astype(np.uint8)))
+        up = x
+    import struct
+    import zlib
+
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    png = P.PNG_MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 6, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert (P.png_pixels(png) == a).all()
+    for bad in (b"", b"abc", png[:-20], png[:40], png.replace(b"IDAT", b"IDAX")):
+        with pytest.raises(DataError):
+            P.png_pixels(bad)
+    smooth = P.resize(g.integers(0, 256, (4, 4, 3), dtype=np.uint8), (50, 47))
+    err = [float(np.abs(P.jpeg(smooth, g, q).astype(int) - smooth).mean()) for q in (95, 60, 20)]
+    assert err[0] < 4 and err[0] <= err[1] <= err[2] and P.jpeg(smooth, g, 35).shape == smooth.shape
+    flat = np.full((16, 16, 3), 128, np.uint8)
+    assert np.abs(P.jpeg(flat, g, 35).astype(int) - 128).max() <= 1
+
+
+def test_grids_crops_and_places():
+    with pytest.raises(ConfigError):
+        P.Grid(100, 8)
+    assert (P.Grid(64, 8).per_side, P.Grid(64, 8).patches) == (8, 64) and P.square_grid(49) == (7, 7) and P.square_grid(50) is None and P.square_grid(0) is None
+    img = np.arange(60 * 40 * 3).reshape(60, 40, 3).astype(np.uint8)
+    assert P.centre_crop(img, P.Grid(32, 8)).shape == (32, 32, 3)
+    for i in range(50):
+        t, l, h, w = P.random_window(60, 40, rng(i), (0.2, 0.9))
+        assert 0 <= t <= 60 - h and 0 <= l <= 40 - w and h * w <= 0.95 * 2400
+    assert P.random_window(10, 1000, rng(0), (0.9, 1.0)) == (0, 493, 10, 13)
+    m = np.zeros((50, 60), bool)
+    m[10:20, 30:40] = True
+    assert P.natural_crop(np.zeros((5, 5), bool), 0.2, rng()) is None
+    for i in range(30):
+        t, l, s, cover = P.natural_crop(m, 0.25, rng(i))
+        assert s == 20 and m[t : t + s, l : l + s].any() and cover == pytest.approx(m[t : t + s, l : l + s].mean())
+    p = P.place(np.array([[True, False], [False, True]]), (2, 1, 6, 5), 8, 8)
+    assert p.sum() == 8 and p[1:3, 2:4].all() and p[3:5, 4:6].all()
+    lab = np.zeros((6, 6), int)
+    lab[2, 3] = 1
+    assert P.minority_box(lab, 6, 0.5) == ((1, 4, 2, 5), pytest.approx(1 / 36)) and P.minority_box(np.zeros((6, 6)), 6, 0.5) == (None, 0.0)
+    fine = P.place_fine(np.ones(16), (1, 3, 0, 2), P.Grid(32, 8))
+    assert fine.sum() == 256 and fine[8:24, :16].all()
+    a, b, ops = P.invariance_pair(img, rng(2), ("gaussian", "resize"))
+    assert (a == img).all() and not (b == img).all() and len(ops) == 2
 
 def test_zoom_regions_of_patches(spark):
     x = spark.createDataFrame([(1, r, c, 5.0 if r < 2 and c < 2 else 0.0) for r in range(7) for c in range(7)], "image_id long, r int, c int, attention double")
