@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from patchmill.storage import shared_dir
+from patchmill.storage import Workspace
 
 
 def event_stream(spark: SparkSession, d: str, name: str = "events") -> DataFrame:
@@ -24,7 +23,7 @@ def event_stream(spark: SparkSession, d: str, name: str = "events") -> DataFrame
 def run_to_end(df: DataFrame, mode: str) -> DataFrame:
     """Process all that is there, then return what the stream wrote; update mode keeps the last row of each key column ``key``."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = Workspace(spark, "stream").root
     if mode == "append":
         q = df.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         q.awaitTermination()
@@ -87,3 +86,8 @@ def appended_metrics(df: DataFrame, to: str) -> Callable[[DataFrame, int], None]
         part.write.mode("overwrite").parquet(f"{to}/batch={epoch}")
 
     return sink
+
+
+def read_metrics(spark: SparkSession, to: str) -> DataFrame:
+    """All rows of appended_metrics with the columns of any batch, NULL where a batch lacks one."""
+    return spark.read.option("mergeSchema", "true").parquet(to)

@@ -304,3 +304,68 @@ def test_streams_forget_late_rows_and_stop(spark, tmp_path):
     assert sum(r["n"] for r in run_to_end(window_counts(s, "1 hour"), "complete").collect()) == 5
     r = run_to_end(stopping(s.select("event_type", "ts", "value"), "event_type", 0.1, 2), "update").first()
     assert (r["seen"], r["best"], r["stopped"]) == (5, 5.0, True)
+
+
+def test_indoor_layouts_and_manifests(spark, tmp_path):
+    def put(*names):
+        for n in names:
+            p = tmp_path / n
+            p.parent.mkdir(parents=True, exist_ok=True)
+            p.write_bytes(b"x")
+
+    got = lambda root: {(r["img"].removeprefix(str(tmp_path) + "/"), r["split"]) for r in S.indoor_dataset(spark, str(tmp_path / root), "h2").collect()}
+    put("a/h1/images/p.png", "a/h1/q.png", "a/h2/r.JPG", "a/h2/deep/s.png", "a/h3/t.txt")
+    assert got("a") == {("a/h1/images/p.png", "train"), ("a/h2/r.JPG", "val")}
+    put("b/p.png", "b/x/h2/q.png")
+    assert got("b") == {("b/p.png", "train"), ("b/x/h2/q.png", "val")}
+    put("c/x/y/z/p.png")
+    assert got("c") == {("c/x/y/z/p.png", "train")} and got("gone") == set() and got("b/p.png") == {("b/p.png", "train")}
+    (tmp_path / "m.txt").write_text(f"# list\na/h1/q.png\na/h1/q.png\na/h3/t.txt\nnone.png\n{tmp_path}/a/h2/r.JPG\n")
+    assert got("m.txt") == {("a/h1/q.png", "train"), ("a/h2/r.JPG", "val")}
+    tree = {"/d": ["B-Free", "other"], "/d/B-Free": ["COCO_real_512", "SD2.1_inpainted_diffcat.zip", "sd2.1_inpainted_samecat", "BBox", "mask"]}
+    assert S.bfree_root(tree, "/d") == "/d/B-Free" and S.bfree_root(tree, "/x") == "/x" and S.named_folder(tree["/d/B-Free"], "bbox") == "BBox" and S.named_folder([], "a") is None
+
+
+def test_summaries_of_runs(spark, tmp_path):
+    for n, rows in (("r1", "epoch,f1\n1,0.1\n2,0.2\n"), ("r2", "epoch,iou,status\n1,0.5,x\n")):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "metrics.csv").write_text(rows)
+    last = S.last_rows(spark, S.listing(spark, str(tmp_path), glob="*.csv")).withColumn("name", F.substring_index("dir", "/", -1))
+    runs = spark.createDataFrame([("r1", "done", 0, 1.5), ("r2", "failed", 1, 2.0), ("r3", None, None, None)], "name string, status string, exit_code int, wall_seconds double")
+    x = S.run_summary(runs, last)
+    assert x.columns == ["name", "status", "exit_code", "wall_seconds", "epoch", "f1", "iou"]
+    assert {r["name"]: (r["status"], r["epoch"], r["f1"], r["iou"]) for r in x.collect()} == {"r1": ("done", "2", "0.2", ""), "r2": ("failed", "1", "", "0.5"), "r3": ("pending", "", "", "")}
+    (tmp_path / "log.txt").write_text("\n".join(f"l{i}" for i in range(100)))
+    assert S.log_tail(spark, str(tmp_path / "log.txt"), 3) == ["l97", "l98", "l99"]
+
+
+def test_queue_is_run_and_marked(tmp_path):
+    q = {"runs": [{"name": "a", "module": "m", "args": {"code": 0}}, {"name": "b", "module": "m", "args": {"code": 3}}, {"name": "c", "module": "m"}], "base_args": {}}
+    cmd = lambda m, a: ["sh", "-c", f"echo {' '.join(a)}; exit {a[a.index('--code') + 1] if '--code' in a else 0}"]
+    got = R.run_queue(q, str(tmp_path), stop_on_failure=True, command=cmd)
+    assert [(r["name"], r["status"]) for r in got] == [("a", "done"), ("b", "failed"), ("c", "pending")] and "--code 0" in (tmp_path / "a/output.log").read_text()
+    got = R.run_queue(q, str(tmp_path), command=cmd)
+    assert [r["status"] for r in got] == ["skipped", "failed", "done"] and got[0]["exit_code"] == 0
+    assert R.run_queue(q, str(tmp_path), force={"a"}, command=cmd)[0]["status"] == "done"
+
+
+def test_settings_paths_and_lines(tmp_path):
+    p = R.data_paths({"imd_root": "/a", "casia_root": ""}, {"casia_root": "/d", "tgif_root": "~/t"}, {"CASIA_ROOT": "/e"})
+    assert p.paths["imd_root"] == "/a" and p.paths["casia_root"] == "/e" and p.origin["casia_root"] == "environment" and p.paths["tgif_root"].endswith("/t") and p.paths["bfree_root"] is None
+    assert p.need("imd_root") == ["/a"]
+    with pytest.raises(ConfigError):
+        p.need("bfree_root")
+    assert R.RunConfig.of({"side": "64", "patch": 8}).side == 64
+    for bad in ({"side": 65, "patch": 8}, {"zz": 1}, {"val_frac": 2}, {"side": "x"}):
+        with pytest.raises(ConfigError):
+            R.RunConfig.of(bad)
+    seen = []
+    log = R.RunLog(str(tmp_path / "l/run.log"), seen.append)
+    log.warn("[data]", "no root")
+    log.metrics("[eval]", f1=0.5)
+    with pytest.raises(ValueError):
+        log.line("no tag")
+    assert seen == ["[data] WARN: no root", "[eval] f1=0.5000"] and (tmp_path / "l/run.log").read_text().splitlines() == seen
+    assert R.commit_of(str(tmp_path)) == "nogit" and R.percentile_line({n: 0.5 for n in ("p1", "p5", "p25", "median", "p75", "p95", "p99", "mean")}).startswith("p1=0.5000 p5=")
+    d = R.run_dir_beside(str(tmp_path / "ck/mine"), stamp="s")
+    assert d.checkpoints.name == "mine" and d.root.name == "mine_s"
