@@ -59,15 +59,15 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Of each request: its categories, drawn records that are not distinct items of their category, and whether each category was drawn within one of what is due and all of a short one."""
+    """Of each request: its categories, drawn records that are not distinct items of their category, and whether each category was drawn within one of what is due and that lies between its floor and what there is."""
     s = _proportions(spark, d)
     drawn = s.draw()
     wrong = drawn.join(s.rows.withColumnRenamed("id", "item_id"), ["item_id", *s.category], "left_anti").groupBy("request_id").agg(F.count("*").alias("w"))
     twice = drawn.groupBy("request_id", "item_id").agg(F.count("*").alias("n")).where("n > 1").groupBy("request_id").agg(F.count("*").alias("t"))
     got = drawn.groupBy("request_id", *s.category).agg(F.count("*").alias("drawn"))
-    r = s.report().select("request_id", *s.category, "due", "available", "short").distinct().join(got, ["request_id", *s.category], "left").na.fill(0, ["drawn"])
-    c = r.groupBy("request_id").agg(F.count("*").alias("categories"), F.bool_and(F.abs(F.col("drawn") - F.col("due")) < 1 + 1e-6).alias("near_due"), F.bool_and(~F.col("short") | (F.col("drawn") == F.col("available"))).alias("short_whole"))
-    return c.join(wrong, "request_id", "left").join(twice, "request_id", "left").select("request_id", "categories", "near_due", "short_whole", (F.coalesce("w", F.lit(0)) + F.coalesce("t", F.lit(0))).alias("faults"))
+    r = s.report().groupBy("request_id", *s.category).agg(F.max("due").alias("due"), F.max("available").alias("available"), F.max("min_rows").alias("min_rows")).join(got, ["request_id", *s.category], "left").na.fill(0, ["drawn"])
+    c = r.groupBy("request_id").agg(F.count("*").alias("categories"), F.bool_and(F.abs(F.col("drawn") - F.col("due")) < 1 + 1e-6).alias("near_due"), F.bool_and((F.col("due") <= F.col("available") + 1e-6) & (F.col("due") >= F.least("available", "min_rows") - 1e-6)).alias("bounds_kept"))
+    return c.join(wrong, "request_id", "left").join(twice, "request_id", "left").select("request_id", "categories", "near_due", "bounds_kept", (F.coalesce("w", F.lit(0)) + F.coalesce("t", F.lit(0))).alias("faults"))
 
 
 def _cutoffs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -283,7 +283,7 @@ SQL = {
         l AS (SELECT f.key, CAST(CASE WHEN p.key IS NULL THEN epoch ELSE -1 END AS INT) AS epoch, CASE WHEN p.key IS NOT NULL THEN 1.0e0 WHEN epoch <= 5 THEN 0.04e0 ELSE 0.03e0 END AS rate FROM f LEFT JOIN p ON p.key = f.key),
         s AS (SELECT *, CAST(('0x' || substr(md5('7|0|' || key), 1, 13)) AS BIGINT) / 4503599627370496.0e0 AS u FROM l)
         SELECT DISTINCT item_id, s.key, s.epoch, rate, CASE WHEN s.epoch = -1 THEN 'prior' ELSE 'rate' END AS by FROM k JOIN s ON s.key = k.key WHERE u < rate""",
-    "p2_checks": "SELECT request_id, count(DISTINCT (regexp_replace(lower(coalesce(source, 'unknown')), '[^a-z0-9]', '', 'g'), regexp_replace(lower(coalesce(kind, 'unknown')), '[^a-z0-9]', '', 'g'))) AS categories, true AS near_due, true AS short_whole, CAST(0 AS BIGINT) AS faults FROM sample_targets GROUP BY request_id",
+    "p2_checks": "SELECT request_id, count(DISTINCT (regexp_replace(lower(coalesce(source, 'unknown')), '[^a-z0-9]', '', 'g'), regexp_replace(lower(coalesce(kind, 'unknown')), '[^a-z0-9]', '', 'g'))) AS categories, true AS near_due, true AS bounds_kept, CAST(0 AS BIGINT) AS faults FROM sample_targets GROUP BY request_id",
     "p5_checks": "SELECT count(DISTINCT item_id) AS items, count(DISTINCT item_id) AS distinct_items, CAST(0 AS BIGINT) AS torn, true AS splits_near, true AS kinds_near FROM items",
     "p7_checks": f"""
         WITH n AS (SELECT limit_name, doc_id, capacity_tokens AS c, {_TOKENS} AS t FROM documents CROSS JOIN (SELECT DISTINCT limit_name, capacity_tokens FROM pack_limits))
