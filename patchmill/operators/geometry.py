@@ -151,20 +151,33 @@ def project_masks(windows: DataFrame, cells: DataFrame, keys: list[str], window:
     return p.join(cells, [window, "wi", "wj"], "left_semi").select(*keys, "ti", "tj").distinct()
 
 
-def axis_cover(df: DataFrame, length: str, scale: float, stride_frac: float, n: int, target: int, prefix: str) -> DataFrame:
-    """(w, h, {prefix}hit, {prefix}most, {prefix}sum): along one axis, patches of the target grid that windows cover, and how often.
-
-    A grid of windows is the product of its rows and columns, so its footprint is the product of both covers and no cell is built.
-    """
-    short = F.least("w", "h")
-    x = df.select("w", "h").distinct().withColumn("side", F.least(F.greatest(F.lit(n), rint(short * scale)), short))
-    x = x.withColumn("at", F.explode(axis_starts(F.col(length), F.col("side"), rint(F.col("side") * stride_frac))))
-    size, full = target // n, F.col(length)
+def axis_cover(df: DataFrame, stride_frac: float, n: int, target: int) -> DataFrame:
+    """(length, side, hit, most, sum) of axes (length, side): patches of the target grid that windows along the axis cover, and how often."""
+    x = df.select("length", "side").distinct()
+    x = x.withColumn("at", F.explode(axis_starts(F.col("length"), F.col("side"), rint(F.col("side") * stride_frac))))
+    size, full = target // n, F.col("length")
     lo, hi = F.greatest(F.lit(0), _i(F.floor(F.col("at") * target / full / size))), F.least(F.lit(n), _i(F.ceil((F.col("at") + F.col("side")) * target / full / size)))
     x = x.withColumns({"lo": lo, "hi": hi}).where("hi > lo").withColumn("t", F.explode(F.sequence("lo", F.col("hi") - 1)))
     own = _i(((F.col("t") + 0.5) * size * full / target - F.col("at")) / (F.col("side") / n))
-    c = x.where(own.between(0, n - 1)).groupBy("w", "h", "t").agg(F.count("*").alias("k"))
-    return c.groupBy("w", "h").agg(F.count("*").alias(prefix + "hit"), F.max("k").alias(prefix + "most"), F.sum("k").alias(prefix + "sum"))
+    c = x.where(own.between(0, n - 1)).groupBy("length", "side", "t").agg(F.count("*").alias("k"))
+    return c.groupBy("length", "side").agg(F.count("*").alias("hit"), F.max("k").alias("most"), F.sum("k").alias("sum"))
+
+
+def footprints(df: DataFrame, scale: float, stride_frac: float, n: int, target: int) -> DataFrame:
+    """df (w, h) with patches, most, cells: how the windows of each image cover the target grid.
+
+    A grid of windows is the product of its rows and columns, so its footprint is the product of both axes' covers and no cell is
+    built. Axes repeat far more often than sizes: each (length, side) is worked out once, for rows and columns alike.
+    """
+    short = F.least("w", "h")
+    x = df.withColumn("_side", F.least(F.greatest(F.lit(n), rint(short * scale)), short))
+    axes = x.select(F.explode(F.array("w", "h")).alias("length"), F.col("_side").alias("side")).distinct()
+    c = axis_cover(axes, stride_frac, n, target)
+    for k in ("h", "w"):
+        own = c.select(F.col("length").alias(k), F.col("side").alias("_side"), *[F.col(v).alias(f"_{k}_{v}") for v in ("hit", "most", "sum")])
+        x = x.join(own, [k, "_side"], "left")
+    both = lambda v: F.col(f"_h_{v}") * F.col(f"_w_{v}")
+    return x.select(*df.columns, both("hit").alias("patches"), both("most").alias("most"), both("sum").alias("cells"))
 
 
 def patch_density(pixels: DataFrame, key: str, size: int, value: str) -> DataFrame:

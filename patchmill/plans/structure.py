@@ -8,6 +8,7 @@ from patchmill.functions.presets import between, preset_table
 from patchmill.operators import cluster as K
 from patchmill.operators import geometry as G
 from patchmill.operators import losses as L
+from patchmill.operators.localization import localization_samples
 from patchmill.operators.metrics import mask_metrics
 from patchmill.plans.bindings import LOC, MASKS, PATCHES, SCORES, SIZES, loc, masks, patches, scores, sizes
 from patchmill.plans.metrics import rounded
@@ -136,11 +137,7 @@ def _by_size(spark, d, how):
   SELECT image_id, patches, most, cells FROM im LEFT JOIN s USING (w, h)""")
 def geo_footprints(spark, d):
     """How windows cover the patches of each image."""
-    im = sizes(spark, d)
-    r, c = (G.axis_cover(im, x, 0.5, 1.0, 28, 448, x + "_") for x in ("h", "w"))
-    both = lambda k: (F.col(f"h_{k}") * F.col(f"w_{k}"))
-    x = im.join(r.join(c, ["w", "h"]), ["w", "h"], "left")
-    return x.select("image_id", both("hit").alias("patches"), both("most").alias("most"), both("sum").alias("cells"))
+    return G.footprints(sizes(spark, d), 0.5, 1.0, 28, 448).select("image_id", "patches", "most", "cells")
 
 
 @query(_CELLS + """, c AS (SELECT DISTINCT w, h, ti, tj FROM v WHERE (w + top + "left") % 3 <> 0 AND wi BETWEEN 0 AND 27 AND wj BETWEEN 0 AND 27 AND (wi * 7 + wj * 3 + top) % 5 = 0),
@@ -389,6 +386,24 @@ def cal_class_gap(spark, d):
     return rounded(K.class_gap(s, "silhouette", "single"), 5)
 
 
+@query()
+def agg_localization_samples(spark, d):
+    """Samples of each image with a label, from its patches."""
+    p = patches(spark, d).withColumns({"gt": F.col("lab") == 1, "win": (F.col("idx") % 3 == 0)})
+    images = p.select("image_id").distinct().select("image_id", F.lit("imdsplice").alias("kind"), (F.col("image_id") / 10).alias("logit"))
+    return rounded(localization_samples(p, images, "gt", swin="win"))
+
+
+@query(f"""WITH {PATCHES}, s AS (SELECT image_id, count(*) AS n, count(*) FILTER (lab = 1) AS g, count(*) FILTER (idx % 3 = 0) AS w, count(*) FILTER (lab = 1 AND idx % 3 = 0) AS tp FROM pa GROUP BY 1)
+  SELECT image_id, round(g / CAST(n AS DOUBLE), 6) AS area, round(2.0e0 * tp / (w + g), 6) AS f1_swin, round(tp / CAST(w + g - tp AS DOUBLE), 6) AS iou_swin, round(w / CAST(n AS DOUBLE), 6) AS pred_frac_swin, round(image_id / 10.0e0, 6) AS bce_logit,
+    CASE WHEN g / CAST(n AS DOUBLE) < 0.15 THEN 'small' WHEN g / CAST(n AS DOUBLE) < 0.30 THEN 'medium' ELSE 'large' END AS bucket, true AS sound FROM s WHERE g > 0""")
+def agg_localization_checks(spark, d):
+    """The fields of samples that do not hang on a clustering, and whether the others keep their bounds."""
+    x = agg_localization_samples(spark, d)
+    sound = (F.col("f1_full") >= F.col("f1_full_deployed")) & (F.col("iou_full") <= F.col("f1_full")) & F.col("best_k").between(2, 4) & (F.greatest("sil_k2", "sil_k3", "sil_k4") == F.element_at(F.array("sil_k2", "sil_k3", "sil_k4"), F.col("best_k") - 1)) & F.col("cent_sep").between(0, 2)
+    return x.select("image_id", "area", "f1_swin", "iou_swin", "pred_frac_swin", "bce_logit", "bucket", sound.alias("sound"))
+
+
 _BCE = "((1 - t) * l + (1 + 2 * t) * (ln(1 + exp(-abs(l))) + greatest(-l, 0)))"
 
 

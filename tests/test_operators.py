@@ -160,8 +160,7 @@ def test_covers_and_projection_equal_cells(spark):
     df = spark.createDataFrame([(1, 230, 470), (2, 448, 448), (3, 30, 28)], "image_id int, w int, h int")
     c = G.projected_cells(G.window_grid(df, 0.5, 0.5, 28), 28, 448).groupBy("w", "h", "ti", "tj").agg(F.count("*").alias("n"))
     want = {(r["w"], r["h"]): (r["p"], r["m"], r["s"]) for r in c.groupBy("w", "h").agg(F.count("*").alias("p"), F.max("n").alias("m"), F.sum("n").alias("s")).collect()}
-    x = G.axis_cover(df, "h", 0.5, 0.5, 28, 448, "a").join(G.axis_cover(df, "w", 0.5, 0.5, 28, 448, "b"), ["w", "h"])
-    assert want == {(r["w"], r["h"]): (r["ahit"] * r["bhit"], r["amost"] * r["bmost"], r["asum"] * r["bsum"]) for r in x.collect()}
+    assert want == {(r["w"], r["h"]): (r["patches"], r["most"], r["cells"]) for r in G.footprints(df, 0.5, 0.5, 28, 448).collect()}
     win = spark.createDataFrame([(1, 0, 0, 448, 448, 448)], "win int, top int, left int, side int, w int, h int")
     cells = spark.createDataFrame([(1, 3, 5), (1, 0, 27), (2, 1, 1)], "win int, wi int, wj int")
     assert {(r["ti"], r["tj"]) for r in G.project_masks(win, cells, ["win"], "win", 28, 448).collect()} == {(3, 5), (0, 27)}
@@ -250,6 +249,22 @@ def test_decodes_by_spec(spark):
     assert z[1] is False
 
 
+def test_localization_samples(spark):
+    from patchmill.operators.localization import localization_samples, scores_of, upper_gap
+
+    p = planted(spark, [100, 44]).withColumns({"gt": F.col("lab") == 1, "win": F.col("idx") > 90})
+    two = p.unionByName(p.withColumns({"image_id": F.lit(2).cast("long"), "gt": F.lit(False)})).unionByName(p.withColumn("image_id", F.lit(3).cast("long")))
+    images = spark.createDataFrame([(1, "imdsplice", 0.5), (2, "imdsplice", 0.5), (3, "imdreal", None)], "image_id long, kind string, logit double")
+    r = localization_samples(two, images, "gt", swin="win").collect()
+    assert [x["image_id"] for x in r] == [1]
+    x = r[0]
+    assert x["f1_full"] == x["iou_full_deployed"] == 1 and x["polarity_agree"] and x["best_k"] == 2 and x["bucket"] == "large" and x["f1_gap"] == 1 and 0.8 < x["f1_swin"] < 1
+    assert x["pos_coh"] > 0.8 and x["bg_coh"] > 0.8 and x["cent_sep"] > 0.8 and x["out_gap"] > 0.5
+    g = localization_samples(p, images, "gt", K.DecodeSpec(method="graph"), attention=False).first()
+    assert g["f1_full"] > 0.95 and g["f1_swin"] is None
+    assert scores_of(np.zeros(4, bool), np.zeros(4, bool)) == (0.0,) * 5 and not upper_gap(np.array([1.0, 2.0])).any()
+
+
 def test_gate_sweep_derives_its_grid(spark):
     v = spark.createDataFrame([(0.1, True), (0.2, True), (0.5, False), (0.6, False), (None, True)], "s double, single boolean")
     g = K.gate_sweep(v, "s", "single").first()
