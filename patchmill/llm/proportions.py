@@ -172,7 +172,7 @@ class ProportionSample:
         out, left, n = once.where("taken"), once.where("not taken"), int(r["parts"].sum())
         # the last units of the parts meet again, in groups of bounded size, until one group a request is left
         while True:
-            groups = -(-n // self.per_task)
+            groups = max(1, -(-n // self.per_task))
             part = F.pmod(F.xxhash64("id", F.lit(seed + n)), F.lit(groups))
             again = left.withColumn("part", part).groupBy("request_id", "part").applyInPandas(lambda key, pdf: run((*key, "last"), pdf), schema)
             if groups == 1:
