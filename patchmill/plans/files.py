@@ -40,7 +40,7 @@ def p3_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """The texts of documents written as many small files of lines, planned and joined byte by byte into few: lines, bytes and a checksum of what was there, and the files before and after that must be far fewer."""
-    root = Workspace(spark, "small-files").root.removeprefix("file:")
+    root = Workspace(spark, "small-files").folder
     line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ")
     docs = spark.read.parquet(f"{d}/documents.parquet").select(line.alias("value"), F.pmod(F.xxhash64("doc_id"), F.lit(200)).alias("bucket"))
     docs.repartition(200, "bucket").write.partitionBy("bucket").text(f"{root}/in")

@@ -390,7 +390,10 @@ def agg_weighted_medians(spark, d):
     return rounded(x.groupBy("tag").agg((F.sum(F.col("med") * F.col("n")) / F.sum("n")).alias("metric"), F.sum("n").alias("n")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOC}, v AS (SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY h) AS i, v FROM (SELECT tag, date_trunc('hour', logged_at) AS h, avg(iou_full) AS v FROM lo WHERE isfinite(iou_full) AND logged_at IS NOT NULL GROUP BY 1, 2)),
+  r(tag, i, best, bad, stop) AS (SELECT DISTINCT tag, CAST(0 AS BIGINT), -1.0e0, 0, false FROM v UNION ALL SELECT r.tag, r.i + 1, CASE WHEN NOT stop AND v > best + 0.002e0 THEN v ELSE best END, CASE WHEN stop THEN bad WHEN v > best + 0.002e0 THEN 0 ELSE bad + 1 END,
+    stop OR (NOT v > best + 0.002e0 AND bad + 1 >= 3) FROM r JOIN v ON v.tag IS NOT DISTINCT FROM r.tag AND v.i = r.i + 1)
+  SELECT tag, CAST(i AS INT) AS epochs, round(best, 6) AS best, bad, stop FROM r QUALIFY row_number() OVER (PARTITION BY tag ORDER BY i DESC) = 1""")
 def udf_early_stop(spark, d):
     """Best value and patience over the runs of a tag in order of time, as a fold over the ordered array of each tag (bounded by its hours)."""
     x = loc(spark, d).where("iou_full is not null and not isnan(iou_full) and logged_at is not null").groupBy("tag", F.date_trunc("hour", "logged_at").alias("h")).agg(F.avg("iou_full").alias("v"))

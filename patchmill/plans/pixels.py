@@ -12,7 +12,7 @@ from patchmill.storage import Workspace
 
 def _pictures(spark, d):
     ws = Workspace(spark, "pictures")
-    return ws.cut(X.write_pictures(items(spark, d), f"{ws.root.removeprefix('file:')}/files"))
+    return ws.cut(X.write_pictures(items(spark, d), f"{ws.folder}/files"))
 
 
 def _samples(spark, d, **how):

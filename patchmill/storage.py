@@ -49,6 +49,12 @@ class Workspace:
         self.n = 0
         _roots.add(self.root)
 
+    @property
+    def folder(self) -> str:
+        """The folder as kernels open it: a plain path where it lies in a mounted file system, else its URI."""
+        local = self.root.removeprefix("file:")
+        return self.root if "://" in local else "/" + local.lstrip("/")
+
     def cut(self, df: DataFrame, *partition_by: str) -> DataFrame:
         """Write df and read it back: later steps start from the files."""
         self.n += 1
