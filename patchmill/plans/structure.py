@@ -146,9 +146,10 @@ def geo_tile_masks(spark, d):
     """Masks of the windows that pass a gate, projected on the image's patches and joined by OR."""
 
     def how(w):
-        w = w.where("(w + top + left) % 3 <> 0").withColumn("win", F.xxhash64("w", "h", "top", "left"))
+        # five masks, shared by the windows: cells are written once for each mask
+        w = w.where("(w + top + left) % 3 <> 0").withColumn("win", F.col("top") % 5)
         grid = F.sequence(F.lit(0), F.lit(27))
-        cells = w.select("win", "top", F.explode(grid).alias("wi")).select("win", "top", "wi", F.explode(grid).alias("wj")).where("(wi * 7 + wj * 3 + top) % 5 = 0").drop("top")
+        cells = spark.range(5).select(F.col("id").cast("int").alias("win"), F.explode(grid).alias("wi")).select("win", "wi", F.explode(grid).alias("wj")).where("(wi * 7 + wj * 3 + win) % 5 = 0")
         return G.project_masks(w, cells, ["w", "h"], "win", 28, 448).groupBy("w", "h").agg(F.count("*").alias("patches"), F.sum(F.col("ti") * 28 + F.col("tj")).cast("long").alias("places"))
 
     return _by_size(spark, d, how)
