@@ -439,7 +439,7 @@ def agg_mad_outliers(spark, d):
     return rounded(C.mad_outliers(loc(spark, d), "tag", "area"))
 
 
-@query(f"""WITH {PATCHES}, md AS (SELECT image_id, median(attention) AS m FROM pa GROUP BY 1), e AS (SELECT image_id, unnest(z) AS x, unnest(range(0, len(z))) AS pos FROM pa JOIN md USING (image_id) WHERE attention <= m),
+@query(f"""WITH {PATCHES}, md AS (SELECT image_id, median(attention) AS m FROM pa GROUP BY 1), e AS (SELECT image_id, unnest(z) / sqrt(list_dot_product(z, z)) AS x, unnest(range(0, len(z))) AS pos FROM pa JOIN md USING (image_id) WHERE attention <= m),
   s AS (SELECT image_id, pos, sum(x) AS s FROM e GROUP BY 1, 2), t AS (SELECT image_id, list(s ORDER BY pos) AS total FROM s GROUP BY 1)
   SELECT image_id, idx, round(1 - list_cosine_similarity(z, total), 6) AS score FROM pa JOIN t USING (image_id)""")
 def cal_outlier_scores(spark, d):
@@ -448,7 +448,7 @@ def cal_outlier_scores(spark, d):
 
 @query(f"""WITH {PATCHES}, w AS (SELECT image_id, attention AS v, lead(attention) OVER o AS nx, row_number() OVER o AS pos FROM pa WINDOW o AS (PARTITION BY image_id ORDER BY attention)),
   g AS (SELECT image_id, (v + nx) / 2 AS t FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY coalesce(nx - v, -1) DESC, pos) AS rk, count(*) OVER (PARTITION BY image_id) AS n FROM w) WHERE rk = 1 AND n > 2),
-  e AS (SELECT image_id, unnest(z) AS x, unnest(range(0, len(z))) AS pos FROM pa LEFT JOIN g USING (image_id) WHERE t IS NULL OR attention < t), s AS (SELECT image_id, pos, sum(x) AS s FROM e GROUP BY 1, 2), t AS (SELECT image_id, list(s ORDER BY pos) AS total FROM s GROUP BY 1),
+  e AS (SELECT image_id, unnest(z) / sqrt(list_dot_product(z, z)) AS x, unnest(range(0, len(z))) AS pos FROM pa LEFT JOIN g USING (image_id) WHERE t IS NULL OR attention < t), s AS (SELECT image_id, pos, sum(x) AS s FROM e GROUP BY 1, 2), t AS (SELECT image_id, list(s ORDER BY pos) AS total FROM s GROUP BY 1),
   sc AS (SELECT image_id, lab, 1 - list_cosine_similarity(z, total) AS score FROM pa JOIN t USING (image_id))
   SELECT image_id, round(median(score) FILTER (lab = 1) - median(score) FILTER (lab = 0), 6) AS out_gap FROM sc GROUP BY 1""")
 def cal_outlier_gap(spark, d):
