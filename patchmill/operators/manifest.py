@@ -38,15 +38,21 @@ def indoor_items(li: DataFrame, holdout: str) -> DataFrame:
 
 def _sided(x: DataFrame, key: str, val: float, seed: str) -> DataFrame:
     """x with split: all rows of a key on one side; a share of the keys is held out."""
+    x = Workspace(x.sparkSession, "sided").cut(x)
     return x.join(holdout(x, key, val, seed).select(key, F.col("side").alias("split")), key)
 
 
+def _kept(li: DataFrame, where: Column) -> DataFrame:
+    """The pictures of one source, written once: each is looked at several times."""
+    return Workspace(li.sparkSession, "listing").cut(valid_images(li).where(where).select("path", "name", "stem", "ext"))
+
+
 def imd_items(li: DataFrame, val: float = 0.1, seed: str = "42") -> DataFrame:
     """Of each case folder the first original by name, and the pictures that have a mask of their own stem; folders are held out whole.
 
     The share counts all folders, those without an original too.
     """
-    x = valid_images(li).where(F.col("path").contains("/imd2020/")).withColumn("case_id", F.element_at(F.split("path", "/"), -2))
+    x = _kept(li, F.col("path").contains("/imd2020/")).withColumn("case_id", F.element_at(F.split("path", "/"), -2))
     orig = x.where(F.col("stem").contains("_orig")).withColumn("rk", F.row_number().over(Window.partitionBy("case_id").orderBy("name", "path"))).where("rk = 1")
     masks = x.where(F.col("name").endswith("_mask.png")).select("case_id", F.regexp_replace("stem", "_mask$", "").alias("stem"), F.col("path").alias("mask"))
     fakes = x.where(~F.col("stem").contains("_orig") & ~F.col("stem").endswith("_mask")).join(masks, ["case_id", "stem"]).join(orig.select("case_id"), "case_id", "left_semi")
@@ -68,6 +74,7 @@ def casia_triplets(li: DataFrame, side: DataFrame | None = None, val: float = 0.
     triplet; pairs that would leak across sides are left out.
     """
     p = F.col("path")
+    li = _kept(li, p.contains("/casia/"))
     real = _part(li, p.contains("/casia/images/") & F.col("stem").endswith("_real"), "real", base_name(F.col("stem")))
     fake = _part(li, p.contains("/casia/images/") & F.col("stem").endswith("_fake"), "fake", base_name(F.col("stem")))
     mask = _part(li, p.contains("/casia/masks/") & F.col("stem").endswith("_mask"), "mask", base_name(F.col("stem")))
@@ -94,6 +101,7 @@ def _two_rows(t: DataFrame, source: str, real: str, fake: str, mask: str, *, pas
 def triplets(li: DataFrame, source: str, modified: str, original: str, mask: str, val: float = 0.1, seed: str = "42") -> DataFrame:
     """Modified and original pictures with a mask, matched by base name: two rows each; the fake one knows its original. Bases are held out whole."""
     p, base = F.col("path"), base_name(F.col("stem"))
+    li = _kept(li, p.contains(modified) | p.contains(original) | p.contains(mask))
     t = _part(li, p.contains(modified), "m", base).join(_part(li, p.contains(original), "o", base), "base").join(_part(li, p.contains(mask), "k", base), "base")
     return _two_rows(_sided(t, "base", val, seed), source, "o", "m", "k", paste=True)
 
@@ -112,6 +120,7 @@ def anyedit_items(li: DataFrame, source: str = "anyedit", val: float = 0.1, seed
     What a stem ends in counts in any letter case, the base only without an ending in lower case.
     """
     p, base, low = F.col("path"), base_name(F.col("stem")), F.lower("stem")
+    li = _kept(li, p.contains("/anyedit/"))
     real = _part(li, p.contains("/anyedit/images/") & low.rlike("_(real|original)$"), "real", base)
     fake = _part(li, p.contains("/anyedit/images/") & low.rlike("_(fake|modified)$"), "fake", base)
     mask = _part(li, p.contains("/anyedit/masks/"), "mask", base)
@@ -122,6 +131,7 @@ def anyedit_items(li: DataFrame, source: str = "anyedit", val: float = 0.1, seed
 def bfree_items(li: DataFrame, source: str = "bfree", val: float = 0.1, seed: str = "42") -> DataFrame:
     """Edits of an anchor: the mask of the box for other-category edits where there is one, else the exact one; one real row for each anchor. Anchors are held out with their edits."""
     p, low, none = F.col("path"), F.lower("stem"), F.lit(None).cast("string")
+    li = _kept(li, p.contains("/bfree/"))
     anchor = _part(li, p.contains("/bfree/anchor/"), "anchor", F.regexp_replace(low, "_anchor$", ""))
     edit = valid_images(li).where(p.rlike("/bfree/(diffcat|samecat)/")).select(F.regexp_replace(low, r"_(diffcat|samecat)\d+$", "").alias("base"), low.alias("edit"), F.regexp_extract("path", "/bfree/(diffcat|samecat)/", 1).alias("variant"), p.alias("fake"))
     box = _part(li, p.contains("/bfree/bbox/"), "box", F.regexp_replace(low, "_mask$", ""))
