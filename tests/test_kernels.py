@@ -137,6 +137,39 @@ def test_samples_come_from_files_and_do_not_depend_on_order(spark, tmp_path):
     assert {r["variant"] for r in splices} <= {"splice_negative", "splice_mask_corrupt", *P.VARIANTS}
 
 
+def test_pictures_lie_on_the_disk_for_some_items_at_a_time(spark, tmp_path):
+    x = _written(spark, tmp_path).select(*X.ITEM[:-1])
+
+    def kernel(pdf, root):
+        import os
+
+        import pandas as pd
+
+        there = sum(len(f) for _, _, f in os.walk(root))
+        return pd.DataFrame({"item_id": pdf["item_id"], "root": root, "there": there, "named": pdf[["img", "mask", "ae_recon"]].notna().sum().sum()})
+
+    got = X.on_pictures(x, kernel, "item_id long, root string, there long, named long", at_once=5, tasks=2).collect()
+    assert sorted(r["item_id"] for r in got) == list(range(64)) and all(r["there"] == r["named"] <= 10 for r in got)
+    assert not any(os.path.exists(r["root"]) for r in got)
+    names = x.withColumn("mask", F.when(F.col("mask").isNotNull(), "m"))
+    facts = lambda df: sorted((r["path"].removeprefix(f"{tmp_path}/"), *r[1:]) for r in df.collect())
+    files = _written(spark, tmp_path).select(F.explode(F.array("img", "mask")).alias("path")).where("path is not null")
+    assert facts(X.on_pictures(names, X.facts_kernel, X.FACTS, at_once=5)) == facts(X.decoded_facts(files))
+    a, b = (sorted(map(str, X.on_pictures(x.repartition(n), X.sample_kernel(), X.SAMPLE, at_once=k, tasks=n).collect())) for n, k in ((2, 5), (5, 64)))
+    assert a == b and len(a) == 64
+
+
+@pytest.mark.parametrize("name", ["pix_sample_mix"])
+def test_queries_leave_no_pictures_and_no_samples_behind(spark, name):
+    from patchmill.plans.pixels import QUERIES
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    files = lambda: {f for _, _, fs in os.walk(shared) for f in fs if f.endswith((".png", ".parquet"))}
+    before = files()
+    once, again = (sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
+    assert once == again and once and files() == before
+
+
 def test_samples_of_broken_files_and_modes(spark, tmp_path):
     x = _written(spark, tmp_path)
     rows = {r["item_id"]: r for r in x.collect()}
