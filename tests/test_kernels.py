@@ -159,7 +159,7 @@ def test_pictures_lie_on_the_disk_for_some_items_at_a_time(spark, tmp_path):
     assert a == b and len(a) == 64
 
 
-@pytest.mark.parametrize("name", ["pix_sample_mix", "pix_samples", "pix_file_facts"])
+@pytest.mark.parametrize("name", ["pix_sample_mix", "pix_samples", "pix_file_facts", "pix_sample_status"])
 def test_queries_leave_no_pictures_and_no_samples_behind(spark, name):
     from patchmill.plans.pixels import QUERIES
 
