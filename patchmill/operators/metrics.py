@@ -156,11 +156,18 @@ def f1_sweep(df: DataFrame, *keys: str, score: str = "score", label: str = "labe
     return best.select(*keys, F.col("m.f1").alias("best_f1"), F.when(F.col("m.f1") > 0, at(F.col("m.b"))).otherwise(0.5).alias("best_threshold"), "auprc")
 
 
+def mean(c: Column) -> Column:
+    """The mean of c, NULLs left out. Values that a decimal of 20 places holds are summed without rounding, so no order of rows moves a mean off its tie; else Spark's own."""
+    d = c.try_cast("decimal(38,20)")
+    kept = F.when(d.cast("double") == c, d)
+    return F.coalesce(F.when(F.count(kept) == F.count(c), F.try_divide(F.try_sum(kept).cast("double"), F.count(c))), F.avg(c))
+
+
 def stats(c: str | Column, prefix: str = "") -> list[Column]:
     """n, mean, median, population deviation and exact percentiles of c, NULLs left out."""
     c = F.col(c) if isinstance(c, str) else c
     q = [("p1", 0.01), ("p5", 0.05), ("p25", 0.25), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99)]
-    return [F.count(c).alias(f"{prefix}n"), F.avg(c).alias(f"{prefix}mean"), F.median(c).alias(f"{prefix}median"), F.stddev_pop(c).alias(f"{prefix}std"), *[F.percentile(c, F.lit(p)).alias(prefix + n) for n, p in q]]
+    return [F.count(c).alias(f"{prefix}n"), mean(c).alias(f"{prefix}mean"), F.median(c).alias(f"{prefix}median"), F.stddev_pop(c).alias(f"{prefix}std"), *[F.percentile(c, F.lit(p)).alias(prefix + n) for n, p in q]]
 
 
 def mask_metrics(df: DataFrame, *keys: str, pred: str = "pred", gt: str = "gt", empty: float | None = None) -> DataFrame:

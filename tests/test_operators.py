@@ -384,3 +384,18 @@ def test_null_keys_are_a_group_on_both_ways(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "WINDOW_BYTES", 0)
     monkeypatch.setattr(storage.Workspace, "cut", lambda self, x, _f=storage.Workspace.cut: made.append(1) or _f(self, x))
     assert run() == small and len(made) == 3 and all(len(x) == 2 for x in small)
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    import random
+
+    tied = [0.29, 0.88, 0.3, 0.8, 1.0, 0.55, 0.72, 0.41, 0.1, 0.7, 0.6, 0.27, 0.66] + [0.0] * 3
+    rows = []
+    for k in range(60):
+        random.Random(k).shuffle(tied)
+        rows += [(k, v) for v in tied]
+    x = spark.createDataFrame(rows, "k int, v double").coalesce(1)
+    want = sum(round(v * 100) for v in tied) / 100 / len(tied)
+    assert {r["mean"] for r in A.spread(x, ["k"], {"v": "v"}).collect()} == {want}
+    odd = spark.createDataFrame([(0, 1e-30), (0, 3e-30), (1, 1e300), (1, None), (2, float("inf"))], "k int, v double")
+    assert {r["k"]: r["mean"] for r in A.spread(odd, ["k"], {"v": "v"}).collect()} == {0: 2e-30, 1: 1e300, 2: float("inf")}
