@@ -159,6 +159,34 @@ def test_pictures_lie_on_the_disk_for_some_items_at_a_time(spark, tmp_path):
     assert a == b and len(a) == 64
 
 
+def test_pictures_as_bytes_are_those_of_files(spark, tmp_path):
+    x = _written(spark, tmp_path).select(*X.ITEM[:-1])
+
+    def kernel(pdf, files):
+        import pandas as pd
+
+        held = {n for c in ("img", "mask", "ae_recon") for n in pdf[c].dropna()}
+        return pd.DataFrame({"item_id": pdf["item_id"], "bytes": isinstance(files, dict) and set(files) == held, "n": len(held)})
+
+    got = X.on_pictures(x, kernel, "item_id long, bytes boolean, n int", at_once=5, tasks=2, on_disk=False).collect()
+    assert sorted(r["item_id"] for r in got) == list(range(64)) and all(r["bytes"] and r["n"] <= 15 for r in got)
+    a, b = (sorted(map(str, X.on_pictures(x, X.facts_kernel, X.FACTS, on_disk=d).collect())) for d in (True, False))
+    assert a == b and len(a) == 64 + x.where("mask is not null").count()
+    import pandas as pd
+
+    bad = X.facts_kernel(pd.DataFrame({"img": ["a", "b"], "mask": [None, "c"]}), {"a": b"no picture", "c": P.png_bytes(np.zeros((3, 5), np.uint8), 0)})
+    assert bad[["path", "ok"]].values.tolist() == [["a", False], ["b", False], ["c", True]] and bad["width"][2] == 5
+
+
+def test_blobs_and_pictures_drawn_at_once():
+    for i in range(400):
+        b = P.Blob(area=[(0.05, 0.25), (0.1, 0.4), (0.45, 0.8)][i % 3], lobes=3 * (i % 20 == 0), amplitude=0.2)
+        a, c = rng(i), rng(i)
+        assert (P.blob_cells(48 + i % 17, a, b) == (P.blob_mask(48 + i % 17, c, b) >= 0.5)).all() and a.random() == c.random()
+    x = rng(1).integers(0, 256, (5, 6, 7, 3), dtype=np.uint8)
+    assert (P.resize_each(x, (48, 20)) == np.stack([P.resize(v, (48, 20)) for v in x])).all() and P.resize_each(x * 0 + 255, (9, 9)).min() == 255
+
+
 @pytest.mark.parametrize("name", ["pix_sample_mix", "pix_samples", "pix_file_facts", "pix_sample_status"])
 def test_queries_leave_no_pictures_and_no_samples_behind(spark, name):
     from patchmill.plans.pixels import QUERIES
