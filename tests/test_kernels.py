@@ -187,6 +187,41 @@ def test_blobs_and_pictures_drawn_at_once():
     assert (P.resize_each(x, (48, 20)) == np.stack([P.resize(v, (48, 20)) for v in x])).all() and P.resize_each(x * 0 + 255, (9, 9)).min() == 255
 
 
+def _bytes_of_items():
+    import pandas as pd
+
+    kinds = ["imdsplice", "casiasplice", "imdreal", "indoorreal", "casiareal", "aesplice", None, "other"]
+    x = pd.DataFrame([(i, None, "" if i % 8 < 2 and i % 16 < 10 else None, kinds[i % 8], "c", "s") for i in range(128)], columns=X.ITEM[:-1])
+    some, pictures = X._drawn(x, 48)
+    return some, {n: P.png_bytes(a, 0) for n, a in pictures}
+
+
+@pytest.mark.parametrize("how", [{}, {"light": "noise_aggressive", "soft": True}, {"whole_corrupt": 0.9, "families": ("poisson", "gaussian")}, {"train": False, "degrade": False, "eval_mode": "mask_poisson"}])
+def test_samples_are_the_same_whichever_columns_are_asked_for(how):
+    x, files = _bytes_of_items()
+    whole = X.sample_kernel(X.Recipe(**how), keep_pixels=True)(x, files)
+    for cols in ([c for c in X.NAMES if c != "pixels"], ["status", "crop_mode", "variant", "target_family", "crop_coverage", "noise_severity"], ["noise_family"], ["mean_change"], ["applied_ops"], ["kind", "status", "supervised", "splice_loss_weight"]):
+        part = X.sample_kernel(X.Recipe(**how), columns=cols)(x, files)
+        assert list(part) == list(cols) and str(part.to_dict("list")) == str(whole[cols].to_dict("list")), cols
+    assert whole["pixels"].notna().sum() == 96 and X.sample_schema(("status", "applied_ops")) == f"status string, applied_ops {X.OPS}" and X.sample_schema(X.NAMES) == X.SAMPLE
+
+
+def test_pictures_that_no_column_needs_are_not_worked_out(monkeypatch):
+    from dataclasses import replace
+
+    x, files = _bytes_of_items()
+    runs = []
+    for n, f in [*P.FAMILIES.items()]:
+        monkeypatch.setitem(P.FAMILIES, n, f if f.noise else replace(f, run=lambda a, g, f=f, **p: (runs.append(1), f.run(a, g, **p))[1]))
+    recipe = X.Recipe(families=("jpeg", "resize"), light="light")
+    X.sample_kernel(recipe, columns=["status", "variant"])(x, files)
+    assert not runs
+    X.sample_kernel(recipe, columns=["mean_change"])(x, files)
+    assert len(runs) >= 64
+    missing = X.sample_kernel(recipe, columns=["status"])(x, {n: b for n, b in files.items() if not n.endswith("/3_img.png")} | {"02/2_img.png": b"no picture"})
+    assert [missing["status"][i] for i in (2, 3, 4)] == ["unreadable", "unreadable", "ok"]
+
+
 @pytest.mark.parametrize("name", ["pix_sample_mix", "pix_samples", "pix_file_facts", "pix_sample_status"])
 def test_queries_leave_no_pictures_and_no_samples_behind(spark, name):
     from patchmill.plans.pixels import QUERIES
